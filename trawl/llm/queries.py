@@ -8,7 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import mixing, tokens
+from . import mixing, neighbours, tokens
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "vectors"))
+
+
+def p1_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 most similar of every chunk whose id is divisible by 100, of any cosine, against all rows."""
+    found = neighbours.neighbours(
+        table(spark, sf_dir, "chunks"), table(spark, sf_dir, "vectors"), every=100, pivots=256, probes=48, rerank=1024
+    )
+    return found.select("id", "neighbour", F.round("cosine", 6).alias("cosine"), "rank")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +49,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p8_ids, p8_decoded, p9_found, p9_mix, p9_shares)}
+    return {f.__name__: f for f in (p1_found, p1_knn, p8_ids, p8_decoded, p9_found, p9_mix, p9_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
