@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import mixing, neighbours, tokens
+from . import mixing, neardup, neighbours, splitting, tokens
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,28 @@ def p1_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "neighbour", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = splitting.split_oversized(table(spark, sf_dir, "chunks"))
+    return pieces.where("piece_no = 0").select(F.col("id").alias("chunk_id"), "boundary")
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, sf_dir, "chunks")).withColumnRenamed("id", "chunk_id")
+
+
+def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return neardup.near_duplicates(table(spark, sf_dir, "chunks"), words=3, threshold=0.7, least_words=40)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.linked_rows(*_near(spark, sf_dir))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each chunk that has copies or near copies, with its group."""
+    return neardup.grouped(*_near(spark, sf_dir))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -48,9 +70,21 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents, table(spark, sf_dir, "mix_targets"))[1]
 
 
+_P2 = """
+WITH sized AS (
+  SELECT id AS chunk_id, text, regexp_extract_all(text, '[^ \\t\\r\\n]+') AS words, string_split(text, chr(10)) AS lines FROM chunks
+)
+SELECT chunk_id, CASE
+  WHEN list_max(list_transform(lines, lambda x: length(x))) <= 1800
+   AND list_max(list_transform(lines, lambda x: len(regexp_extract_all(x, '[^ \\t\\r\\n]+')))) <= 400 THEN 'line'
+  WHEN list_max(list_transform(words, lambda x: length(x))) <= 1800 THEN 'space' ELSE 'nospace' END AS boundary
+FROM sized WHERE length(text) > 1800 OR len(words) > 400
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_knn, p8_ids, p8_decoded, p9_found, p9_mix, p9_shares)}
+    return {f.__name__: f for f in (p1_found, p1_knn, p2_found, p2_pieces, p4_found, p4_groups, p8_ids, p8_decoded, p9_found, p9_mix, p9_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+    return {"p2_found": _P2, "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
