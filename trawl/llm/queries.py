@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import mixing, neardup, neighbours, splitting, tokens
+from . import language, mixing, neardup, neighbours, splitting, tokens
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,16 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(table(spark, sf_dir, "chunks")).withColumnRenamed("id", "chunk_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = language.relabel(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunk_labels"))
+    return made.where(~F.col("agrees")).select(F.col("id").alias("chunk_id"), "seg_no", "lang")
+
+
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = language.relabel(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunk_labels"))
+    return made.select(F.col("id").alias("chunk_id"), "seg_no", "lang", F.round("confidence", 4).alias("confidence"), "line_from", "line_to")
+
+
 def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return neardup.near_duplicates(table(spark, sf_dir, "chunks"), words=3, threshold=0.7, least_words=40)
 
@@ -83,7 +93,7 @@ FROM sized WHERE length(text) > 1800 OR len(words) > 400
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_knn, p2_found, p2_pieces, p4_found, p4_groups, p8_ids, p8_decoded, p9_found, p9_mix, p9_shares)}
+    return {f.__name__: f for f in (p1_found, p1_knn, p2_found, p2_pieces, p3_found, p3_segments, p4_found, p4_groups, p8_ids, p8_decoded, p9_found, p9_mix, p9_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
