@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import language, mixing, neardup, neighbours, splitting, tokens
+from . import language, lookalike, mixing, neardup, neighbours, splitting, tokens
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,20 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.grouped(*_near(spark, sf_dir))
 
 
+def _texts_and_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "chunks").select(F.lit("chunk_text").alias("field"), "id", F.col("text").alias("value"))
+    return chunks.unionByName(table(spark, sf_dir, "files").select(F.lit("file_name").alias("field"), "id", F.col("name").alias("value")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.look_alikes(_texts_and_names(spark, sf_dir))
+
+
+def p5_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The common form of every text and name that isn't blank."""
+    return lookalike.normalised(_texts_and_names(spark, sf_dir)).select("field", "id", "text")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -93,7 +107,7 @@ FROM sized WHERE length(text) > 1800 OR len(words) > 400
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_knn, p2_found, p2_pieces, p3_found, p3_segments, p4_found, p4_groups, p8_ids, p8_decoded, p9_found, p9_mix, p9_shares)}
+    return {f.__name__: f for f in (p1_found, p1_knn, p2_found, p2_pieces, p3_found, p3_segments, p4_found, p4_groups, p5_found, p5_normalised, p8_ids, p8_decoded, p9_found, p9_mix, p9_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
