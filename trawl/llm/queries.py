@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import language, lookalike, mixing, neardup, neighbours, splitting, tokens
+from . import language, lookalike, mixing, mojibake, neardup, neighbours, splitting, tokens
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,15 @@ def p5_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.normalised(_texts_and_names(spark, sf_dir)).select("field", "id", "text")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.garbled(_texts_and_names(spark, sf_dir))
+
+
+def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled texts and names with what could be restored."""
+    return mojibake.restored(_texts_and_names(spark, sf_dir))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -107,7 +116,7 @@ FROM sized WHERE length(text) > 1800 OR len(words) > 400
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_knn, p2_found, p2_pieces, p3_found, p3_segments, p4_found, p4_groups, p5_found, p5_normalised, p8_ids, p8_decoded, p9_found, p9_mix, p9_shares)}
+    return {f.__name__: f for f in (p1_found, p1_knn, p2_found, p2_pieces, p3_found, p3_segments, p4_found, p4_groups, p5_found, p5_normalised, p7_found, p7_restored, p8_ids, p8_decoded, p9_found, p9_mix, p9_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
