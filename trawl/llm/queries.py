@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import language, lookalike, mixing, mojibake, neardup, neighbours, splitting, tokens
+from . import language, lookalike, mixing, mojibake, neardup, neighbours, sentences, splitting, tokens
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +103,14 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents, table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_spans(table(spark, sf_dir, "documents"))
+
+
+def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_spans(table(spark, sf_dir, "documents"), with_text=True)
+
+
 _P2 = """
 WITH sized AS (
   SELECT id AS chunk_id, text, regexp_extract_all(text, '[^ \\t\\r\\n]+') AS words, string_split(text, chr(10)) AS lines FROM chunks
@@ -116,7 +124,7 @@ FROM sized WHERE length(text) > 1800 OR len(words) > 400
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_knn, p2_found, p2_pieces, p3_found, p3_segments, p4_found, p4_groups, p5_found, p5_normalised, p7_found, p7_restored, p8_ids, p8_decoded, p9_found, p9_mix, p9_shares)}
+    return {f.__name__: f for f in (p1_found, p1_knn, p2_found, p2_pieces, p3_found, p3_segments, p4_found, p4_groups, p5_found, p5_normalised, p7_found, p7_restored, p8_ids, p8_decoded, p9_found, p9_mix, p9_shares, p10_found, p10_sentences)}
 
 
 def oracle_sql() -> dict[str, str]:
