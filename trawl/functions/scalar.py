@@ -143,6 +143,12 @@ def words(text: Column, fold: bool = True) -> Column:
     return F.regexp_extract_all(strip_accents(t) if fold else t, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+def word_count(text: Column, fold: bool = True) -> Column:
+    """Size of :func:`words`, counted without making them."""
+    t = F.coalesce(text, F.lit(""))
+    return F.regexp_count(F.regexp_replace(t, r"[̀-ͯ]", "") if fold else t, F.lit(r"[\p{L}\p{N}]+"))
+
+
 def usable_vector(vector: Column, dimensions: Column | int) -> Column:
     """As long as wanted, finite throughout, and not all zero."""
     n = dimensions if isinstance(dimensions, Column) else F.lit(dimensions)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import rrf
 from ..request import Filters, Request, parse, phrase, terms
+from ..runtime import materialize
 from .lexical import bm25
 from .vector import nearest
 
@@ -56,7 +57,7 @@ def lexical_list(
         hits = _ranked(scored, F.col("score"), F.col("chunk_id"))
     else:
         hits = _ranked(scored, F.col("score"), F.col("chunk_id")).join(narrow, "chunk_id").join(of_file, "file_id", "left_semi")
-    hits = hits.select("file_id", "chunk_id", "rank")
+    hits = materialize(hits.select("file_id", "chunk_id", "rank"), "hits")  # at most CANDIDATES rows, read several times
     best = hits.groupBy("file_id").agg(F.min(F.struct("rank", "chunk_id")).alias("b"))
     quoted = phrase(text)
     if quoted is None:
@@ -75,7 +76,7 @@ def semantic_list(
     """``file_id``, ``part``, ``cosine`` of each file's first hit, and the hits; earlier queries come first."""
     of_file = files.where(_kept(filters, show_offline)).select(F.col("id").alias("file_id"))
     hits = nearest(chunks, queries, k).join(chunks.select("id", "file_id"), "id").join(of_file, "file_id", "left_semi")
-    hits = hits.select("file_id", F.col("id").alias("chunk_id"), "qseq", "rank", "cosine")
+    hits = materialize(hits.select("file_id", F.col("id").alias("chunk_id"), "qseq", "rank", "cosine"), "near")  # k rows a query
     first = hits.groupBy("file_id").agg(F.min(F.struct("qseq", "rank", "cosine")).alias("h"))
     return first.select("file_id", rrf(F.col("h.rank"), SEMANTIC_WEIGHT).alias("part"), F.col("h.cosine").alias("cosine")), hits
 

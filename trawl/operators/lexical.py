@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import words
+from ..functions.scalar import strip_accents, word_count, words
 from ..runtime import materialize
 
 K1, B = 1.2, 0.75
@@ -50,9 +50,16 @@ def bm25(chunks: DataFrame, terms: list[str], fold: bool = True, key: str = "id"
     split = split_terms(terms, fold)
     if not split or not all(split):
         return chunks.select(key, F.lit(0.0).alias("score")).where(F.lit(False))
-    tokens = [words(F.col(c), fold) for c in columns]
-    hits = [reduce(lambda a, b: a + b, [instances(t, term) for t in tokens]).cast("double").alias(f"f{i}") for i, term in enumerate(split)]
-    length = reduce(lambda a, b: a + b, [F.size(t) for t in tokens]).cast("double").alias("d")
+    tokens = {c: words(F.col(c), fold) for c in columns}
+
+    def occurrences(c: str, term: list[str]) -> Column:
+        # most texts don't even hold the characters, and are neither cut into words nor searched
+        plain = F.lower(F.coalesce(F.col(c), F.lit("")))
+        held = F.contains(strip_accents(plain) if fold else plain, F.lit(term[-1]))
+        return F.when(held, instances(tokens[c], term)).otherwise(0)
+
+    hits = [reduce(lambda a, b: a + b, [occurrences(c, term) for c in columns]).cast("double").alias(f"f{i}") for i, term in enumerate(split)]
+    length = reduce(lambda a, b: a + b, [word_count(F.col(c), fold) for c in columns]).cast("double").alias("d")
     counted = chunks.select(key, length, *hits)
     return _score(counted, counted.agg(*_totals(len(split))), len(split), key)
 
