@@ -36,7 +36,7 @@ SCRIPTS = (
     (0x3040, 0x30FF, "ja"),
     (0x3400, 0x9FFF, "zh ja"),
 )
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 4000
 #: Nats: a word tells against a language at most so much, if known, unknown, or of another script.
 KNOWN, UNKNOWN, FOREIGN = -6.0, -3.0, -6.0
 SWITCH_IN_LINE, SWITCH_AT_LINE = 12.0, 4.0
@@ -191,7 +191,7 @@ class Model:
         return out
 
 
-def fit(labelled: list[tuple[str, str | None]], rounds: int = 3) -> Model:
+def fit(labelled: list[tuple[str, str | None]], rounds: int = 2) -> Model:
     """A model from texts and their languages; languages without any text keep what their script tells."""
     model = Model({}, {})
     lines = [(line, lang) for text, lang in labelled for line in text.split("\n")]
