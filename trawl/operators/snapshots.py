@@ -44,8 +44,10 @@ class SnapshotIndex:
         self._tables: list[str] = []
 
     def _key(self) -> Column:
-        # null is a key value like any other; the flag keeps it apart from the empty string
-        return F.xxhash64(*[x for k in self.keys for x in (F.col(k).isNull(), F.col(k).cast("string"))])
+        # 128 bits stand for the key, so one column is joined and bucketed. Null is a key value like any other;
+        # the flag keeps it apart from the empty string
+        marked = [F.when(F.col(k).isNull(), "\x01").otherwise(F.concat(F.lit("\x02"), F.col(k).cast("string"))) for k in self.keys]
+        return F.md5(F.concat_ws("\x00", *marked))
 
     def _indexed(self, rows: DataFrame) -> DataFrame:
         return rows.select(self._key().alias(KEY), *self.keys, fingerprint(self.compare).alias(PRINT))
@@ -68,14 +70,12 @@ class SnapshotIndex:
             raise ValueError("no snapshot has been taken in yet")
         new = self._indexed(rows).alias("n")
         old = self.spark.table(self.path).alias("o")
-        same_key = (F.col(f"n.{KEY}") == F.col(f"o.{KEY}")) & _all([F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in self.keys])
         change = (
             F.when(F.col(f"o.{KEY}").isNull(), "added")
             .when(F.col(f"n.{KEY}").isNull(), "removed")
             .when(F.col(f"n.{PRINT}") != F.col(f"o.{PRINT}"), "changed")
         )
-        # where the hash of the key matches by chance the rest of the condition keeps the two keys apart
-        found = new.join(old, same_key, "full_outer").select(
+        found = new.join(old, F.col(f"n.{KEY}") == F.col(f"o.{KEY}"), "full_outer").select(
             *[F.when(F.col(f"n.{KEY}").isNull(), F.col(f"o.{k}")).otherwise(F.col(f"n.{k}")).alias(k) for k in self.keys],
             change.alias("change"),
         ).where(F.col("change").isNotNull())

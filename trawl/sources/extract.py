@@ -177,7 +177,7 @@ def register(extension: str, extractor: Extractor) -> None:
 
 
 def extract(files: DataFrame, content: str = "content", extension: str = "extension", kind: str = "kind") -> DataFrame:
-    """The other columns of ``files`` with ``text``, ``heading``, ``page``, ``line_start``, ``line_end``, ``error``.
+    """The other columns of ``files`` with ``part`` from 0, ``text``, ``heading``, ``page``, ``line_start``, ``line_end``, ``error``.
 
     Text and code are decoded whole. A kind without an extractor, and a file that can't be read, is one row
     with ``error``; binary files have no row.
@@ -207,4 +207,4 @@ def extract(files: DataFrame, content: str = "content", extension: str = "extens
 
     kept = [c for c in files.columns if c != content]
     made = files.select(*kept, parts(F.col(content), F.col(extension), F.col(kind)).alias("__p"))
-    return made.select(*kept, F.inline("__p"))
+    return made.select(*kept, F.posexplode("__p").alias("part", "p")).select(*kept, "part", "p.*")
