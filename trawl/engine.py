@@ -21,7 +21,7 @@ from .operators.vector import file_queries
 from .request import Request
 from .runtime import materialize
 from .sources.extract import extract
-from .sources.scan import read_contents, scan_local
+from .sources.scan import scan_local, with_contents
 from .store import Store
 
 #: Texts to vectors; loaded once by each worker.
@@ -151,12 +151,8 @@ class Engine:
         n = todo.count()
         if not n:
             return 0
-        parts = None
-        for r in self.roots_table().where("online").collect():
-            content = read_contents(self.spark, r["path"], s.max_text_mb << 20).withColumnRenamed("error", "read_error")
-            here = content.join(todo.where(F.col("root_id") == r["id"]), "path")
-            parts = here if parts is None else parts.unionByName(here)
-        enabled = parts.where(F.col("kind").isin(*s.enabled_kinds)) if parts is not None else None
+        parts = materialize(with_contents(todo, s.max_text_mb << 20), "contents")
+        enabled = parts.where(F.col("kind").isin(*s.enabled_kinds))
         digest = parts.select("file_id", F.sha2("content", 256).alias("content_hash"))
         texts = materialize(extract(enabled.where("content IS NOT NULL")), "texts")
         failed = texts.where("error IS NOT NULL").select("file_id", "error")

@@ -117,12 +117,11 @@ def search(
         of("filename").alias("filename"), of("lexical").alias("lexical"), of("semantic").alias("semantic"), F.max("cosine").alias("cosine")
     )
     fused = fused.withColumn("score", F.round(F.col("filename") + F.col("lexical") + F.col("semantic"), 6))
-    top = (
-        fused.join(files.select(F.col("id").alias("file_id"), "name", "path", "modified"), "file_id")
-        .orderBy(F.desc("score"), F.col("modified").desc_nulls_last(), "file_id")
-        .limit(request.results_count)
-    )
-    return top.join(_matches(chunks, top.select("file_id"), matches), "file_id", "left").select(
+    order = (F.desc("score"), F.col("modified").desc_nulls_last(), F.col("file_id"))
+    top = fused.join(files.select(F.col("id").alias("file_id"), "name", "path", "modified"), "file_id").orderBy(*order).limit(request.results_count)
+    top = materialize(top, "top")  # at most results_count rows, read twice
+    # the join loses the order
+    return top.join(_matches(chunks, top.select("file_id"), matches), "file_id", "left").orderBy(*order).select(
         "file_id", "name", "path", "score", *[F.round(c, 6).alias(c) for c in ("filename", "lexical", "semantic", "cosine")], "matches"
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +55,6 @@ def scan_local(spark: SparkSession, folder: str, exclusions: Exclusions | None =
     def walk(batches):
         import re
 
-        import pandas as pd
-
         relative, absolute = (re.compile(x) if x else None for x in compiled)
 
         def out_of(path: str) -> bool:
@@ -104,3 +103,28 @@ def read_contents(spark: SparkSession, folder: str, max_bytes: int = 32 << 20) -
     small = raw.where(F.col("length") <= max_bytes).select(path, "content", F.lit(None).cast("string").alias("error"))
     large = raw.where(F.col("length") > max_bytes).select(path, F.lit(None).cast("binary").alias("content"), F.lit("File is larger than the limit").alias("error"))
     return small.unionByName(large)
+
+
+def with_contents(files: DataFrame, max_bytes: int = 32 << 20, path: str = "path") -> DataFrame:
+    """``files`` with ``content`` and ``read_error``, read where the rows are from folders that every executor mounts.
+
+    Only the files asked for are opened; one that is too large, gone or locked is an error of its own row.
+    """
+
+    @F.pandas_udf("content binary, read_error string")
+    def read(paths: pd.Series) -> pd.DataFrame:
+        import os
+
+        out: list[tuple[bytes | None, str | None]] = []
+        for p in paths:
+            try:
+                if os.path.getsize(p) > max_bytes:
+                    out.append((None, "File is larger than the limit"))
+                    continue
+                with open(p, "rb") as f:
+                    out.append((f.read(), None))
+            except (OSError, TypeError) as e:
+                out.append((None, str(e)))
+        return pd.DataFrame(out, columns=["content", "read_error"])
+
+    return files.withColumn("__r", read(F.col(path))).select("*", "__r.content", "__r.read_error").drop("__r")
