@@ -79,9 +79,11 @@ class Splitter:
         self.table = StrongestCut(places, strength[places], max_chars)
         # a mark that belongs to the character before it, or what a joiner joins, isn't cut off
         kinds = {int(c) for c in np.unique(codes) if unicodedata.category(chr(c))[0] == "M"}
-        self.tied = np.isin(codes, list(kinds)) if kinds else np.zeros(self.n, bool)
-        self.tied[1:] |= codes[:-1] == 0x200D
-        self.tied[1:] |= (codes[:-1] == 13) & (codes[1:] == 10)
+        self.tied = np.zeros(self.n + 1, bool)
+        self.tied[:-1] = np.isin(codes, list(kinds))
+        self.tied[1:] |= codes == 0x200D
+        self.tied[1:-1] |= (codes[:-1] == 13) & (codes[1:] == 10)
+        self.line_end = strength == LINE
 
     def limit(self, start: int) -> int:
         """The last permitted end of a piece from ``start``."""
@@ -111,7 +113,12 @@ class Splitter:
             back = int(self.starts[j]) if j < len(self.starts) and self.starts[j] < end else floor
             while self.tied[back] and back < end:
                 back += 1
-        without = self.cut(end + 1, self.limit(end))[1] if self.limit(end) < self.n else LINE
+        if self.limit(end) < self.n:
+            without = self.cut(end + 1, self.limit(end))[1]
+        elif self.line_end[end]:
+            without = LINE  # the rest is whole lines
+        else:
+            without = self.cut(end + 1, self.n - 1)[1] if end + 1 < self.n else 0
         if self._reach(back, end) >= without:
             return back
         # the later begin of a word from which that cut can be reached
