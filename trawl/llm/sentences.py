@@ -149,9 +149,9 @@ def _stop_ends(before: str, rest: str) -> bool:
     if short in NUMBERED:
         return kind not in ("digit", "lower", "none") and not rest.lstrip().startswith("(")
     if short in EITHER or re.search(r"т\.\s+[дп]$", before):
-        if kind == "other":
-            letters = re.search(r"[^\W_]", body)
-            kind = _opening(body[letters.start() :])[1] if letters else "none"
+        if kind == "other":  # a symbol or markup between two words says nothing
+            later = re.search(r"\s(?=[^\W_])", body)
+            body, kind = _opening(body[later.end() :]) if later else ("", "none")
         return kind in ("upper", "caseless") or kind == "lower" and short not in ("m", "a.m", "p.m") and bool(_FILE.match(body))
     if kind == "lower":
         return bool(_FILE.match(body)) and not body.startswith("www")
