@@ -75,7 +75,14 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._trawl_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote for a step that nothing reads any more."""
+    remove(df.sparkSession, df._trawl_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
