@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import discard, materialize
 
-#: Pivots are sampled; a sample beyond this is not taken, and 4,096 of 768 components are 12 MB.
-MAX_PIVOTS = 4096
+#: Pivots are a sample on the driver and in every worker: at most so many, 34 MB for 128 components.
+MAX_PIVOTS = 1 << 16
 
 
 def usable(chunks: DataFrame, namespaces: DataFrame, key: str = "id") -> DataFrame:
@@ -105,8 +105,9 @@ class PermutationIndex:
                 rows = np.nonzero(which == k)[0]
                 p = pivots[k]
                 n = min(max(order, depth), len(p))
-                for at in range(0, len(rows), 2048):
-                    part = rows[at : at + 2048]
+                step = max(32, (1 << 21) // len(p))  # bounded memory whatever the number of pivots
+                for at in range(0, len(rows), step):
+                    part = rows[at : at + step]
                     raw = units.take(pa.array(part))
                     x = np.frombuffer(b"".join(raw.to_pylist()), np.float32).reshape(len(part), -1)
                     s = x @ p.T
@@ -139,31 +140,27 @@ class PermutationIndex:
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for ids, raw, top in nearest(b):
-                    out: tuple[list, list, list] = ([], [], [])
+                    out: tuple[list, ...] = ([], [], [], [], [])
                     for depth in range(min(lists, top.shape[1])):
                         for row, lst in enumerate(top[:, depth].tolist()):
                             g = blocks.get(lst, 1)
                             mine = (int(ids[row]) * 0x9E3779B97F4A7C15 >> 20) % g
                             for other in range(g):
-                                out[0].append(lst * 1_000_000 + min(mine, other) * 1000 + max(mine, other))
-                                out[1].append(mine)
-                                out[2].append(row)
+                                for column, value in zip(out, (lst, min(mine, other), max(mine, other), mine, row)):
+                                    column.append(value)
                     yield _postings(ids, raw, top[:, :order], out)
 
         def search(t: pa.Table) -> pa.Table:
             ids, part, perm, x = _read(t)
-            blocks_here = np.unique(part)
-            if len(blocks_here) == 1:
-                one = int(t.column("list")[0].as_py()) % 1_000_000
-                if one // 1000 != one % 1000:  # a pair of blocks of which one is empty
-                    return _pairs([], [], [])
-                return _found(ids, perm, x, ids, perm, x, k, rerank, least, same=True)
-            q, d = part == blocks_here[0], part == blocks_here[1]
+            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+            if i == j:
+                return _found(ids, perm, x, ids, perm, x, k, rerank, least)
+            q, d = part == i, part == j  # either may be empty
             one = _found(ids[q], perm[q], x[q], ids[d], perm[d], x[d], k, rerank, least)
             return pa.concat_tables([one, _found(ids[d], perm[d], x[d], ids[q], perm[q], x[q], k, rerank, least)])
 
         posted = self.vectors.select("id", "ns", "unit").mapInArrow(post, _POSTING)
-        return posted.groupBy("list").applyInArrow(search, "a long, b long, cosine double")
+        return posted.groupBy("list", "i", "j").applyInArrow(search, "a long, b long, cosine double")
 
     def search(self, queries: DataFrame, k: int, rerank: int, probes: int, least: float = -2.0) -> DataFrame:
         """``a, b, cosine`` for the ``queries`` (rows of the indexed vectors' form), each probing ``probes`` lists."""
@@ -178,7 +175,7 @@ class PermutationIndex:
             def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b in batches:
                     for ids, raw, top in nearest(b):
-                        out: tuple[list, list, list] = ([], [], [])
+                        out: tuple[list, ...] = ([], [], [], [], [])
                         for place in range(min(depth, top.shape[1])):
                             for row, lst in enumerate(top[:, place].tolist()):
                                 if lst not in other_of:  # nothing to meet there
@@ -186,9 +183,8 @@ class PermutationIndex:
                                 mine = (int(ids[row]) * 0x9E3779B97F4A7C15 >> 20) % mine_of[lst]
                                 for other in range(other_of[lst]):
                                     i, j = (other, mine) if query else (mine, other)
-                                    out[0].append(lst * 1_000_000 + i * 1000 + j)
-                                    out[1].append(int(query))
-                                    out[2].append(row)
+                                    for column, value in zip(out, (lst, i, j, int(query), row)):
+                                        column.append(value)
                         yield _postings(ids, raw, top[:, :order], out)
 
             return post
@@ -201,24 +197,23 @@ class PermutationIndex:
         narrow = [f.select("id", "ns", "unit") for f in (self.vectors, queries)]
         data = narrow[0].mapInArrow(poster(self._ordered(self.vectors, self.lists), self.lists, False), _POSTING)
         asking = narrow[1].mapInArrow(poster(self._ordered(queries, probes), probes, True), _POSTING)
-        return data.unionByName(asking).groupBy("list").applyInArrow(search, "a long, b long, cosine double")
+        return data.unionByName(asking).groupBy("list", "i", "j").applyInArrow(search, "a long, b long, cosine double")
 
 
-_POSTING = "list long, part int, id long, perm binary, unit binary"
+_POSTING = "list int, i int, j int, part int, id long, perm binary, unit binary"
 
 
-def _postings(ids: np.ndarray, raw: pa.Array, perm: np.ndarray, out: tuple[list, list, list]) -> pa.RecordBatch:
-    keys, parts, rows = out
+def _postings(ids: np.ndarray, raw: pa.Array, perm: np.ndarray, out: tuple[list, ...]) -> pa.RecordBatch:
+    *keys, rows = out
     perms = [p.tobytes() for p in np.ascontiguousarray(perm)]
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(keys, pa.int64()),
-            pa.array(parts, pa.int32()),
+            *(pa.array(k, pa.int32()) for k in keys),
             pa.array(ids[rows] if rows else [], pa.int64()),
             pa.array([perms[r] for r in rows], pa.binary()),
             raw.take(pa.array(rows, pa.int64())),
         ],
-        ["list", "part", "id", "perm", "unit"],
+        ["list", "i", "j", "part", "id", "perm", "unit"],
     )
 
 
@@ -256,7 +251,7 @@ def footrule_similarity(q: np.ndarray, d: np.ndarray) -> np.ndarray:
     return out
 
 
-def _found(qi, qp, qx, di, dp, dx, k: int, rerank: int, least: float, same: bool = False) -> pa.Table:
+def _found(qi, qp, qx, di, dp, dx, k: int, rerank: int, least: float) -> pa.Table:
     a, b, c = [], [], []
     if len(qi) and len(di):
         for at in range(0, len(qi), 1024):
@@ -297,10 +292,10 @@ def neighbours(
     k: int = 10,
     least: float = -2.0,
     every: int | None = None,
-    lists: int = 5,
+    lists: int = 6,
     order: int = 8,
-    probes: int = 5,
-    rerank: int = 64,
+    probes: int = 6,
+    rerank: int = 128,
     pivots: int | None = None,
     key: str = "id",
 ) -> DataFrame:
@@ -316,7 +311,10 @@ def neighbours(
     extra = same.where("id <> rep").select("id")
     reps = vectors.dropDuplicates(["id", "print"]).drop("print") if _repeats(vectors) else vectors.drop("print")
     reps = reps.join(extra, "id", "left_anti")
-    index = PermutationIndex(materialize(reps, "reps") if same.limit(1).count() else reps, lists, order, pivots=pivots)
+    reps = materialize(reps, "reps")
+    if every is None:
+        discard(vectors)
+    index = PermutationIndex(reps, lists, order, pivots=pivots)
     if every is None:
         pairs = index.search_all(k, rerank, least)
     else:
