@@ -20,6 +20,10 @@ from ..runtime import materialize
 from .tokens import token_counts
 
 
+#: Up to so many sources their rates are broadcast.
+MANY_SOURCES = 10_000
+
+
 def sized(documents: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """The documents with ``n_tokens``, the length of ``text`` in tokens of byte_bpe_50k."""
     return documents.withColumn("n_tokens", token_counts(documents.sparkSession, F.col(text), path))
@@ -109,8 +113,11 @@ def _thresholds(rate: str, cap: str) -> Column:
 
 def replicate(documents: DataFrame, plan: DataFrame, key: str = "doc_id", seed: int = 7) -> DataFrame:
     """Every document of a listed source as often as its number says, with ``copy_no`` from 1; not in any order."""
-    # one row for each listed source joins in; whether it is broadcast is for the planner, which knows its size
     rates = plan.select("source", _thresholds("rate", "max_repeats").alias("__at"))
+    # a row for each listed source; few of them are sent to every task, so a source that holds a third of the
+    # documents isn't one task's work. Should there be many, the planner joins and splits what is skewed
+    if plan.limit(MANY_SOURCES + 1).count() <= MANY_SOURCES:
+        rates = F.broadcast(rates)
     number = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col("source")), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     return (
         documents.join(rates, "source")
