@@ -171,3 +171,37 @@ def cosine(a: Column, b: Column) -> Column:
 def ewma(samples: Column, keep: float = 0.8) -> Column:
     """First sample, then ``keep`` of the old and the rest of the new; null for no samples."""
     return F.aggregate(samples, F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x).otherwise(a * keep + x * (1 - keep)))
+
+
+def duration_text(seconds: Column) -> Column:
+    """Seconds as ``5 s``, ``3 min`` or ``2 h 5 min``, rounded up to what is shown; null stays null."""
+    s = F.ceil(seconds).cast("long")
+    m = F.ceil(seconds / 60).cast("long")
+    hours = F.format_string("%d h %d min", F.floor(m / 60), m % 60)
+    return F.when(s < 60, F.format_string("%d s", s)).when(m < 60, F.format_string("%d min", m)).when(s.isNotNull(), hours)
+
+
+def pack_vector(vector: Column) -> Column:
+    """Components as little-endian 32-bit floats; null for a null vector."""
+
+    @F.arrow_udf("binary")
+    def pack(v):
+        import numpy as np
+        import pyarrow as pa
+
+        return pa.array([None if x is None else np.asarray(x, "<f4").tobytes() for x in v.to_pylist()], pa.binary())
+
+    return pack(vector)
+
+
+def unpack_vector(data: Column) -> Column:
+    """The floats of :func:`pack_vector`; null for null and for bytes that are no whole number of floats."""
+
+    @F.arrow_udf("array<float>")
+    def unpack(v):
+        import numpy as np
+        import pyarrow as pa
+
+        return pa.array([None if x is None or len(x) % 4 else np.frombuffer(x, "<f4") for x in v.to_pylist()], pa.list_(pa.float32()))
+
+    return unpack(data)

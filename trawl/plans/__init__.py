@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, general, maintenance, retrieval  # noqa: F401
+from . import corpus, further, general, maintenance, retrieval  # noqa: F401
 from .registry import ENTRIES
 
 

@@ -168,6 +168,30 @@ def markup_text(html: str | None) -> str:
     return "\n".join(x for x in lines if x)
 
 
+_ILLEGAL = re.compile("[^\t\n\r -\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
+
+
+def write_docx(text: str) -> bytes:
+    """A document with a paragraph for each line; characters that XML can't hold are left out."""
+    from xml.sax.saxutils import escape
+
+    lines = (escape(_ILLEGAL.sub("", x)) for x in text.splitlines())
+    body = "".join(f"<w:p><w:r><w:t xml:space='preserve'>{x}</w:t></w:r></w:p>" for x in lines)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+        z.writestr("word/document.xml", f"<?xml version='1.0' encoding='UTF-8'?><w:document xmlns:w='{space}'><w:body>{body}</w:body></w:document>")
+    return out.getvalue()
+
+
+def as_docx(text):
+    @F.pandas_udf("binary")
+    def write(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else write_docx(t))
+
+    return write(text)
+
+
 EXTRACTORS: dict[str, Extractor] = {"docx": docx, "pptx": pptx, "xlsx": xlsx, "ods": ods}
 
 

@@ -51,6 +51,21 @@ def covered(batch: DataFrame, path: str = "path") -> DataFrame:
     return keyed.join(below, "__n", "left_anti").drop("__n")
 
 
+def apply_batch(files: DataFrame, batch: DataFrame, metadata: DataFrame, run: int) -> DataFrame:
+    """``files`` after a batch (``path``, ``exists``): missing paths and all below them go, existing files are taken in.
+
+    ``metadata`` has a row for each existing file of the batch; a path that is there and has none, as it can't
+    be read, changes nothing. Files are found below a missing folder by an equi-join on their ancestors.
+    """
+    from ..functions.scalar import ancestors, normal_path
+    from ..operators.upkeep import upsert
+
+    missing = batch.where(~F.col("exists")).select(normal_path(F.col("path")).alias("__a")).distinct()
+    above = files.select("id", F.explode(ancestors(normal_path(F.col("path")))).alias("__a"))
+    gone = above.join(missing, "__a", "left_semi").select("id").distinct()
+    return upsert(files.join(gone, "id", "left_anti"), metadata, run)
+
+
 def overflowed(pending: int, limit: int = 8192) -> bool:
     """Whether so many paths wait that the roots are scanned instead."""
     return pending > limit
