@@ -13,6 +13,8 @@ from ..functions.scalar import usable_vector
 
 #: A file asks with at most so many of its vectors.
 MAX_QUERIES = 64
+#: So many query vectors travel with a plan at most.
+MAX_BATCH = 1024
 
 
 def nearest(
@@ -25,12 +27,12 @@ def nearest(
 ) -> DataFrame:
     """``qseq``, ``key``, ``cosine`` (rounded to 6 places), ``rank`` from 0: the ``k`` nearest of each query.
 
-    ``queries``: number, namespace, vector; at most MAX_QUERIES, so they travel with the plan. Only vectors of
+    ``queries``: number, namespace, vector; at most MAX_BATCH, so they travel with the plan. Only vectors of
     the query's namespace and length count, and only finite ones that aren't all zero. Ties come by key.
     Each task keeps its own ``k`` best, so what is shuffled doesn't grow with a task's rows.
     """
-    if len(queries) > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} query vectors")
+    if len(queries) > MAX_BATCH:
+        raise ValueError(f"at most {MAX_BATCH} query vectors")
     asked = [(int(n), ns, np.asarray(v, np.float64)) for n, ns, v in queries]
     asked = [(n, ns, v / np.linalg.norm(v)) for n, ns, v in asked if np.isfinite(v).all() and v.any()]
 

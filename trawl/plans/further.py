@@ -27,11 +27,11 @@ def without_own_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SCL-2", "SRC-3", "UDF-7", sql="SELECT id, regexp_replace(text, '^\ufeff', '') AS text FROM chunks WHERE text IS NOT NULL")
 def decoded_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts written as UTF-8 or UTF-16 by their id, and read by what their bytes show."""
+    """Texts written as UTF-8, code as UTF-16, and read by what their bytes show."""
     from ..sources.extract import extract
 
     c = table(spark, sf_dir, "chunks").where("text IS NOT NULL")
-    data = F.when(F.col("id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode("text", "UTF-16"))
+    data = F.when(F.col("modality") == "code", F.encode("text", "UTF-16")).otherwise(F.encode("text", "UTF-8"))
     # of a text that itself begins with the mark UTF-16 keeps it, behind its own
     files = c.select("id", data.alias("content"), F.lit("txt").alias("extension"), F.lit("text").alias("kind"))
     return extract(files).select("id", F.regexp_replace("text", "^\ufeff", "").alias("text"))
@@ -115,15 +115,14 @@ def throttled_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "STR-5", "SNK-1",
-    sql=f"""WITH {_LAST}, seen AS (SELECT l.* FROM last l JOIN files f ON f.path = l.path WHERE l.snapshot_no = 1 AND f.id % 5 = 0 AND f.id % 7 <> 0)
-SELECT f.id, CASE WHEN s.path IS NOT NULL AND (s.size IS DISTINCT FROM f.size OR s.mtime_ns IS DISTINCT FROM f.mtime_ns) THEN 'queued' ELSE f.state END AS state,
-CASE WHEN s.path IS NOT NULL THEN 5 ELSE f.seen END AS seen FROM files f LEFT JOIN seen s ON s.path = f.path WHERE f.id % 7 <> 0""",
+    sql=f"""WITH {_LAST}, seen AS (SELECT * FROM last WHERE snapshot_no = 2)
+SELECT f.id, CASE WHEN s.size IS DISTINCT FROM f.size OR s.mtime_ns IS DISTINCT FROM f.mtime_ns THEN 'queued' ELSE f.state END AS state, 5 AS seen FROM files f JOIN seen s ON s.path = f.path""",
 )
 def applied_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "files")
-    batch = files.select("path", (F.col("id") % 7 != 0).alias("exists"))
-    known = files.where("id % 5 = 0 AND id % 7 <> 0").select("path")
-    metadata = _delivery(spark, sf_dir, 1).join(known, "path", "left_semi")
+    """A batch of all indexed paths: what a delivery has is there, and what it lacks is missing."""
+    files, there = table(spark, sf_dir, "files"), _delivery(spark, sf_dir, 2)
+    batch = files.select("path").join(there.select("path", F.lit(True).alias("exists")), "path", "left").na.fill(False, ["exists"])
+    metadata = there.join(files.select("path"), "path", "left_semi")
     return changes.apply_batch(files, batch, metadata, run=5).select("id", "state", "seen")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chunking
-from ..functions.scalar import content_hash, ewma, priority
+from ..functions.scalar import content_hash, priority
 from ..operators import status, upkeep
 from ..operators.snapshots import last_rows
 from ..runtime import table
@@ -75,12 +75,12 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "JON-10", "FLT-11", "SCL-9",
-    sql="""WITH old AS (SELECT file_id, hash, min(id) AS id FROM chunks WHERE seq % 2 = 0 AND vector IS NOT NULL AND hash IS NOT NULL GROUP BY 1, 2)
+    sql="""WITH old AS (SELECT file_id, hash, min(id) AS id FROM chunks WHERE vector IS NOT NULL AND hash IS NOT NULL GROUP BY 1, 2)
 SELECT c.id, o.id IS NOT NULL AS reused FROM chunks c LEFT JOIN old o ON o.file_id = c.file_id AND o.hash = c.hash""",
 )
 def reused_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "chunks")
-    return upkeep.reuse(c, c.where("seq % 2 = 0")).select("id", F.col("vector").isNotNull().alias("reused"))
+    return upkeep.reuse(c, c).select("id", F.col("vector").isNotNull().alias("reused"))
 
 
 @query(
@@ -221,24 +221,14 @@ def ewma_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cost(spark, sf_dir).withColumn("cost", F.round("cost", 6))
 
 
-@query("AGG-13", sql=f"WITH {_COST} SELECT kind, round(cost, 6) AS cost FROM (SELECT kind, list_reduce(l[1:50], lambda a, x: a * 0.8 + x * 0.2) AS cost FROM lists)")
-def ewma_first_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The average over each kind's first 50 samples, folded in order."""
-    from pyspark.sql import Window
-
-    e = table(spark, sf_dir, "events").withColumn("n", F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))).where("n <= 50")
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("n", "value"))), lambda x: x["value"])  # 50 of each kind
-    return e.groupBy(F.col("event_type").alias("kind")).agg(F.round(ewma(ordered), 6).alias("cost"))
-
-
 @query(
     "AGG-14",
-    sql=f"""WITH {_COST}, pending AS (SELECT event_type AS kind, count(*) AS pending FROM events WHERE event_id % 3 = 0 GROUP BY 1)
+    sql=f"""WITH {_COST}, pending AS (SELECT event_type AS kind, count(*) AS pending FROM events GROUP BY 1)
 SELECT round(sum(pending * coalesce(CASE WHEN c.samples >= 3 THEN c.cost END, m.mean)), 4) AS seconds, bool_or(c.samples IS NULL OR c.samples < 3) AS provisional
 FROM pending p LEFT JOIN cost c ON c.kind = p.kind, (SELECT sum(cost * samples) / sum(samples) AS mean FROM cost) m""",
 )
 def index_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pending = table(spark, sf_dir, "events").where("event_id % 3 = 0").groupBy(F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("pending"))
+    pending = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("pending"))
     return status.index_eta(_cost(spark, sf_dir), pending).withColumn("seconds", F.round("seconds", 4))
 
 
@@ -274,18 +264,18 @@ def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "STR-3", "STR-4", "SRT-8",
-    sql=f"""WITH {_EVENTS}, waiting AS (SELECT path, bool_or(recursive) AS recursive, max(user_id) % 3 > 0 AS "exists" FROM ev GROUP BY path)
+    sql=f"""WITH {_EVENTS}, waiting AS (SELECT path, bool_or(recursive) AS recursive, arg_max(event_type, event_id) <> 'error' AS "exists" FROM ev GROUP BY path)
 SELECT path, recursive, "exists" FROM waiting ORDER BY "exists" DESC, path LIMIT 256""",
 )
 def micro_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    waiting = _events(spark, sf_dir).groupBy("path").agg(F.bool_or("recursive").alias("recursive"), (F.max("user_id") % 3 > 0).alias("exists"))
+    waiting = _events(spark, sf_dir).groupBy("path").agg(F.bool_or("recursive").alias("recursive"), (F.max_by("event_type", "event_id") != "error").alias("exists"))
     return changes.next_batch(waiting)
 
 
 @query(
     "STR-4", "SET-3",
     sql="""WITH p AS (SELECT path, lower(replace(path, chr(92), '/')) AS n, extension IS NULL OR kind = 'binary' AS recursive FROM files),
-d AS (SELECT DISTINCT lower(replace(regexp_replace(path, '[\\\\/][^\\\\/]*$', ''), chr(92), '/')) AS n FROM files WHERE id % 5 = 0),
+d AS (SELECT DISTINCT lower(replace(regexp_replace(path, '[\\\\/][^\\\\/]*$', ''), chr(92), '/')) AS n FROM files WHERE kind = 'code'),
 batch AS (SELECT n, false AS recursive FROM p UNION ALL SELECT n, true FROM d)
 SELECT b.n AS path, bool_or(b.recursive) AS recursive FROM batch b WHERE NOT EXISTS (SELECT 1 FROM d WHERE starts_with(b.n, d.n || '/')) GROUP BY b.n""",
 )
@@ -294,7 +284,7 @@ def covered_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.scalar import normal_path, parent
 
     f = table(spark, sf_dir, "files")
-    folders = f.where("id % 5 = 0").select(normal_path(parent(F.col("path"))).alias("path"), F.lit(True).alias("recursive"))
+    folders = f.where("kind = 'code'").select(normal_path(parent(F.col("path"))).alias("path"), F.lit(True).alias("recursive"))
     batch = f.select(normal_path(F.col("path")).alias("path"), F.lit(False).alias("recursive")).unionByName(folders)
     batch = batch.groupBy("path").agg(F.bool_or("recursive").alias("recursive"))
     return changes.covered(batch)
@@ -302,14 +292,14 @@ def covered_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "STR-7", "SRC-10",
-    sql="""WITH d AS (SELECT id, (size % 400 + 1)::DOUBLE AS duration FROM files WHERE kind IN ('audio', 'video') AND size IS NOT NULL),
-n AS (SELECT id, duration, unnest(range(0, greatest(ceil((duration - 60) / 55), 0)::BIGINT + 1)) AS seq FROM d)
-SELECT id, seq, seq * 55.0::DOUBLE AS start_sec, least(seq * 55.0::DOUBLE + 60, duration) AS end_sec FROM n""",
+    sql="""WITH d AS (SELECT file_id, max(end_sec) AS duration FROM chunks WHERE modality IN ('audio', 'video') GROUP BY 1),
+n AS (SELECT file_id, duration, unnest(range(0, greatest(ceil((duration - 60) / 55), 0)::BIGINT + 1)) AS seq FROM d WHERE duration > 0)
+SELECT file_id, seq, seq * 55.0::DOUBLE AS start_sec, least(seq * 55.0::DOUBLE + 60, duration) AS end_sec FROM n""",
 )
 def media_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = table(spark, sf_dir, "files").where(F.col("kind").isin("audio", "video") & F.col("size").isNotNull())
-    made = chunking.segments(f.select("id", (F.col("size") % 400 + 1).cast("double").alias("duration")), "duration", 60.0)
-    return made.select("id", F.col("seq").cast("long").alias("seq"), "start_sec", "end_sec")
+    c = table(spark, sf_dir, "chunks").where(F.col("modality").isin("audio", "video")).groupBy("file_id").agg(F.max("end_sec").alias("duration"))
+    made = chunking.segments(c, "duration", 60.0)
+    return made.select("file_id", F.col("seq").cast("long").alias("seq"), "start_sec", "end_sec")
 
 
 @query("SRC-7", "SRC-8", sql="SELECT l_orderkey // 32 AS block, count(*) AS rows_in, string_agg(l_orderkey || chr(9) || l_linenumber, chr(10) ORDER BY l_orderkey, l_linenumber) AS text FROM lineitem GROUP BY 1")
