@@ -312,14 +312,15 @@ def neighbours(
     reps = vectors.dropDuplicates(["id", "print"]).drop("print") if _repeats(vectors) else vectors.drop("print")
     reps = reps.join(extra, "id", "left_anti")
     reps = materialize(reps, "reps")
-    if every is None:
-        discard(vectors)
+    if every is not None:
+        asking = vectors.where(F.col("id") % every == 0).select("id")
+        asking = asking.join(same.withColumnRenamed("rep", "r"), "id", "left").select(F.coalesce("r", "id").alias("id")).distinct()
+        asking = materialize(asking, "asking")
+    discard(vectors)
     index = PermutationIndex(reps, lists, order, pivots=pivots)
     if every is None:
         pairs = index.search_all(k, rerank, least)
     else:
-        asking = vectors.where(F.col("id") % every == 0).select("id")
-        asking = asking.join(same.withColumnRenamed("rep", "r"), "id", "left").select(F.coalesce("r", "id").alias("id")).distinct()
         pairs = index.search(index.vectors.join(asking, "id", "left_semi"), k, rerank, probes, least)
     top = _top(pairs, k)
     # of each class of copies only its k + 1 lowest ids can be anyone's neighbours

@@ -18,7 +18,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 most similar of every chunk whose id is divisible by 100, of any cosine, against all rows."""
     found = neighbours.neighbours(
-        table(spark, sf_dir, "chunks"), table(spark, sf_dir, "vectors"), every=100, pivots=256, probes=48, rerank=1024
+        table(spark, sf_dir, "chunks"), table(spark, sf_dir, "vectors"), every=100, pivots=256, lists=4, probes=72, rerank=1024
     )
     return found.select("id", "neighbour", F.round("cosine", 6).alias("cosine"), "rank")
 
