@@ -383,8 +383,19 @@ def restored(values: DataFrame) -> DataFrame:
     return rows.join(fixes, ["field", "id"]).withColumn("p", put("value", "runs")).select("field", "id", "p.restored", "p.complete")
 
 
+def _plausible(run: str) -> bool:
+    """Clean, or clean in lower case, as abbreviations and shouted words are."""
+    return kind_of(run) == "clean" or kind_of(run.lower()) == "clean" and len({script_of(c) for c in run} - {""}) == 1
+
+
 def _clean(text: str) -> bool:
-    return all(kind_of(r) == "clean" for r in RUN.findall(text)) and not any(0x80 <= ord(c) <= 0x9F for c in text)
+    return all(map(_plausible, RUN.findall(text))) and not any(0x80 <= ord(c) <= 0x9F for c in text)
+
+
+def _readings(chain: tuple[str, ...]) -> list[tuple[str, ...]]:
+    """A chain, and the one that reads the same but for control characters."""
+    twin = {"cp1252": "latin_1", "latin_1": "cp1252"}
+    return [chain] + ([tuple(twin.get(x, x) if i % 2 else x for i, x in enumerate(chain))] if chain[1] in twin else [])
 
 
 def _regions(value: str, chain: tuple[str, ...], garbled_runs: set[str]) -> str:
@@ -395,14 +406,15 @@ def _regions(value: str, chain: tuple[str, ...], garbled_runs: set[str]) -> str:
     readable = _BACK.get(chain[-1])
     if readable is None:
         return value
+    marked = [m.span() for m in RUN.finditer(value) if m[0] in garbled_runs]
     out, at = [], 0
     for m in re.finditer("[" + re.escape("".join(readable)) + "]+", value):
-        part = m[0]
-        if any(r in garbled_runs for r in RUN.findall(part)):
-            back = ungarble(part, chain)
-            if back is not None and _clean(back):
-                out += [value[at : m.start()], back]
-                at = m.end()
+        a, b = m.span()
+        if not m[0].isascii() and any(s < b and a < e for s, e in marked):
+            back = ungarble(m[0], chain)
+            if back is not None and back != m[0] and _clean(back):
+                out += [value[at:a], back]
+                at = b
     return "".join(out) + value[at:]
 
 
@@ -412,7 +424,7 @@ def restore(value: str, facts: dict[str, tuple[str | None, str | None]]) -> tupl
     order = [tuple(c.split(" ")) for c, _ in votes.most_common()]
     complete = True
     named = {run for run, (chain, _) in facts.items() if chain}
-    for c in order:
+    for c in dict.fromkeys(r for c in order for r in _readings(c)):
         value = _regions(value, c, named)
 
     def put(m: re.Match) -> str:
@@ -423,9 +435,9 @@ def restore(value: str, facts: dict[str, tuple[str | None, str | None]]) -> tupl
         chain, word = facts[run]
         if word is not None and garble(word, tuple(chain.split(" "))) == run:
             return word
-        for c in ([tuple(chain.split(" "))] if chain else []) + order:
+        for c in [r for o in ([tuple(chain.split(" "))] if chain else []) + order for r in _readings(o)]:
             back = ungarble(run, c)
-            if back is not None and all(kind_of(r) == "clean" for r in RUN.findall(back)):
+            if back is not None and _clean(back):
                 return back
         if word is not None:
             return word
