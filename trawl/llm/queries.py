@@ -123,9 +123,36 @@ FROM sized WHERE length(text) > 1800 OR len(words) > 400
 """
 
 
+#: All pairs by brute force, for small tables.
+_P1 = """
+WITH usable AS (
+  SELECT c.id, c.namespace, c.vector::DOUBLE[] AS v FROM chunks c JOIN vectors n ON n.namespace = c.namespace
+  WHERE c.vector IS NOT NULL AND len(c.vector) = n.dimensions
+    AND len(list_filter(c.vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(c.vector, lambda x: x <> 0)) > 0
+),
+units AS (SELECT id, namespace, list_transform(v, lambda x: (x / sqrt(list_dot_product(v, v)))::FLOAT)::FLOAT[128] AS u FROM usable),
+near AS (SELECT a.id AS a, b.id AS b, array_inner_product(a.u, b.u) AS c FROM units a JOIN units b ON a.namespace = b.namespace AND a.id <> b.id),
+top AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM near WHERE c >= 0.9)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM top WHERE r <= 10
+"""
+_P4 = """
+WITH words AS (SELECT id, text, regexp_extract_all(text, '[^ \\t\\r\\n]+') AS w FROM chunks WHERE text IS NOT NULL),
+sets AS (
+  SELECT id, md5(text) AS t, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2])) AS s
+  FROM words WHERE len(w) >= 40
+),
+one AS (SELECT id, t, len(s) AS n, unnest(s) AS x FROM sets),
+shared AS (
+  SELECT a.id AS id_a, b.id AS id_b, count(*) AS k, any_value(a.n) AS n, any_value(b.n) AS m
+  FROM one a JOIN one b ON a.x = b.x AND a.id < b.id AND a.t <> b.t GROUP BY 1, 2
+)
+SELECT id_a, id_b FROM shared WHERE k / (n + m - k) >= 0.7
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_knn, p2_found, p2_pieces, p3_found, p3_segments, p4_found, p4_groups, p5_found, p5_normalised, p7_found, p7_restored, p8_ids, p8_decoded, p9_found, p9_mix, p9_shares, p10_found, p10_sentences)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2, "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+    return {"p1_found": _P1, "p2_found": _P2, "p4_found": _P4, "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
