@@ -150,9 +150,29 @@ SELECT id_a, id_b FROM shared WHERE k / (n + m - k) >= 0.7
 """
 
 
+def _p5() -> str:
+    """Every look-alike folded to one letter, whatever the word: more than the operator does, and the same pairs."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    wide = range(0xFF01, 0xFF5F)
+    hidden = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in lookalike.INVISIBLE) + "]"
+    spaces = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in lookalike.SPACES) + "]"
+    value = f"regexp_replace(regexp_replace(value, '{hidden}', '', 'g'), '{spaces}', ' ', 'g')"
+    value = f"nfc_normalize(translate({value}, {quoted(''.join(map(chr, wide)))}, {quoted(''.join(chr(c - 0xFEE0) for c in wide))}))"
+    form = f"nfc_normalize(translate({value}, {quoted(lookalike.CYRILLIC + lookalike.GREEK + 'ёЁїЇ')}, {quoted(lookalike.LATIN_CYRILLIC + lookalike.LATIN_GREEK + 'ëËïÏ')}))"
+    return f"""
+WITH texts AS (
+  SELECT 'chunk_text' AS field, id, text AS value FROM chunks WHERE text IS NOT NULL
+  UNION ALL SELECT 'file_name', id, name FROM files WHERE name IS NOT NULL
+),
+forms AS (SELECT field, id, value, {form} AS form FROM texts)
+SELECT a.field, a.id AS id_a, b.id AS id_b FROM forms a JOIN forms b ON a.field = b.field AND a.form = b.form AND a.id < b.id
+WHERE a.value <> b.value AND regexp_matches(a.form, '[^\\s]')
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_knn, p2_found, p2_pieces, p3_found, p3_segments, p4_found, p4_groups, p5_found, p5_normalised, p7_found, p7_restored, p8_ids, p8_decoded, p9_found, p9_mix, p9_shares, p10_found, p10_sentences)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p2_found": _P2, "p4_found": _P4, "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+    return {"p1_found": _P1, "p2_found": _P2, "p4_found": _P4, "p5_found": _p5(), "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
