@@ -26,8 +26,16 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
     at = tempfile.mkdtemp(prefix="trawl-ship-")  # the driver serves the file to the executors from here
     atexit.register(shutil.rmtree, at, ignore_errors=True)
-    with zipfile.PyZipFile(f"{at}/trawl.zip", "w", optimize=0) as z:
-        z.writepy(os.path.dirname(os.path.abspath(__file__)))
+    package = os.path.dirname(os.path.abspath(__file__))
+    try:
+        with zipfile.PyZipFile(f"{at}/trawl.zip", "w", optimize=0) as z:
+            z.writepy(package)
+    except OSError:  # compiled files can't be written beside the sources
+        with zipfile.ZipFile(f"{at}/trawl.zip", "w") as z:
+            for folder, _, files in os.walk(package):
+                for f in files:
+                    if f.endswith(".py"):
+                        z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), os.path.dirname(package)))
     sc.addPyFile(f"{at}/trawl.zip")
 
 
