@@ -34,6 +34,8 @@ def test_sentences_with_spaces(parts):
     [
         ["今天早上，它找到了文件。", "海维克写道：“什么都没有丢。谁？”", "重启之后，编号3……，它停了！", "“请再试”这是备注。"],
         ["記録によると、版4.1で直りました。", "「もう一度。さあ！」と書かれていました。", "担当者は「何も？」", "検索が断片を……比べました。"],
+        ["昨日、表を比べました", "　今朝、古い 請求書を見つけました", " しかし動きません"],
+        ["今天早上找到了", " 根据日志，旧 发票不在了"],
         ["กรุณาตรวจไฟล์ memo.xlsx ก่อนประชุม", " เมื่อวานพบ 14 ชุด", " สุดท้าย"],
     ],
 )

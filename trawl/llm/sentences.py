@@ -31,13 +31,19 @@ NUMBERED = frozenset(
 #: These may end a sentence and may not.
 EITHER = frozenset("etc usw ecc enz a.m p.m др пр dgl".split())
 MONTHS = frozenset("Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember".split())
-#: Words of Japanese and Chinese that go on after a quotation, and words that begin with them and don't.
-GO_ON = ("と", "って", "という", "との", "に", "を", "が", "は", "の", "も", "で", "や", "へ", "から", "より", "まで", "など", "的", "地", "得", "了", "吗", "呢", "着", "等")
-OPENING = ("とても", "ところが", "ところで", "とくに", "とりあえず", "もう", "もし", "もっと", "でも", "では", "のち", "はい", "はじめ", "にわか", "がんばる", "的确", "地图", "地方", "得分", "了解", "等待")
+#: Words of Japanese and Chinese for the lattice (fixed values): particles that go on after a quotation, words that
+#: end a sentence, words that open one, and words that only begin like one of these.
+GO_ON = ("と", "って", "という", "との", "に", "を", "が", "は", "の", "も", "で", "や", "へ", "から", "より", "まで", "など", "的", "地", "得", "着", "等")
+FINAL = ("です", "ます", "でした", "ました", "ません", "ませんでした", "ください", "だ", "だった", "である", "ない", "なかった", "た", "ね", "よ", "か", "了", "吗", "呢", "吧", "啊", "的")
+OPENING = (
+    "今朝", "今日", "昨日", "明日", "月曜日に", "最後に", "最初に", "次に", "再起動の後", "記録によると", "会議の前に", "しかし", "そして", "また", "ただし", "なお", "担当者は", "誰も",
+    "今天", "今天早上", "昨天", "明天", "周一", "最后", "首先", "然后", "根据", "重启之后", "但是", "而且", "因此", "所以", "请", "没人", "我们", "他们", "这", "那",
+)
+OTHER = ("とても", "ところが", "ところで", "とくに", "とりあえず", "もう", "もし", "もっと", "でも", "では", "のち", "はい", "はじめ", "にわか", "がんばる", "的确", "地图", "地方", "得分", "了解", "等待", "あした", "きた", "した")
 
 _OPEN = {"«": "»", "“": "”", "„": "“”", "「": "」", "『": "』", "‹": "›", "»": "«"}
 _QUOTE = re.compile("[«»“”„「」『』‹›\"]")
-_TERM = re.compile(r"[.!?…。！？؟।｡]+|(?<=[฀-๿]) (?=[฀-๿])")
+_TERM = re.compile(r"[.!?…。！？؟।｡]+|(?<=[฀-๿]) (?=[฀-๿])|(?<=[぀-ヿ㐀-鿿])[ 　]+(?=[぀-ヿ㐀-鿿])")
 _CLOSERS = ")]）】』」”»›"
 _CJK = re.compile("[぀-ヿ㐀-鿿，、：；]")
 _FILE = re.compile(r"[\w\-.]*\w\.\w{1,5}(?!\w)")
@@ -51,18 +57,30 @@ class Lattice:
     def __init__(self, words: tuple[str, ...]):
         self.words, self.longest = frozenset(words), max(map(len, words))
 
-    def first(self, text: str) -> str:
-        n = min(len(text), 12)
+    def cut(self, text: str) -> list[str]:
+        n = len(text)
         cost, step = [0.0] * (n + 1), [1] * (n + 1)
         for i in range(n - 1, -1, -1):
             cost[i], step[i] = 1.5 + cost[i + 1], 1
             for k in range(1, min(self.longest, n - i) + 1):
                 if text[i : i + k] in self.words and 1 + cost[i + k] < cost[i]:
                     cost[i], step[i] = 1 + cost[i + k], k
-        return text[: step[0]]
+        out, i = [], 0
+        while i < n:
+            out.append(text[i : i + step[i]])
+            i += step[i]
+        return out
+
+    def first(self, text: str) -> str:
+        """The word that opens a text."""
+        return next(iter(self.cut(text[:12])), "")
+
+    def last(self, text: str) -> str:
+        """The word that ends a text."""
+        return (self.cut(text[-12:]) or [""])[-1]
 
 
-_LATTICE = Lattice(GO_ON + OPENING)
+_LATTICE = Lattice(GO_ON + FINAL + OPENING + OTHER)
 
 
 def units(text: str) -> Iterator[tuple[int, int]]:
@@ -217,8 +235,10 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
             while k < len(opens) and spans[opens[k]] < a:
                 k += 1
             quote = (opens[k], spans[opens[k]]) if k < len(opens) and opens[k] < a else None
-            if m[0] == " ":  # Thai
-                if quote is None and unit[b] not in "ๆฯ":
+            if m[0].isspace():  # in Thai an end by itself, elsewhere between a final word and an opening one
+                thai = "฀" <= unit[b] <= "๿"
+                ends = unit[b] not in "ๆฯ" if thai else _LATTICE.last(unit[begin:a]) in FINAL and _LATTICE.first(unit[b:]) in OPENING
+                if quote is None and ends:
                     put(first, begin, a)
                     begin = done = b
                 continue
@@ -229,7 +249,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
             while b < len(unit) and unit[b] in _CLOSERS and b not in spans:
                 b += 1
             # final marks behind a closing mark decide by themselves
-            if quote is not None and (later := _TERM.match(unit, b)) and later[0] != " ":
+            if quote is not None and (later := _TERM.match(unit, b)) and not later[0].isspace():
                 continue
             if _ends(unit, begin, m[0], a, b, quote):
                 put(first, begin, b)
