@@ -3,8 +3,8 @@
 For every distinct clean word of the corpus its garbled forms are made under all encoding chains: written in
 an encoding and read in another, once or twice. The words of the documents are joined with that table by
 hash. A match is verified by garbling the original again. A word that looks odd marks its document; of words
-that look clean, as Hebrew read as Cyrillic does, the original must be far more frequent and two must match in
-one row. The original is put in the place of the match. Scripts without spaces have no words to look up; there the garbled forms of short sequences
+that look clean, as Hebrew read as Cyrillic does, the original must be far more frequent, and the word be long or
+two match in one row. The original is put in the place of the match. Scripts without spaces have no words to look up; there the garbled forms of short sequences
 of characters are made, and all windows of an odd run are joined. In a document so found, odd words that match
 nothing are read back by the chain of their neighbours, if that gives a clean word that garbles to them.
 """
@@ -286,6 +286,8 @@ def probes(odd: DataFrame) -> DataFrame:
 
 #: How many times more frequent than a clean word the word must be of which it is taken for a garbled form.
 FAR_MORE = 4
+#: A clean word of so many letters is no other one's garbled form by chance; of shorter ones a row must have two.
+LONG = 6
 
 
 def verified(run: str, word: str, chain: str, unit: bool, n_word: int = 1, n_run: int = 1, odd: bool = True) -> bool:
@@ -353,7 +355,8 @@ def found_runs(values: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _marked(by_row: DataFrame, found: DataFrame) -> DataFrame:
     hits = by_row.join(found.select("run", "sure"), ["run", "sure"])
     # counts and flags only: combined on the map side, however many words a row has
-    return hits.groupBy("field", "id").agg(F.bool_or("sure").alias("odd"), F.count(F.lit(1)).alias("n")).where("odd OR n > 1").select("field", "id")
+    facts = F.bool_or("sure").alias("odd"), F.count(F.lit(1)).alias("n"), F.max(F.length("run")).alias("longest")
+    return hits.groupBy("field", "id").agg(*facts).where(F.col("odd") | (F.col("n") > 1) | (F.col("longest") >= LONG)).select("field", "id")
 
 
 def garbled(values: DataFrame) -> DataFrame:
