@@ -305,7 +305,8 @@ def verified(run: str, word: str, chain: str, unit: bool, n_word: int = 1, n_run
     # text written in UTF-8 shows it; of others short runs may be what they seem, and so may runs more frequent than the word
     if chain.startswith("utf-8"):
         return len(g) > 1
-    return unit or len(g) > 2 and (len(strange) > 1 or len(g) > 3) and n_word >= n_run
+    telling = len(strange) > 1 or len(g) > 3 or not strange[0].isalpha() and strange[0] not in CLEAN_MARKS
+    return unit or len(g) > 2 and telling and n_word >= n_run
 
 
 def matches(rows: DataFrame) -> DataFrame:
