@@ -161,9 +161,9 @@ def near_duplicates(
     words: int = 5,
     threshold: float = 0.8,
     least_words: int = 0,
-    trees: int = 40,
+    trees: int = 56,
     depth: int = 8,
-    recall: float = 0.999,
+    recall: float = 0.9999,
 ) -> tuple[DataFrame, DataFrame]:
     """``members`` (``id``, ``rep``) and ``links`` (``a`` < ``b``, ``similarity``) between representatives.
 
