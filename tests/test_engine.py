@@ -99,3 +99,14 @@ def test_settings_and_command_line():
             Settings(**bad)
     a = parser().parse_args(["idx", "search", "a", "b", "--folder", "C:/x", "--similar", "3"])
     assert query_text(a.query, a.folder) == 'a b path:"C:/x"' and a.similar == 3
+
+
+def test_running_total(spark):
+    from trawl.operators.upkeep import running_total
+
+    df = spark.createDataFrame([(i, i * 7 % 50, None if i % 9 == 0 else i) for i in range(200)], "id long, o int, v long").repartition(7)
+    got = {r["id"]: r["total"] for r in running_total(df, ["o", "id"], "v").collect()}
+    total = 0
+    for o, i in sorted((i * 7 % 50, i) for i in range(200)):
+        total += 0 if i % 9 == 0 else i
+        assert got[i] == total

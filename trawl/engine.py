@@ -161,7 +161,10 @@ class Engine:
         body = texts.where("text IS NOT NULL").withColumnsRenamed({"line_start": "base", "heading": "of_part"}).drop("line_end", "error")
         modality = F.when(F.col("kind") == "code", "code").otherwise("text")
         made = chunked(body.withColumn("modality", modality), modality=F.col("modality"), extension=F.col("extension"))
-        order = F.row_number().over(_chunk_order()) - 1
+        # a part's chunks are numbered already; only parts are counted up within a file, not chunks
+        parts_of = made.groupBy("file_id", "part").agg(F.count(F.lit(1)).alias("n"))
+        made = made.join(parts_of.withColumn("before", F.coalesce(F.sum("n").over(_earlier_parts()), F.lit(0))).drop("n"), ["file_id", "part"])
+        order = F.col("before") + F.col("seq")
         offset = F.coalesce(F.col("base"), F.lit(1)) - 1
         fresh = made.select(
             "file_id", order.alias("seq"), "modality", "text", F.coalesce("of_part", "heading").alias("heading"), "page",
@@ -285,7 +288,7 @@ class Engine:
         )
 
 
-def _chunk_order():
+def _earlier_parts():
     from pyspark.sql import Window
 
-    return Window.partitionBy("file_id").orderBy("part", "seq")
+    return Window.partitionBy("file_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

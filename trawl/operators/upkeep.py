@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import priority, state
+from ..runtime import materialize
 
 
 def scan_diff(scan: DataFrame, files: DataFrame, compare: Sequence[str] = ("size", "mtime_ns")) -> DataFrame:
@@ -39,6 +40,7 @@ def with_ids(rows: DataFrame, order: Sequence[str], table: DataFrame) -> DataFra
     """
     start = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
     placed = rows.orderBy(*order).withColumn("__p", F.monotonically_increasing_id()).withColumn("__part", F.spark_partition_id())
+    placed = materialize(placed, "placed")  # ranges are sampled, so a second sort might cut them elsewhere
     first = placed.groupBy("__part").agg(F.min("__p").alias("__first"), F.count(F.lit(1)).alias("__n"))
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     before = first.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
@@ -48,6 +50,21 @@ def with_ids(rows: DataFrame, order: Sequence[str], table: DataFrame) -> DataFra
     return joined.withColumn("__id", number).drop("__top", "__before", "__first", "__p", "__part")
 
 
+def running_total(rows: DataFrame, order: Sequence, value: str, name: str = "total") -> DataFrame:
+    """``rows`` with the sum of ``value`` (nulls count 0) up to and with each row in a global order.
+
+    Sums within range partitions on top of those of the partitions before: no task sees all rows.
+    """
+    amount = F.coalesce(F.col(value), F.lit(0))
+    placed = rows.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__p", F.monotonically_increasing_id())
+    placed = materialize(placed, "placed")  # ranges are sampled, so a second sort might cut them elsewhere
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy("__part").agg(F.sum(amount).alias("__s")).withColumn("__before", F.coalesce(F.sum("__s").over(earlier), F.lit(0)))
+    within = F.sum(amount).over(Window.partitionBy("__part").orderBy("__p").rowsBetween(Window.unboundedPreceding, 0))
+    joined = placed.withColumn("__w", within).join(F.broadcast(before.drop("__s")), "__part")  # a row for each task
+    return joined.withColumn(name, F.col("__w") + F.col("__before")).drop("__part", "__p", "__w", "__before")
+
+
 def upsert(files: DataFrame, scan: DataFrame, run: int) -> DataFrame:
     """The files table after a scan: unseen rows stay, same ones get the run's stamp, changed and new ones are queued.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
@@ -126,12 +126,13 @@ def applied_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.apply_batch(files, batch, metadata, run=5).select("id", "state", "seen")
 
 
-@query("AGG-21", sql="SELECT id FROM (SELECT id, sum(coalesce(size, 0)) OVER (ORDER BY modified DESC NULLS LAST, id) AS used FROM files WHERE root_id = 2) WHERE used <= 50000000")
+@query("AGG-21", sql="SELECT id, used::BIGINT AS used FROM (SELECT id, sum(coalesce(size, 0)) OVER (ORDER BY modified DESC NULLS LAST, id) AS used FROM files) WHERE used <= 500000000")
 def kept_in_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest entries that fit a budget, by running sums within a root."""
-    w = Window.partitionBy("root_id").orderBy(F.col("modified").desc_nulls_last(), "id").rowsBetween(Window.unboundedPreceding, 0)
-    f = table(spark, sf_dir, "files").where("root_id = 2").select("id", F.sum(F.coalesce("size", F.lit(0))).over(w).alias("used"))
-    return f.where("used <= 50000000").select("id")
+    """The newest entries that fit a budget."""
+    from ..operators.upkeep import running_total
+
+    f = table(spark, sf_dir, "files").select("id", "size", "modified")
+    return running_total(f, [F.col("modified").desc_nulls_last(), F.col("id")], "size", "used").where("used <= 500000000").select("id", "used")
 
 
 @query("STR-6")
