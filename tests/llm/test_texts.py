@@ -197,3 +197,19 @@ def test_found_and_restored(spark):
     back = {r["id"]: (r["restored"], r["complete"]) for r in M.restored(df).collect()}
     assert [back[100 + i][0] for i in range(5)] == [clean[0], clean[1], clean[2], clean[0], clean[3]]
     assert back[105] == ("Guter Text. für Küchen", True) and back[106][0] == "Família"
+
+
+def found(spark, rows):
+    df = spark.createDataFrame([("t", i, v) for i, v in enumerate(rows)], "field string, id long, value string")
+    return {r["id"] for r in M.garbled(df).collect()}
+
+
+def test_garbled_copies_outnumber_the_original(spark):
+    clean = ["Какой беспорядок на диске", "Die Übersicht für größere Küchen", "אתמול מנהל התור שמר את התיקייה"]
+    made = [M.garble(clean[0], ("koi8_r", "cp1251")), M.garble(clean[0], ("cp1251", "cp1252")), M.garble(clean[1], ("mac_roman", "cp1252")), M.garble(clean[2], ("cp1255", "cp1252"))]
+    assert found(spark, clean + made * 9) == set(range(3, 39))
+    # in many different texts, too, and in names of one word
+    assert found(spark, ["диск", "Küche"] + [f"{g} {n}" for n in range(5) for g in (M.garble("диск беспорядок", ("cp1251", "latin_1")), M.garble("Küche", ("cp1252", "cp850")))]) >= {3, 5, 7, 9, 11}
+    # Hebrew that looks like Cyrillic words
+    many = [f"{clean[2]} {n}" for n in range(8)]
+    assert found(spark, many + [M.garble(clean[2], ("cp1255", "cp1251"))] * 30) == set(range(8, 38))

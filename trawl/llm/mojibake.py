@@ -3,8 +3,8 @@
 For every distinct clean word of the corpus its garbled forms are made under all encoding chains: written in
 an encoding and read in another, once or twice. The words of the documents are joined with that table by
 hash. A match is verified by garbling the original again. A word that looks odd marks its document; of words
-that look clean, as Hebrew read as Cyrillic does, the original must be far more frequent, and the word be long or
-two match in one row. The original is put in the place of the match. Scripts without spaces have no words to look up; there the garbled forms of short sequences
+that look clean, as Hebrew read as Cyrillic does, the original must be in far more different texts, and the word be
+long or two match in one row under one chain. The original is put in the place of the match. Scripts without spaces have no words to look up; there the garbled forms of short sequences
 of characters are made, and all windows of an odd run are joined. In a document so found, odd words that match
 nothing are read back by the chain of their neighbours, if that gives a clean word that garbles to them.
 """
@@ -189,10 +189,11 @@ def _hash(text: str) -> int:
 
 
 def runs(values: DataFrame) -> DataFrame:
-    """``kind``, ``run``, ``n``, ``field``, ``id``: the words of the values that aren't all ASCII.
+    """``kind``, ``run``, ``n``, ``field``, ``id``, ``text``: the words of the values that aren't all ASCII.
 
-    ``clean`` words are counted within a batch, without rows; in scripts without spaces their units are ``unit``
-    instead. ``odd`` words, and the clean ones long enough to be told by (``seen``), come with their rows.
+    ``clean`` and ``odd`` words come with their rows and the hash of the whole value. In scripts without spaces the
+    units of clean words are ``unit`` instead, counted within a batch, without rows. ``bare`` are clean words without
+    the marks around them.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,51 +201,51 @@ def runs(values: DataFrame) -> DataFrame:
         for b in batches:
             clean: Counter = Counter()
             units: Counter = Counter()
-            odd: list[tuple[str, int, str]] = []
-            seen: list[tuple[str, int, str]] = []
+            rows: list[tuple] = []
             for field, i, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                text = _hash(value)
                 for run in set(RUN.findall(value)):
                     if len(known) > 200_000:
                         known.clear()
                     k = known.get(run)
                     if k is None:
                         k = known[run] = kind_of(run)
-                    if k == "odd":
-                        odd.append((field, i, run))
-                    elif k == "clean":
+                    if k:
+                        rows.append((k, run, 1, field, i, text))
+                    if k == "clean":
                         clean[run] += 1
-                        if may_deceive(run):
-                            seen.append((field, i, run))
-            for run, n in list(clean.items()):
+            spaceless: set[str] = set()
+            bare: set[str] = set()
+            for run, n in clean.items():
                 script = {script_of(c) for c in run}
                 size = UNIT["CJK"] if "CJK" in script else UNIT["THAI"] if "THAI" in script else 0
                 if size:
-                    del clean[run]
+                    spaceless.add(run)
                     for part in re.split(r"[A-Za-z]+", run):
                         for at in range(max(1, len(part) - size + 1)):
                             units[part[at : at + size]] += n
                 else:
                     stripped = run.strip("’‘‚“”„‹›«»–—…¿¡")
                     if stripped != run and stripped and not stripped.isascii():
-                        clean[stripped] += 0
-            rows = [("clean", r, n, None, None) for r, n in clean.items()] + [("unit", r, n, None, None) for r, n in units.items() if r]
-            rows += [("odd", r, 1, f, i) for f, i, r in odd] + [("seen", r, 1, f, i) for f, i, r in seen]
-            columns = list(zip(*rows)) if rows else [[], [], [], [], []]
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["kind", "run", "n", "field", "id"])
+                        bare.add(stripped)
+            rows = [r for r in rows if r[0] == "odd" or r[1] not in spaceless]
+            rows += [("bare", r, 0, None, None, None) for r in bare] + [("unit", r, n, None, None, None) for r, n in units.items() if r]
+            columns = list(zip(*rows)) if rows else [[], [], [], [], [], []]
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["kind", "run", "n", "field", "id", "text"])
 
     kept = values.select("field", F.col("id").cast("long"), "value").where("id IS NOT NULL AND value IS NOT NULL")
-    return kept.where(F.col("value").rlike(r"[^\x00-\x7f]")).mapInArrow(cut, "kind string, run string, n long, field string, id long")
+    return kept.where(F.col("value").rlike(r"[^\x00-\x7f]")).mapInArrow(cut, "kind string, run string, n long, field string, id long, text long")
 
 
 def garbled_forms(words: DataFrame) -> DataFrame:
-    """``form`` (hash of the garbled form), ``unit``, ``word``, ``n``, ``chain``: for every clean word under every chain."""
+    """``form`` (hash of the garbled form), ``unit``, ``word``, ``n``, ``rows``, ``chain``: for every clean word under every chain."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {s: chains(s) for s in WRITTEN}
         for b in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for kind, word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            for kind, word, n, in_rows in zip(*(c.to_pylist() for c in b.columns)):
                 script = next((s for s in map(script_of, word) if s and s != "LATIN"), "LATIN")
                 forms: dict[str, tuple[str, ...]] = {}
                 for chain in known.get(script, known["DEVANAGARI"]):
@@ -254,12 +255,12 @@ def garbled_forms(words: DataFrame) -> DataFrame:
                 for g, chain in forms.items():
                     if kind == "unit" and (len(g) not in WINDOWS or REPLACED in g):
                         continue
-                    for column, value in zip(out, (_hash(g), kind == "unit", word, n, " ".join(chain))):
+                    for column, value in zip(out, (_hash(g), kind == "unit", word, n, in_rows, " ".join(chain))):
                         column.append(value)
-            kinds = (pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["form", "unit", "word", "n", "chain"])
+            kinds = (pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["form", "unit", "word", "n", "rows", "chain"])
 
-    return words.select("kind", "run", "n").mapInArrow(make, "form long, unit boolean, word string, n long, chain string")
+    return words.select("kind", "run", "n", "rows").mapInArrow(make, "form long, unit boolean, word string, n long, rows long, chain string")
 
 
 def probes(odd: DataFrame) -> DataFrame:
@@ -286,34 +287,49 @@ def probes(odd: DataFrame) -> DataFrame:
 
 #: How many times more frequent than a clean word the word must be of which it is taken for a garbled form.
 FAR_MORE = 4
-#: A clean word of so many letters is no other one's garbled form by chance; of shorter ones a row must have two.
+#: A word of so many letters is no other one's garbled form by chance; of shorter ones a row must have two.
 LONG = 6
+#: What a match tells: nothing, that its row is garbled if another one in the row has the same chain, that it is garbled.
+NOTHING, WITH_ANOTHER, ALONE = range(3)
 
 
-def verified(run: str, word: str, chain: str, unit: bool, n_word: int = 1, n_run: int = 1, odd: bool = True) -> bool:
-    """Whether the match holds: the word garbles to the run (or to part of it), and the run isn't a look-alike spelling."""
-    if not odd and (unit or n_word < FAR_MORE * n_run):
-        return False
+def verified(run: str, word: str, chain: str, unit: bool, often: bool = True, far: bool = True, odd: bool = True) -> int:
+    """What the match tells: the word garbles to the run (or to part of it), and the run isn't a look-alike spelling.
+
+    ``often``: the word is in as many different texts as the run, so that copies of a garbled text don't make it
+    right; ``far``: in far more, or in as many and far more rows.
+    """
+    if not odd and (unit or not far):
+        return NOTHING
     g = garble(word, tuple(chain.split(" ")))
     if g is None or (g not in run if unit else g.strip("\xa0\xad") != run.strip("\xa0\xad")):
-        return False
+        return NOTHING
+    long = odd or len(run) >= LONG
     if REPLACED in run:
-        return True
+        return ALONE
     strange = [c for c in g if not c.isascii()]
     if all(c in AMBIGUOUS for c in strange):
-        return False
-    # text written in UTF-8 shows it; of others short runs may be what they seem, and so may runs more frequent than the word
+        return NOTHING
+    # text written in UTF-8 shows it; of others short runs may be what they seem
     if chain.startswith("utf-8"):
-        return len(g) > 1
-    telling = len(strange) > 1 or len(g) > 3 or not strange[0].isalpha() and strange[0] not in CLEAN_MARKS
-    return unit or len(g) > 2 and telling and n_word >= n_run
+        return NOTHING if len(g) < 2 else ALONE if long else WITH_ANOTHER
+    symbol = any(not c.isalpha() and c not in CLEAN_MARKS for c in strange)
+    telling = len(strange) > 1 or len(g) > 3 or symbol
+    if not (unit or len(g) > 2 and telling):
+        return NOTHING
+    # short words of letters only that are more frequent than the word, as abbreviations are, need another one
+    sure = unit or symbol or often or len(g) >= LONG
+    return ALONE if long and sure else WITH_ANOTHER
 
 
 def matches(rows: DataFrame) -> DataFrame:
-    """``run``, ``sure``, ``chain``, ``word`` (null where only windows matched): runs that are garbled clean words."""
-    counted = materialize(rows.where("kind <> 'seen'").groupBy("kind", "run").agg(F.sum("n").alias("n")), "words")
+    """``run``, ``sure``, ``chain``, ``word`` (null where only windows matched), ``alone``, ``chains``: runs that are garbled clean words."""
+    texts = rows.where("text IS NOT NULL").groupBy("kind", "run", "text").agg(F.sum("n").alias("rows")).drop("text").withColumn("n", F.lit(1))
+    others = rows.where("text IS NULL").select(F.when(F.col("kind") == "bare", "clean").otherwise(F.col("kind")).alias("kind"), "run", "n", F.col("n").alias("rows"))
+    counted = texts.unionByName(others).groupBy("kind", "run").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))  # n: different texts
+    counted = materialize(counted, "words")
     words = counted.where("kind <> 'odd'")
-    odd = counted.where("kind = 'odd'").select("run", F.col("n").alias("n_run"), F.lit(True).alias("sure"))
+    odd = counted.where("kind = 'odd'").select("run", F.col("n").alias("n_run"), F.col("rows").alias("rows_run"), F.lit(True).alias("sure"))
 
     @F.pandas_udf("boolean")
     def deceives(run):
@@ -324,40 +340,46 @@ def matches(rows: DataFrame) -> DataFrame:
         return run.map(_hash)
 
     clean = counted.where("kind = 'clean' AND n > 0").where(deceives("run"))
-    clean = clean.select("run", F.col("n").alias("n_run"), F.lit(False).alias("sure"), hashed("run").alias("form"), F.lit(False).alias("unit"))
+    clean = clean.select("run", F.col("n").alias("n_run"), F.col("rows").alias("rows_run"), F.lit(False).alias("sure"), hashed("run").alias("form"), F.lit(False).alias("unit"))
     asked = probes(odd).join(odd, "run").select(*clean.columns).unionByName(clean)
     hit = asked.join(garbled_forms(words), ["form", "unit"])
 
-    @F.pandas_udf("boolean")
-    def holds(run, word, chain, unit, n, n_run, sure):
+    @F.pandas_udf("int")
+    def tells(run, word, chain, unit, often, far, sure):
         import pandas as pd
 
-        return pd.Series([verified(*x) for x in zip(run, word, chain, unit, n, n_run, sure)], dtype=bool)
+        return pd.Series([verified(*x) for x in zip(run, word, chain, unit, often, far, sure)], dtype="int32")
 
-    best = hit.where(holds("run", "word", "chain", "unit", "n", "n_run", "sure")).groupBy("run", "sure").agg(
-        F.max(F.struct((~F.col("unit")).alias("whole"), "n", "chain", "word")).alias("best")
+    often = F.col("n") >= F.col("n_run")
+    far = (F.col("n") >= FAR_MORE * F.col("n_run")) | often & (F.col("rows") >= FAR_MORE * F.col("rows_run"))
+    best = hit.withColumn("tells", tells("run", "word", "chain", "unit", often, far, "sure")).where(F.col("tells") > NOTHING).groupBy("run", "sure").agg(
+        F.max(F.struct((~F.col("unit")).alias("whole"), "n", "chain", "word")).alias("best"),
+        (F.max("tells") == ALONE).alias("alone"),
+        F.collect_set("chain").alias("chains"),  # there are few chains
     )
-    return best.select("run", "sure", "best.chain", F.when(F.col("best.whole"), F.col("best.word")).alias("word"))
+    return best.select("run", "sure", "best.chain", F.when(F.col("best.whole"), F.col("best.word")).alias("word"), "alone", "chains")
 
 
 def found_runs(values: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Runs by row (``field``, ``id``, ``run``, ``sure``), and those that are garbled (``run``, ``sure``, ``chain``, ``word``).
+    """Runs by row (``field``, ``id``, ``run``, ``sure``), and those that are garbled, as from :func:`matches`.
 
     A run with a replacement character is garbled, matched or not.
     """
     rows = materialize(runs(values), "runs")
     match = materialize(matches(rows), "matches")
-    by_row = rows.where("kind IN ('odd', 'seen')").select("field", "id", "run", (F.col("kind") == "odd").alias("sure")).distinct()
+    by_row = rows.where("kind IN ('odd', 'clean')").select("field", "id", "run", (F.col("kind") == "odd").alias("sure")).distinct()
     lost = by_row.where(F.col("run").contains(REPLACED)).select("run", "sure").distinct().join(match.select("run"), "run", "left_anti")
     none = F.lit(None).cast("string")
-    return by_row, match.unionByName(lost.select("run", "sure", none.alias("chain"), none.alias("word")))
+    lost = lost.select("run", "sure", none.alias("chain"), none.alias("word"), F.lit(True).alias("alone"), F.lit(None).cast("array<string>").alias("chains"))
+    return by_row, match.unionByName(lost)
 
 
 def _marked(by_row: DataFrame, found: DataFrame) -> DataFrame:
-    hits = by_row.join(found.select("run", "sure"), ["run", "sure"])
+    hits = by_row.join(found.select("run", "sure", "alone", "chains"), ["run", "sure"])
     # counts and flags only: combined on the map side, however many words a row has
-    facts = F.bool_or("sure").alias("odd"), F.count(F.lit(1)).alias("n"), F.max(F.length("run")).alias("longest")
-    return hits.groupBy("field", "id").agg(*facts).where(F.col("odd") | (F.col("n") > 1) | (F.col("longest") >= LONG)).select("field", "id")
+    by_chain = hits.select("field", "id", "alone", F.explode_outer("chains").alias("chain")).groupBy("field", "id", "chain")
+    told = by_chain.agg(F.bool_or("alone").alias("alone"), F.count(F.lit(1)).alias("n")).where(F.col("alone") | (F.col("n") > 1))
+    return told.select("field", "id").distinct()
 
 
 def garbled(values: DataFrame) -> DataFrame:
