@@ -89,3 +89,19 @@ def test_ties_come_by_id(spark):
     df = spark.createDataFrame([(i, "g", [1.0, 1.0]) for i in (5, 3, 9, 1)], "id long, namespace string, vector array<float>")
     got = {(r["id"], r["rank"]): r["neighbour"] for r in N.neighbours(df, names, k=2).collect()}
     assert got == {(1, 1): 3, (1, 2): 5, (3, 1): 1, (3, 2): 5, (5, 1): 1, (5, 2): 3, (9, 1): 1, (9, 2): 3}
+
+
+def test_many_near_copies(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 64))
+    x[::3] = rng.normal(size=64) + rng.normal(size=(2000, 64)) * 0.23  # a third of the rows, cosine about 0.95
+    x = x.astype(np.float32)
+    names = spark.createDataFrame([("g", 64)], "namespace string, dimensions int")
+    df = spark.createDataFrame([(i, "g", v.tolist()) for i, v in enumerate(x)], "id long, namespace string, vector array<float>").repartition(4)
+    c = brute(x, 10)
+    want = {(i, int(j)) for i in range(0, 6000, 3) for j in np.argsort(-c[i])[:10]}
+    assert 0.94 < np.median(c[::3, ::3]) < 0.96 and min(c[p] for p in want) >= 0.9
+    got = {(r["id"], r["neighbour"]) for r in N.neighbours(df, names, least=0.9).collect()}
+    assert len(want & got) >= 0.999 * len(want)
+    asked = {(r["id"], r["neighbour"]) for r in N.neighbours(df, names, least=0.9, every=60, lists=4, rerank=128).collect()}
+    assert len({p for p in want if p[0] % 60 == 0} & asked) >= 0.999 * 10 * 100

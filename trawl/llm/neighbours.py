@@ -3,12 +3,16 @@
 A vector is represented by its nearest pivots in order. It is posted in the inverted file of each of
 its first ``lists`` pivots. Two vectors meet in a list when they share one of those pivots; there they
 are ranked by the footrule distance of their orders (a pivot missing from an order counts as the place
-after the last), and the first ``rerank`` of each are compared by cosine.
+after the last), and the first ``rerank`` of each are compared by cosine; all of them where it is None.
+
+Among many near copies of each other the order of pivots tells little. Pivots that are near copies form
+a group; where it has more pivots than a row has lists, all rows nearest to one of them meet, and all are compared.
 
 Scale: a row is posted ``lists`` times, and with a number of pivots that grows as the root of the
 number of vectors the work grows as its power 1.5. A list beyond ``block`` rows (a crowded pivot may
 draw a third of all rows) is cut into blocks and every pair of blocks is searched by a task of its
-own, so a task's memory is bounded and no pair is lost. Vectors that are equal are searched once.
+own, so a task's memory is bounded and no pair is lost. The rows of a group are compared with each other, so
+work and shuffle grow as the square of a group's rows. Vectors that are equal are searched once.
 """
 
 from __future__ import annotations
@@ -69,6 +73,29 @@ def usable(chunks: DataFrame, namespaces: DataFrame, key: str = "id") -> DataFra
     return rows.mapInArrow(normalise, "id long, ns string, unit binary, print binary")
 
 
+#: Cosine from which pivots are near copies; lower than what is asked for, as members of a group differ.
+NEAR = 0.85
+
+
+def groups(pivots: np.ndarray, least: int) -> np.ndarray:
+    """A number for each pivot: of its group of near copies, linked by one another, or -1 where it has ``least`` pivots or fewer."""
+    group = np.full(len(pivots), -1, np.int64)
+    for start in range(len(pivots)):
+        if group[start] >= 0:
+            continue
+        group[start], todo = start, np.array([start])
+        while len(todo):
+            rest = np.nonzero(group < 0)[0]
+            reached = np.zeros(len(rest), bool)
+            for at in range(0, len(rest), 4096):  # bounded memory
+                for of in range(0, len(todo), 1024):
+                    reached[at : at + 4096] |= (pivots[rest[at : at + 4096]] @ pivots[todo[of : of + 1024]].T >= NEAR).any(axis=1)
+            todo = rest[reached]
+            group[todo] = start
+    size = np.bincount(group, minlength=len(group))
+    return np.where(size[group] > least, group, -1) if len(group) else group
+
+
 def pivot_count(n: int) -> int:
     return max(16, min(MAX_PIVOTS, int(2 * math.sqrt(n))))
 
@@ -90,8 +117,18 @@ class PermutationIndex:
             m = min(pivots or pivot_count(counts[ns]), MAX_PIVOTS, counts[ns])
             rows = vectors.where(F.col("ns") == ns).orderBy(F.xxhash64("id"), "id").limit(m).select("unit").collect()
             self.pivots.append(np.array([np.frombuffer(r["unit"], np.float32) for r in rows]))
+        # a group's list has its own number, behind those of the pivots
+        self.total = sum(map(len, self.pivots))
+        base = np.cumsum([0, *map(len, self.pivots)])
+        made = [groups(p, lists) for p in self.pivots]
+        self.group = np.concatenate([np.where(g < 0, -1, g + b + self.total) for g, b in zip(made, base)] or [np.zeros(0, np.int64)])
         self.handle = vectors.sparkSession.sparkContext.broadcast((self.names, self.pivots))  # at most MAX_PIVOTS rows each
 
+    def _lists(self, depth: int):
+        """A function that gives each row's lists, from its order of pivots; -1 is none."""
+        group = self.group
+        return lambda top: np.column_stack([top[:, :depth], group[top[:, 0]]])
+
     def _ordered(self, rows: DataFrame, depth: int) -> Iterator:
         """A function over batches of ``id, ns, unit`` that gives each row's list numbers and order of pivots."""
         handle, order = self.handle, self.order
@@ -119,72 +156,76 @@ class PermutationIndex:
 
     def _loads(self, rows: DataFrame, depth: int) -> dict[int, int]:
         """Rows in each list; as many entries as pivots."""
-        nearest = self._ordered(rows, depth)
+        nearest, lists_of = self._ordered(rows, depth), self._lists(depth)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, int] = {}
             for b in batches:
                 for _, _, top in nearest(b):
-                    for lst, n in zip(*np.unique(top[:, :depth], return_counts=True)):
+                    for lst, n in zip(*np.unique(lists_of(top), return_counts=True)):
                         total[int(lst)] = total.get(int(lst), 0) + int(n)
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["list", "n"])
 
-        made = rows.select("id", "ns", "unit").mapInArrow(count, "list long, n long")
+        made = rows.select("id", "ns", "unit").mapInArrow(count, "list long, n long").where("list >= 0")
         return {r["list"]: r["n"] for r in made.groupBy("list").agg(F.sum("n").alias("n")).collect()}
 
-    def search_all(self, k: int, rerank: int, least: float = -2.0) -> DataFrame:
+    def search_all(self, k: int, rerank: int | None, least: float = -2.0) -> DataFrame:
         """``a, b, cosine``: for each vector its nearest found in each list; both directions, with repeats across lists."""
         blocks = {lst: -(-n // self.block) for lst, n in self._loads(self.vectors, self.lists).items()}
-        nearest, lists, order = self._ordered(self.vectors, self.lists), self.lists, self.order
+        nearest, lists_of, order, total = self._ordered(self.vectors, self.lists), self._lists(self.lists), self.order, self.total
 
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for ids, raw, top in nearest(b):
                     out: tuple[list, ...] = ([], [], [], [], [])
-                    for depth in range(min(lists, top.shape[1])):
-                        for row, lst in enumerate(top[:, depth].tolist()):
+                    for column in lists_of(top).T:
+                        for row, lst in enumerate(column.tolist()):
+                            if lst < 0:
+                                continue
                             g = blocks.get(lst, 1)
                             mine = (int(ids[row]) * 0x9E3779B97F4A7C15 >> 20) % g
                             for other in range(g):
-                                for column, value in zip(out, (lst, min(mine, other), max(mine, other), mine, row)):
-                                    column.append(value)
+                                for to, value in zip(out, (lst, min(mine, other), max(mine, other), mine, row)):
+                                    to.append(value)
                     yield _postings(ids, raw, top[:, :order], out)
 
         def search(t: pa.Table) -> pa.Table:
             ids, part, perm, x = _read(t)
             i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+            first = None if t.column("list")[0].as_py() >= total else rerank
             if i == j:
-                return _found(ids, perm, x, ids, perm, x, k, rerank, least)
+                return _found(ids, perm, x, ids, perm, x, k, first, least)
             q, d = part == i, part == j  # either may be empty
-            one = _found(ids[q], perm[q], x[q], ids[d], perm[d], x[d], k, rerank, least)
-            return pa.concat_tables([one, _found(ids[d], perm[d], x[d], ids[q], perm[q], x[q], k, rerank, least)])
+            one = _found(ids[q], perm[q], x[q], ids[d], perm[d], x[d], k, first, least)
+            return pa.concat_tables([one, _found(ids[d], perm[d], x[d], ids[q], perm[q], x[q], k, first, least)])
 
         posted = self.vectors.select("id", "ns", "unit").mapInArrow(post, _POSTING)
         return posted.groupBy("list", "i", "j").applyInArrow(search, "a long, b long, cosine double")
 
-    def search(self, queries: DataFrame, k: int, rerank: int, probes: int, least: float = -2.0) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, rerank: int | None, probes: int, least: float = -2.0) -> DataFrame:
         """``a, b, cosine`` for the ``queries`` (rows of the indexed vectors' form), each probing ``probes`` lists."""
         full, asked = self._loads(self.vectors, self.lists), self._loads(queries, probes)
         gd = {lst: -(-n // self.block) for lst, n in full.items()}
         gq = {lst: -(-n // self.block) for lst, n in asked.items()}
-        order = self.order
+        order, total = self.order, self.total
 
         def poster(nearest, depth: int, query: bool):
             mine_of, other_of = (gq, gd) if query else (gd, gq)
+            lists_of = self._lists(depth)
 
             def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b in batches:
                     for ids, raw, top in nearest(b):
                         out: tuple[list, ...] = ([], [], [], [], [])
-                        for place in range(min(depth, top.shape[1])):
-                            for row, lst in enumerate(top[:, place].tolist()):
+                        for column in lists_of(top).T:
+                            for row, lst in enumerate(column.tolist()):
                                 if lst not in other_of:  # nothing to meet there
                                     continue
                                 mine = (int(ids[row]) * 0x9E3779B97F4A7C15 >> 20) % mine_of[lst]
                                 for other in range(other_of[lst]):
                                     i, j = (other, mine) if query else (mine, other)
-                                    for column, value in zip(out, (lst, i, j, int(query), row)):
-                                        column.append(value)
+                                    for to, value in zip(out, (lst, i, j, int(query), row)):
+                                        to.append(value)
                         yield _postings(ids, raw, top[:, :order], out)
 
             return post
@@ -192,7 +233,8 @@ class PermutationIndex:
         def search(t: pa.Table) -> pa.Table:
             ids, role, perm, x = _read(t)
             q, d = role == 1, role == 0
-            return _found(ids[q], perm[q], x[q], ids[d], perm[d], x[d], k, rerank, least)
+            first = None if t.column("list")[0].as_py() >= total else rerank
+            return _found(ids[q], perm[q], x[q], ids[d], perm[d], x[d], k, first, least)
 
         narrow = [f.select("id", "ns", "unit") for f in (self.vectors, queries)]
         data = narrow[0].mapInArrow(poster(self._ordered(self.vectors, self.lists), self.lists, False), _POSTING)
@@ -251,24 +293,23 @@ def footrule_similarity(q: np.ndarray, d: np.ndarray) -> np.ndarray:
     return out
 
 
-def _found(qi, qp, qx, di, dp, dx, k: int, rerank: int, least: float) -> pa.Table:
+def _found(qi, qp, qx, di, dp, dx, k: int, rerank: int | None, least: float) -> pa.Table:
     a, b, c = [], [], []
     if len(qi) and len(di):
         for at in range(0, len(qi), 1024):
             rows = slice(at, at + 1024)
-            close = footrule_similarity(qp[rows], dp)
             itself = qi[rows][:, None] == di[None, :]
-            close[itself] = -1
-            n = min(rerank, len(di))
-            first = np.argpartition(-close, n - 1, axis=1)[:, :n] if n < len(di) else np.broadcast_to(np.arange(len(di)), close.shape)
-            cos = np.take_along_axis(qx[rows] @ dx.T, first, 1)
-            cos[np.take_along_axis(itself, first, 1)] = -3
-            m = min(k, n)
+            cos = qx[rows] @ dx.T
+            if rerank is not None and rerank < len(di):
+                close = footrule_similarity(qp[rows], dp)
+                np.put_along_axis(cos, np.argpartition(-close, rerank - 1, axis=1)[:, rerank:], -3, 1)
+            cos[itself] = -3
+            m = min(k, len(di))
             best = np.argpartition(-cos, m - 1, axis=1)[:, :m]
             value = np.take_along_axis(cos, best, 1)
-            r, s = np.nonzero(value >= least)
+            r, s = np.nonzero(value >= max(least, -2))
             a.append(qi[rows][r])
-            b.append(di[first[r, best[r, s]]])
+            b.append(di[best[r, s]])
             c.append(value[r, s].astype(np.float64))
     return _pairs(np.concatenate(a), np.concatenate(b), np.concatenate(c)) if a else _pairs([], [], [])
 
@@ -295,7 +336,7 @@ def neighbours(
     lists: int = 6,
     order: int = 8,
     probes: int = 6,
-    rerank: int = 128,
+    rerank: int | None = None,
     pivots: int | None = None,
     key: str = "id",
 ) -> DataFrame:
