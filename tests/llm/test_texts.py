@@ -213,3 +213,12 @@ def test_garbled_copies_outnumber_the_original(spark):
     # Hebrew that looks like Cyrillic words
     many = [f"{clean[2]} {n}" for n in range(8)]
     assert found(spark, many + [M.garble(clean[2], ("cp1255", "cp1251"))] * 30) == set(range(8, 38))
+
+
+def test_words_of_few_accents_tell_together(spark):
+    clean = ["il est très tard après la fête", "não sei da informação"]
+    rare = "קובץ נדיר"
+    rows = [f"{c} {n}" for c in clean for n in range(5)] + [M.garble(c, ("cp1252", "cp1250")) for c in clean]
+    rows += [f"{rare} {w}" for w in ("אתמול",)] + ["אתמול"] * 4 + [M.garble(f"{rare} אתמול", ("cp1255", "cp1251")), "trčs"]
+    # the last: one short word alone tells nothing
+    assert found(spark, rows) == {10, 11, 17}

@@ -178,8 +178,10 @@ def kind_of(run: str) -> str:
 
 
 def may_deceive(run: str) -> bool:
-    """Whether a clean word could be another one garbled: three letters or more that aren't ASCII, in a script with spaces."""
-    return sum(not c.isascii() and c.isalpha() for c in run) >= 3 and not {"CJK", "THAI"} & {script_of(c) for c in run}
+    """Whether a clean word could be another one garbled, in a script with spaces: three characters or more, as of
+    shorter ones, pieces of words cut by invisible characters too, many are each other's forms; two in Latin."""
+    least = 2 if all(script_of(c) in ("LATIN", "") for c in run) else 3
+    return len(run.strip("\xa0\xad")) >= least and not {"CJK", "THAI"} & {script_of(c) for c in run}
 
 
 def _hash(text: str) -> int:
@@ -289,8 +291,9 @@ def probes(odd: DataFrame) -> DataFrame:
 FAR_MORE = 4
 #: A word of so many letters is no other one's garbled form by chance; of shorter ones a row must have two.
 LONG = 6
-#: What a match tells: nothing, that its row is garbled if another one in the row has the same chain, that it is garbled.
-NOTHING, WITH_ANOTHER, ALONE = range(3)
+#: What a match tells: nothing, that it is garbled if another match of the same chain in the row says more, that the
+#: row is garbled if it has another match of the chain, that it is garbled.
+NOTHING, COMPANY, WITH_ANOTHER, ALONE = range(4)
 
 
 def verified(run: str, word: str, chain: str, unit: bool, often: bool = True, far: bool = True, odd: bool = True) -> int:
@@ -299,31 +302,38 @@ def verified(run: str, word: str, chain: str, unit: bool, often: bool = True, fa
     ``often``: the word is in as many different texts as the run, so that copies of a garbled text don't make it
     right; ``far``: in far more, or in as many and far more rows.
     """
-    if not odd and (unit or not far):
+    if not odd and (unit or not often and not far):
+        return NOTHING
+    # a Latin word of accented letters only is no original of what looks clean
+    if not odd and len(word) > 1 and all(not c.isascii() and script_of(c) == "LATIN" for c in word):
         return NOTHING
     g = garble(word, tuple(chain.split(" ")))
     if g is None or (g not in run if unit else g.strip("\xa0\xad") != run.strip("\xa0\xad")):
         return NOTHING
-    long = odd or len(run) >= LONG
+    long = odd or len(run) >= LONG and sum(not c.isascii() and c.isalpha() for c in run) >= 3
     if REPLACED in run:
         return ALONE
     strange = [c for c in g if not c.isascii()]
     if all(c in AMBIGUOUS for c in strange):
         return NOTHING
+    if not odd and not far:
+        return COMPANY
+    if not long:
+        return WITH_ANOTHER
     # text written in UTF-8 shows it; of others short runs may be what they seem
     if chain.startswith("utf-8"):
-        return NOTHING if len(g) < 2 else ALONE if long else WITH_ANOTHER
+        return NOTHING if len(g) < 2 else ALONE
     symbol = any(not c.isalpha() and c not in CLEAN_MARKS for c in strange)
     telling = len(strange) > 1 or len(g) > 3 or symbol
     if not (unit or len(g) > 2 and telling):
         return NOTHING
     # short words of letters only that are more frequent than the word, as abbreviations are, need another one
     sure = unit or symbol or often or len(g) >= LONG
-    return ALONE if long and sure else WITH_ANOTHER
+    return ALONE if sure else WITH_ANOTHER
 
 
 def matches(rows: DataFrame) -> DataFrame:
-    """``run``, ``sure``, ``chain``, ``word`` (null where only windows matched), ``alone``, ``chains``: runs that are garbled clean words."""
+    """``run``, ``sure``, ``chain``, ``word`` (null where only windows matched), ``chains`` with what they tell: runs that are garbled clean words."""
     texts = rows.where("text IS NOT NULL").groupBy("kind", "run", "text").agg(F.sum("n").alias("rows")).drop("text").withColumn("n", F.lit(1))
     others = rows.where("text IS NULL").select(F.when(F.col("kind") == "bare", "clean").otherwise(F.col("kind")).alias("kind"), "run", "n", F.col("n").alias("rows"))
     counted = texts.unionByName(others).groupBy("kind", "run").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))  # n: different texts
@@ -354,10 +364,9 @@ def matches(rows: DataFrame) -> DataFrame:
     far = (F.col("n") >= FAR_MORE * F.col("n_run")) | often & (F.col("rows") >= FAR_MORE * F.col("rows_run"))
     best = hit.withColumn("tells", tells("run", "word", "chain", "unit", often, far, "sure")).where(F.col("tells") > NOTHING).groupBy("run", "sure").agg(
         F.max(F.struct((~F.col("unit")).alias("whole"), "n", "chain", "word")).alias("best"),
-        (F.max("tells") == ALONE).alias("alone"),
-        F.collect_set("chain").alias("chains"),  # there are few chains
+        F.collect_set(F.struct("chain", "tells")).alias("chains"),  # there are few chains
     )
-    return best.select("run", "sure", "best.chain", F.when(F.col("best.whole"), F.col("best.word")).alias("word"), "alone", "chains")
+    return best.select("run", "sure", "best.chain", F.when(F.col("best.whole"), F.col("best.word")).alias("word"), "chains")
 
 
 def found_runs(values: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -370,15 +379,16 @@ def found_runs(values: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_row = rows.where("kind IN ('odd', 'clean')").select("field", "id", "run", (F.col("kind") == "odd").alias("sure")).distinct()
     lost = by_row.where(F.col("run").contains(REPLACED)).select("run", "sure").distinct().join(match.select("run"), "run", "left_anti")
     none = F.lit(None).cast("string")
-    lost = lost.select("run", "sure", none.alias("chain"), none.alias("word"), F.lit(True).alias("alone"), F.lit(None).cast("array<string>").alias("chains"))
+    lost = lost.select("run", "sure", none.alias("chain"), none.alias("word"), F.array(F.struct(none.alias("chain"), F.lit(ALONE).alias("tells"))).alias("chains"))
     return by_row, match.unionByName(lost)
 
 
 def _marked(by_row: DataFrame, found: DataFrame) -> DataFrame:
-    hits = by_row.join(found.select("run", "sure", "alone", "chains"), ["run", "sure"])
+    hits = by_row.join(found.select("run", "sure", F.explode("chains").alias("c")), ["run", "sure"])
     # counts and flags only: combined on the map side, however many words a row has
-    by_chain = hits.select("field", "id", "alone", F.explode_outer("chains").alias("chain")).groupBy("field", "id", "chain")
-    told = by_chain.agg(F.bool_or("alone").alias("alone"), F.count(F.lit(1)).alias("n")).where(F.col("alone") | (F.col("n") > 1))
+    word = F.xxhash64("run")
+    by_chain = hits.groupBy("field", "id", "c.chain").agg(F.max("c.tells").alias("tells"), (F.min(word) < F.max(word)).alias("two"))
+    told = by_chain.where((F.col("tells") == ALONE) | (F.col("tells") == WITH_ANOTHER) & F.col("two"))
     return told.select("field", "id").distinct()
 
 
