@@ -50,13 +50,43 @@ def test_least_words_and_words_as_they_stand(spark):
     assert got == {(1, 2), (1, 3), (2, 3)}
 
 
+def test_crowded_nodes_keep_long_prefixes_until_recall_is_lost(spark):
+    """With a crowd of one nothing may be shortened at first; the texts' recall makes them ask further."""
+    texts = corpus(5)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and a != b and jaccard(a, b, 3) >= 0.7}
+    for crowd in (1, 3, 1000):
+        got = {tuple(r) for r in D.linked_rows(*D.near_duplicates(df, words=3, threshold=0.7, crowd=crowd)).collect()}
+        assert got <= want and len(want - got) <= 0.003 * len(want), crowd
+
+
+def test_forest_levels(spark):
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words[i : i + 60]) for i in range(30)]  # each like its neighbours
+    members, signatures, forest = D._forest(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text", 3, 0.7, 0, 48, 7, 0.9999, 4)
+    placed = forest.placed.toPandas()
+    assert forest.extra == 3 and (placed["level3"] == 0).all() and (placed["level0"] >= placed["level1"]).all()
+    # a node is as short as its crowd allows, and the same for all who share it
+    assert ((placed["crowd"] <= 4) | (placed["level0"] == 3)).all()
+    assert (placed.groupby("node")["level0"].nunique() == 1).all() and (placed.groupby("node")["rep"].count() == placed.groupby("node")["crowd"].first()).all()
+    assert not forest.asks.isEmpty() and members.count() == 30
+
+
 def test_groups_of_a_chain(spark):
     words = [f"w{i}" for i in range(200)]
     texts = [" ".join(words[i * 8 : i * 8 + 80]) for i in range(12)]  # each like the next, the first unlike the last
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(50, texts[3])], "id long, text string")
-    got = {r["id"]: tuple(r) for r in D.grouped(*D.near_duplicates(df, words=2, threshold=0.7)).collect()}
+    got = {r["id"]: tuple(r) for r in D.near_duplicate_groups(df, words=2, threshold=0.7).collect()}
     assert {r[1] for r in got.values()} == {0} and set(got) == {*range(12), 50}
-    assert got[3][2] == 2 and got[0][3] == 1 and got[5][3] == 2
+    assert got[3][2] == 2 and got[0][2] == 1
+
+
+@pytest.mark.parametrize("crowd", [2, 64])
+def test_groups_are_those_of_all_links(spark, crowd):
+    df = spark.createDataFrame(list(enumerate(corpus(9))), "id long, text string").repartition(3)
+    members, links = D.near_duplicates(df, words=3, threshold=0.7)
+    want = sorted(map(tuple, D.grouped(members, links).collect()))
+    assert sorted(map(tuple, D.near_duplicate_groups(df, words=3, threshold=0.7, crowd=crowd).collect())) == want and len(want) > 100
 
 
 def test_hot_copies_cost_one_text(spark):

@@ -1,33 +1,41 @@
 """Near-duplicate texts by a MinHash LSH forest, with exact verification.
 
-Each distinct text is a set of word sequences (shingles). Its signature has ``trees`` labels of up to
-``depth`` MinHash values; a tree is the trie of its labels, and two texts meet in it when their labels
-share a prefix. How long a prefix must be is settled by the target recall: from the full depth it is
-shortened one value at a time until a pair at the threshold meets in some tree with that probability.
-Pairs that meet are compared by their exact shingle sets.
-
-Scale: copies are one text here, so a text copied a million times costs as much as one. A tree's labels
-travel as 64-bit keys beside a text number; a key that only one text has is dropped by a count before
-anything is paired. Pairs met in several trees are made one before their sets are fetched. Nothing is capped.
+Each distinct text is a set of word sequences (shingles). It has a label of up to ``depth`` MinHash values in
+each of ``trees`` tries, and two texts meet in a trie when their labels share a prefix. Prefixes are as long as
+they can be: a text's prefix is shortened, value by value, while the node it leads to holds no more than
+``crowd`` texts, so how long it is depends on how full the trie is there. Where crowded nodes leave a text
+below the target recall, its prefixes are shortened further, at 16 times the crowd, 256 times, and at last
+whatever the crowd, until a text at the threshold meets it in some trie with that probability. Below
+:func:`prefix_length` no prefix has to go: there every text reaches the target. Texts that meet are compared
+by their exact shingle sets.
+
+Scale: copies are one text here, so a text copied a million times costs as much as one. Labels travel as a
+64-bit key of the shortest prefix beside the other values; a key that only one text has is dropped by a count
+before anything is sorted or paired. Nodes are counted over distinct labels, combined on the map side, so a
+family of near copies isn't gathered in a task. Pairs of unlike sizes are dropped before they are made one, and
+pairs met in several tries are made one before their sets are fetched. Nothing is capped. What is found grows
+as the square of a family only where all its pairs are asked for (:func:`near_duplicates`);
+:func:`near_duplicate_groups` compares with a node's representative first.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import discard, materialize
 
 #: A word is a run of characters other than space, tab, CR and LF.
 WORD = r"[^ \t\r\n]+"
 
 
 def prefix_length(threshold: float, trees: int, depth: int, recall: float) -> int:
-    """The longest prefix, at most ``depth``, with which a pair at the threshold meets with probability ``recall``."""
+    """The longest prefix, at most ``depth``, with which in all trees a pair at the threshold meets with probability ``recall``."""
     for d in range(depth, 1, -1):
         if 1 - (1 - threshold**d) ** trees >= recall:
             return d
@@ -59,27 +67,40 @@ def shingle_hashes(words: list[str], n: int, seen: dict[str, int] | None = None)
     return np.unique(mixed)
 
 
+#: Bits of each value of a label behind its shortest prefix; false meetings only add to what is verified.
+BITS = 10
+
+
 class Signer:
-    """MinHash values of a shingle set under ``trees * prefix`` hash functions, folded to a key for each tree."""
+    """MinHash labels of a shingle set: in each tree a key of the first ``shortest`` values, and the others packed."""
 
-    def __init__(self, trees: int, prefix: int, seed: int = 11):
+    def __init__(self, trees: int, shortest: int, depth: int, seed: int = 11):
+        if (depth - shortest) * BITS > 60:
+            raise ValueError("the values behind the shortest prefix don't fit a long")
         rng = np.random.default_rng(seed)
-        size = trees * prefix
-        self.trees, self.prefix = trees, prefix
-        self.a = rng.integers(1, 1 << 63, size, np.uint64) | np.uint64(1)
-        self.b = rng.integers(0, 1 << 63, size, np.uint64)
-
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
-        least = np.full(len(self.a), np.iinfo(np.uint64).max, np.uint64)
+        size = trees * depth
+        self.trees, self.shortest, self.depth = trees, shortest, depth
+        self.a = rng.integers(1, 1 << 32, size, np.uint32) | np.uint32(1)
+        self.b = rng.integers(0, 1 << 32, size, np.uint32)
+        self.start = np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # keys of different trees differ
+
+    def labels(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        least = np.full(len(self.a), np.iinfo(np.uint32).max, np.uint32)
+        short = (shingles >> np.uint64(32)).astype(np.uint32)
         with np.errstate(over="ignore"):
-            for at in range(0, len(shingles), 4096):  # bounded memory for texts of any length
-                part = shingles[at : at + 4096, None] * self.a[None, :] + self.b[None, :]
+            for at in range(0, len(short), 2048):  # bounded memory for texts of any length
+                part = short[at : at + 2048, None] * self.a[None, :] + self.b[None, :]
                 np.minimum(least, part.min(axis=0), out=least)
-            key = np.zeros(self.trees, np.uint64)
-            for i in range(self.prefix):
-                key = (key ^ (least[i :: self.prefix] >> np.uint64(7))) * np.uint64(0xD6E8FEB86659FD93)
+            values = least.reshape(self.trees, self.depth).astype(np.uint64)
+            key = self.start.copy()
+            for i in range(self.shortest):
+                key = (key ^ values[:, i]) * np.uint64(0xD6E8FEB86659FD93)
                 key ^= key >> np.uint64(32)
-        return key.view(np.int64)
+            tail = np.zeros(self.trees, np.uint64)
+            for i in range(self.shortest, self.depth):
+                mixed = (values[:, i] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
+                tail = (tail << np.uint64(BITS)) | mixed
+        return key.view(np.int64), tail.view(np.int64)
 
 
 def distinct_texts(rows: DataFrame, key: str, text: str, least_words: int) -> tuple[DataFrame, DataFrame]:
@@ -100,27 +121,27 @@ def distinct_texts(rows: DataFrame, key: str, text: str, least_words: int) -> tu
     return members, texts
 
 
-def signed(texts: DataFrame, n: int, trees: int, prefix: int) -> DataFrame:
-    """``rep``, ``shingles`` (sorted hashes) and ``keys`` (one for each tree) of each text with a shingle."""
+def signed(texts: DataFrame, n: int, trees: int, shortest: int, depth: int) -> DataFrame:
+    """``rep``, ``shingles`` (sorted hashes), ``keys`` and ``tails`` (one for each tree) of each text with a shingle."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
-        words, signer, seen = re.compile(WORD).findall, Signer(trees, prefix), {}
+        words, signer, seen = re.compile(WORD).findall, Signer(trees, shortest, depth), {}
         for b in batches:
             reps, texts_ = b.column(0).to_pylist(), b.column(1).to_pylist()
-            ids, sets, keys = [], [], []
+            ids, sets, keys, tails = [], [], [], []
             for rep, t in zip(reps, texts_):
                 if len(seen) > 1 << 20:
                     seen.clear()
                 s = shingle_hashes(words(t), n, seen)
                 if len(s):
-                    ids.append(rep)
-                    sets.append(s.view(np.int64))
-                    keys.append(signer.keys(s))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(sets), _lists(keys)], ["rep", "shingles", "keys"])
+                    key, tail = signer.labels(s)
+                    for column, value in zip((ids, sets, keys, tails), (rep, s.view(np.int64), key, tail)):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(sets), _lists(keys), _lists(tails)], ["rep", "shingles", "keys", "tails"])
 
-    return texts.mapInArrow(sign, "rep long, shingles array<long>, keys array<long>")
+    return texts.mapInArrow(sign, "rep long, shingles array<long>, keys array<long>, tails array<long>")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -129,31 +150,115 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))
 
 
-def candidate_pairs(signatures: DataFrame) -> DataFrame:
-    """``a`` < ``b``: each pair of texts that share a key in some tree, once."""
-    posted = signatures.select("rep", F.posexplode("keys").alias("tree", "key")).select("rep", F.xxhash64("tree", "key").alias("key"))
-    # keys of one text are no pair; only keys of two texts or more go on, and they are few
-    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1")
-    met = materialize(posted.join(shared.select("key"), "key"), "met")
-    a, b = met.withColumnRenamed("rep", "a"), met.withColumnRenamed("rep", "b")
-    return a.join(b, "key").where("a < b").select("a", "b").distinct()
+#: By how much the crowd is raised, step by step, for texts that miss the target recall; at last without limit.
+RAISED = (1, 16, 256, None)
 
 
-def similar_texts(signatures: DataFrame, threshold: float) -> DataFrame:
-    """``a`` < ``b``, ``similarity``: pairs of texts whose exact Jaccard similarity is ``threshold`` or more."""
-    pairs = candidate_pairs(signatures)
+class Forest:
+    """The tries of all labels, and where in each of them a text looks for others.
+
+    ``placed``: a row for each text and tree in which its shortest prefix leads to another text too, with the
+    node it looks in (``node``, of ``level`` values behind the shortest prefix, held by ``crowd`` texts).
+    ``asks``: the further, shorter prefixes of the texts that need them.
+    """
+
+    def __init__(self, signatures: DataFrame, threshold: float, trees: int, shortest: int, depth: int, recall: float, crowd: int):
+        self.extra, self.threshold = depth - shortest, threshold
+        each = F.explode(F.arrays_zip("keys", "tails"))
+        posted = signatures.select("rep", F.size("shingles").alias("size"), each.alias("l")).select("rep", "size", F.col("l.keys").alias("key"), F.col("l.tails").alias("tail"))
+        # a key of one text meets nobody at any length; the others are few
+        shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+        met = materialize(posted.join(shared, "key"), "met")
+        placed = met.join(self._levels(met, crowd), ["key", "tail"])
+        self.placed = materialize(placed.withColumn("node", self._node(F.col("level0"))), "placed")
+        self.asks = materialize(self._asks(trees, shortest, recall), "asks")
+        discard(met)
+
+    def _prefix(self, level: Column) -> Column:
+        return F.call_function("shiftright", F.col("tail"), (F.lit(self.extra) - level).cast("int") * BITS)
+
+    def _node(self, level: Column) -> Column:
+        return F.xxhash64("key", level.cast("int"), self._prefix(level))
+
+    def _levels(self, met: DataFrame, crowd: int) -> DataFrame:
+        """``key``, ``tail`` and for each step of RAISED the level of the node that a text of this label looks in.
+
+        The labels are sorted; a node is a stretch of them. Counts are of texts, made over distinct labels.
+        """
+        labels = met.groupBy("key", "tail").agg(F.count(F.lit(1)).alias("n"))
+        names = [f"p{j}" for j in range(1, self.extra + 1)]
+        labels = labels.withColumns({p: self._prefix(F.lit(j)) for j, p in enumerate(names, 1)})
+        held = labels.withColumns({f"n{j}": F.sum("n").over(Window.partitionBy("key", *names[:j])) for j in range(self.extra + 1)})
+
+        def level(most: int | None) -> Column:
+            out = F.lit(self.extra)
+            for j in range(self.extra, -1, -1):
+                out = F.when(F.col(f"n{j}") <= most, j).otherwise(out) if most is not None else F.lit(0)
+            return out
+
+        steps = {f"level{i}": level(crowd * r if r else None) for i, r in enumerate(RAISED)}
+        held = held.withColumns(steps)
+        in_node = F.lit(0)
+        for j in range(self.extra + 1):
+            in_node = F.when(F.col("level0") == j, F.col(f"n{j}")).otherwise(in_node)
+        return held.select("key", "tail", *steps, in_node.alias("crowd"))
+
+    def _asks(self, trees: int, shortest: int, recall: float) -> DataFrame:
+        """``rep``, ``size``, ``node``: prefixes shortened beyond the crowd, of texts whose recall would fall short."""
+        miss = [math.log1p(-(self.threshold ** (shortest + j))) for j in range(self.extra + 1)]  # of one tree, by level
+        # a tree without a row here is one where even the shortest prefix leads to nobody else
+        total = [F.lit(trees * miss[0]) + F.sum(F.get(F.array(*map(F.lit, miss)), F.col(f"level{i}")) - miss[0]) for i in range(len(RAISED))]
+        step = F.lit(len(RAISED) - 1)
+        for i in range(len(RAISED) - 2, -1, -1):
+            step = F.when(total[i] <= math.log(1 - recall), i).otherwise(step)
+        short = self.placed.groupBy("rep").agg(step.alias("step")).where("step > 0")
+        asked = F.get(F.array(*[F.col(f"level{i}") for i in range(len(RAISED))]), F.col("step"))
+        rows = self.placed.join(short, "rep").withColumn("at", asked).where(F.col("at") < F.col("level0"))
+        return rows.select("rep", "size", self._node(F.col("at")).alias("node"))
+
+    def near(self, x: str, y: str) -> Column:
+        """Whether sizes alone allow the threshold."""
+        return F.least(x, y) >= F.lit(self.threshold) * F.greatest(x, y)
+
+    def nodes(self) -> DataFrame:
+        """``node``, ``rep``, ``size`` of the nodes that hold several texts."""
+        return self.placed.where("crowd > 1").select("node", "rep", "size")
+
+    def asked_pairs(self) -> DataFrame | None:
+        """``a`` < ``b``: pairs met at the further prefixes; None where no text needs any."""
+        if self.asks.isEmpty():
+            return None
+        levels = F.explode(F.filter(F.array(*[F.when(F.col("level0") > j, F.lit(j)) for j in range(self.extra)]), lambda j: j.isNotNull()))
+        inner = self.placed.join(self.asks.select("rep").distinct().join(self.placed.select("rep", "key"), "rep").select("key").distinct(), "key", "left_semi")
+        held = inner.select("*", levels.alias("at")).select(self._node(F.col("at")).alias("node"), F.col("rep").alias("y"), F.col("size").alias("sy"))
+        pairs = self.asks.withColumnsRenamed({"rep": "x", "size": "sx"}).join(held, "node").where(F.col("x") != F.col("y")).where(self.near("sx", "sy"))
+        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    def candidate_pairs(self) -> DataFrame:
+        """``a`` < ``b``: each pair of texts that meet, once."""
+        a = self.nodes().withColumnsRenamed({"rep": "a", "size": "sa"})
+        b = self.nodes().withColumnsRenamed({"rep": "b", "size": "sb"})
+        pairs = a.join(b, "node").where("a < b").where(self.near("sa", "sb")).select("a", "b")
+        asked = self.asked_pairs()
+        return (pairs.unionByName(asked) if asked is not None else pairs).distinct()
+
+
+def verified(pairs: DataFrame, signatures: DataFrame, threshold: float) -> DataFrame:
+    """``a`` < ``b``, ``similarity``: the pairs whose exact Jaccard similarity is ``threshold`` or more."""
     sets = signatures.select("rep", "shingles")
-    both = (
-        pairs.join(sets.withColumnsRenamed({"rep": "a", "shingles": "sa"}), "a")
-        # sizes alone rule a pair out before its second set is fetched
-        .join(sets.withColumnsRenamed({"rep": "b", "shingles": "sb"}), "b")
-        .where(F.least(F.size("sa"), F.size("sb")) >= threshold * F.greatest(F.size("sa"), F.size("sb")))
-    )
+    both = pairs.join(sets.withColumnsRenamed({"rep": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"rep": "b", "shingles": "sb"}), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     similarity = common / (F.size("sa") + F.size("sb") - common)
     return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def _forest(rows: DataFrame, key: str, text: str, words: int, threshold: float, least_words: int, trees: int, depth: int, recall: float, crowd: int):
+    members, texts = distinct_texts(rows, key, text, max(least_words, words))
+    shortest = prefix_length(threshold, trees, depth, recall)
+    signatures = materialize(signed(texts, words, trees, shortest, depth), "signatures")
+    return members, signatures, Forest(signatures, threshold, trees, shortest, depth, recall, crowd)
+
+
 def near_duplicates(
     rows: DataFrame,
     key: str = "id",
@@ -161,18 +266,51 @@ def near_duplicates(
     words: int = 5,
     threshold: float = 0.8,
     least_words: int = 0,
-    trees: int = 56,
-    depth: int = 8,
+    trees: int = 48,
+    depth: int = 7,
     recall: float = 0.9999,
+    crowd: int = 64,
 ) -> tuple[DataFrame, DataFrame]:
-    """``members`` (``id``, ``rep``) and ``links`` (``a`` < ``b``, ``similarity``) between representatives.
+    """``members`` (``id``, ``rep``) and ``links`` (``a`` < ``b``, ``similarity``): all links between representatives of copies.
 
     Words are compared as they stand. Texts of fewer than ``words`` words have no shingle and no link.
     Rows given twice, and copies under other ids, are members of one class. Columns besides are passed over.
     """
-    members, texts = distinct_texts(rows, key, text, max(least_words, words))
-    signatures = materialize(signed(texts, words, trees, prefix_length(threshold, trees, depth, recall)), "signatures")
-    return members, similar_texts(signatures, threshold)
+    members, signatures, forest = _forest(rows, key, text, words, threshold, least_words, trees, depth, recall, crowd)
+    return members, verified(forest.candidate_pairs(), signatures, threshold)
+
+
+def near_duplicate_groups(
+    rows: DataFrame,
+    key: str = "id",
+    text: str = "text",
+    words: int = 5,
+    threshold: float = 0.8,
+    least_words: int = 0,
+    trees: int = 48,
+    depth: int = 7,
+    recall: float = 0.9999,
+    crowd: int = 64,
+) -> DataFrame:
+    """``id``, ``class_id``, ``copies``: one row for each row with a copy or a near copy; the group is its least id.
+
+    The groups are those of all links, found without making all pairs of a family: in each node every text is
+    compared with the least one. Two that are like it are in one group already, so only texts that aren't are
+    compared with the rest of the node.
+    """
+    members, signatures, forest = _forest(rows, key, text, words, threshold, least_words, trees, depth, recall, crowd)
+    nodes = forest.nodes()
+    least = nodes.groupBy("node").agg(F.min(F.struct("rep", "size")).alias("least"))
+    spokes = nodes.join(least, "node").where("rep <> least.rep")
+    star = spokes.select(F.col("least.rep").alias("a"), F.col("least.size").alias("sa"), F.col("rep").alias("b"), F.col("size").alias("sb"))
+    first = materialize(verified(star.where(forest.near("sa", "sb")).select("a", "b").distinct(), signatures, threshold), "spokes")
+    loose = spokes.select("node", "rep", "size", F.col("least.rep").alias("a")).join(first.select("a", F.col("b").alias("rep")), ["a", "rep"], "left_anti")
+    loose = loose.select("node", F.col("rep").alias("x"), F.col("size").alias("sx"))
+    rest = spokes.select("node", F.col("rep").alias("y"), F.col("size").alias("sy"))
+    pairs = loose.join(rest, "node").where("x <> y").where(forest.near("sx", "sy")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    asked = forest.asked_pairs()
+    pairs = (pairs.unionByName(asked) if asked is not None else pairs).distinct()
+    return grouped(members, first.unionByName(verified(pairs, signatures, threshold)))
 
 
 def linked_rows(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -184,13 +322,13 @@ def linked_rows(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def grouped(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``id``, ``class_id``, ``copies``, ``links``: one row for each row with a copy or a near copy, and its group.
+    """``id``, ``class_id``, ``copies``: one row for each row with a copy or a link, and its group.
 
     Groups are connected components, by repeated spreading of the least number with pointer jumping: the
-    rounds grow with the logarithm of a chain's length, and each is written to the shared folder.
+    rounds grow with the logarithm of a chain's length, and each is written to the shared folder, where it stays
+    until the next round has been written.
     """
-    spark = members.sparkSession
-    links = materialize(links.select("a", "b"), "links")
+    links = materialize(links.select("a", "b").distinct(), "links")
     edges = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = materialize(edges.select(F.col("a").alias("rep")).distinct().select("rep", F.col("rep").alias("label")), "labels")
     while True:
@@ -199,12 +337,14 @@ def grouped(members: DataFrame, links: DataFrame) -> DataFrame:
         spread = materialize(spread, "spread")
         jump = spread.select(F.col("rep").alias("label"), F.col("label").alias("further"))
         jumped = materialize(spread.join(jump, "label", "left").select("rep", F.least("label", "further").alias("label"), "was"), "labels")
-        label = jumped.drop("was")
-        if not jumped.where("label <> was").limit(1).count():
+        done = jumped.where("label <> was").isEmpty()
+        discard(spread)
+        discard(label)
+        label = jumped
+        if done:
             break
+    discard(links)
+    label = label.select("rep", "label")
     sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))
-    degree = edges.groupBy("a").agg(F.count(F.lit(1)).alias("links")).withColumnRenamed("a", "rep")
-    of = sizes.join(degree, "rep", "left").join(label, "rep", "left").where("copies > 1 OR links IS NOT NULL")
-    return members.join(of, "rep").select(
-        "id", F.coalesce("label", "rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links")
-    )
+    of = sizes.join(label, "rep", "left").where("copies > 1 OR label IS NOT NULL")
+    return members.join(of, "rep").select("id", F.coalesce("label", "rep").alias("class_id"), "copies")
