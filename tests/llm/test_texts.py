@@ -3,6 +3,7 @@ import pytest
 from trawl.llm import language as L
 from trawl.llm import lookalike as K
 from trawl.llm import mojibake as M
+from trawl.llm import sentences as S
 from trawl.llm.sentences import sentences
 from trawl.llm.splitting import Splitter, StrongestCut, boundary_class
 
@@ -36,6 +37,7 @@ def test_sentences_with_spaces(parts):
         ["記録によると、版4.1で直りました。", "「もう一度。さあ！」と書かれていました。", "担当者は「何も？」", "検索が断片を……比べました。"],
         ["昨日、表を比べました", "　今朝、古い 請求書を見つけました", " しかし動きません"],
         ["今天早上找到了", " 根据日志，旧 发票不在了"],
+        ["係は「もう一度。」", "とても急ぎました。"],
         ["กรุณาตรวจไฟล์ memo.xlsx ก่อนประชุม", " เมื่อวานพบ 14 ชุด", " สุดท้าย"],
     ],
 )
@@ -52,6 +54,62 @@ def test_units():
     assert len(cut("word. " * 20000)) <= 20000
 
 
+def test_a_dictionary_is_learnt_from_the_corpus(spark):
+    texts = ["夜班记录完整。磁盘检查完毕。", "夜班记录缺失！旧磁盘检查完毕。", "夜班记录很长。新磁盘检查完毕。", None, "", "plain words"] * 20
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    made = S.learn(df)
+    assert {"夜班记录", "检查完毕"} <= set(made.cost) and "整" in made.cost and "完整" in made.cost
+    assert [("夜班记录检查完毕"[a:b]) for a, b in made.cut("夜班记录检查完毕", 0, 8)] == ["夜班记录", "检查完毕"]
+    # no final mark: only the dictionary tells that one closes and the other opens
+    text = "旧磁盘检查完毕 夜班记录完整"
+    assert [text[a:b] for a, b in sentences(text, made)] == ["旧磁盘检查完毕", "夜班记录完整"] and len(sentences(text)) == 1
+    text = "旧磁盘 检查完毕"
+    assert len(sentences(text, made)) == 1
+    assert S.learn(df.where("false")).cost == S.Lexicon().cost
+
+
+def test_the_cheapest_path_against_all(seed=4):
+    import itertools
+    import random
+
+    rng = random.Random(seed)
+    for _ in range(200):
+        at, made = 0, []
+        for _ in range(rng.randint(0, 8)):
+            at += rng.randint(1, 4)
+            end = rng.random() < 0.5
+            w = rng.choice([1.0, 3.0, 4.0, 10.0]) + rng.random()
+            made.append((at, 0.0 if end else w, w if end else 0.0, rng.randint(0, at) if rng.random() < 0.4 else None))
+
+        def cost(chosen):
+            total, begin = 0.0, 0
+            for k, (place, end, skip, not_from) in enumerate(made):
+                if k in chosen:
+                    if not_from is not None and begin >= not_from:
+                        return float("inf")
+                    total, begin = total + end, place
+                else:
+                    total += skip
+            return total
+
+        best = min(cost(set(c)) for n in range(len(made) + 1) for c in itertools.combinations(range(len(made)), n))
+        got = S.cheapest(0, made)
+        assert abs(cost({k for k, m in enumerate(made) if m[0] in got}) - best) < 1e-9
+
+
+def test_time_grows_with_the_length():
+    import time
+
+    def took(n):
+        start = time.process_time()
+        for text in ("Dr. Word went on. " * n, "“a. b. " * n, '"He said. ' * n + '"', "今天早上。" * n, "etc. " * n):
+            sentences(text)
+        return time.process_time() - start
+
+    took(2000)
+    assert took(40_000) < 8 * took(10_000) + 0.2
+
+
 def test_strongest_cut_goes_right():
     import numpy as np
 
