@@ -19,6 +19,32 @@ def test_footrule_by_definition():
     assert np.array_equal(30 - 2 * got, want)  # 2 * (5 + 4 + 3 + 2 + 1)
 
 
+def test_footrule_bound_loses_few():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1400, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    strict, loose = (N.least_common(x[:300], x[300:], c, 6, 8) for c in (0.98, 0.7))
+    assert strict > loose >= 1 and N.least_common(x[:300], x[300:320], 0.9, 6, 8) == 1 and N.least_common(x[:300], x[300:], -2.0, 6, 8) == 1
+
+
+def test_only_picked_pairs_are_compared():
+    rng = np.random.default_rng(2)
+    perm = np.array([rng.permutation(9)[:4] for _ in range(40)], np.int32)
+    close = N.footrule_similarity(perm, perm)
+    assert np.array_equal(N.Pick(5, None).mask(perm, perm), close >= 5)
+    assert N.Pick(0, 3).mask(perm, perm) is None and N.Pick(1, 40).mask(perm, perm) is None
+    first = N.Pick(1, 3).mask(perm, perm)
+    assert (first.sum(1) >= 3).all() and all(close[i][first[i]].min() > close[i][~first[i]].max() for i in range(40))  # ties stay
+    x = rng.normal(size=(40, 6)).astype(np.float32)
+    ids = np.arange(40)
+    for pick in (N.Pick(5, None), N.Pick(9, None), N.Pick(1, 3), N.Pick(0, None)):
+        for least in (-2.0, 0.3):
+            mask = pick.mask(perm, perm)
+            got = {(a, b) for a, b in zip(*(c.to_pylist() for c in N._found(ids, perm, x, ids, perm, x, 50, pick, least).columns[:2]))}
+            want = {(a, b) for a in range(40) for b in range(40) if a != b and (mask is None or mask[a, b]) and x[a] @ x[b] >= max(least, -2)}
+            assert got == want
+
+
 def data(n=1500, dim=16, seed=1):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, dim))

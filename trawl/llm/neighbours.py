@@ -3,7 +3,9 @@
 A vector is represented by its nearest pivots in order. It is posted in the inverted file of each of
 its first ``lists`` pivots. Two vectors meet in a list when they share one of those pivots; there they
 are ranked by the footrule distance of their orders (a pivot missing from an order counts as the place
-after the last), and the first ``rerank`` of each are compared by cosine; all of them where it is None.
+after the last), and only those that rank first are compared by cosine. Where a least cosine is asked for
+these are all pairs within a distance that pairs of that cosine keep to, which is measured on a sample
+(:func:`least_common`); else they are the first ``rerank`` of each row and all that tie with the last of them.
 
 Among many near copies of each other the order of pivots tells little. Pivots that are near copies form
 a group; where it has more pivots than a row has lists, all rows nearest to one of them meet, and all are compared.
@@ -11,8 +13,8 @@ a group; where it has more pivots than a row has lists, all rows nearest to one
 Scale: a row is posted ``lists`` times, and with a number of pivots that grows as the root of the
 number of vectors the work grows as its power 1.5. A list beyond ``block`` rows (a crowded pivot may
 draw a third of all rows) is cut into blocks and every pair of blocks is searched by a task of its
-own, so a task's memory is bounded and no pair is lost. The rows of a group are compared with each other, so
-work and shuffle grow as the square of a group's rows. Vectors that are equal are searched once.
+own, so a task's memory is bounded and no pair is lost; a row of it is posted once for each block. So work and,
+divided by ``block``, shuffle grow as the square of a crowded list or a group. Vectors that are equal are searched once.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import discard, materialize
+from ..runtime import discard, lowest_hashed, materialize
 
 #: Pivots are a sample on the driver and in every worker: at most so many, 34 MB for 128 components.
 MAX_PIVOTS = 1 << 16
@@ -96,6 +98,32 @@ def groups(pivots: np.ndarray, least: int) -> np.ndarray:
     return np.where(size[group] > least, group, -1) if len(group) else group
 
 
+#: Vectors that the footrule bound is measured on, in each namespace, and the share of pairs it may lose.
+SAMPLE, LOST = 1024, 0.002
+
+
+def least_common(pivots: np.ndarray, sample: np.ndarray, cosine: float, lists: int, order: int) -> int:
+    """The footrule similarity that all but ``LOST`` of the pairs of this cosine have which meet in a list.
+
+    Each vector of the sample is paired with itself turned by that angle in a random direction. Without a
+    sample worth the name every pair that meets is compared.
+    """
+    n = min(order, len(pivots))
+    if len(sample) < 64 or cosine <= 0:
+        return 1
+    rng = np.random.default_rng(3)
+    aside = rng.normal(size=sample.shape).astype(np.float32)
+    aside -= np.einsum("ij,ij->i", aside, sample)[:, None] * sample
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    turned = cosine * sample + math.sqrt(max(0.0, 1 - cosine * cosine)) * aside
+    a, b = (np.argsort(-(x @ pivots.T), axis=1)[:, :n] for x in (sample, turned))
+    same = a[:, :, None] == b[:, None, :]
+    weight = np.minimum.outer(n - np.arange(n), n - np.arange(n))
+    similarity = (same * weight).sum((1, 2))
+    met = same[:, :lists, :lists].any((1, 2))
+    return max(1, int(np.floor(np.quantile(similarity[met], LOST)))) if met.any() else 1
+
+
 def pivot_count(n: int) -> int:
     return max(16, min(MAX_PIVOTS, int(2 * math.sqrt(n))))
 
@@ -108,15 +136,18 @@ class PermutationIndex:
     a bounded sample on the driver. Every row is indexed.
     """
 
-    def __init__(self, vectors: DataFrame, lists: int = 5, order: int = 8, block: int = 2048, pivots: int | None = None):
+    def __init__(self, vectors: DataFrame, lists: int = 5, order: int = 8, block: int = 8192, pivots: int | None = None):
         self.vectors, self.lists, self.order, self.block = vectors, lists, order, block
         counts = {r["ns"]: r["count"] for r in vectors.groupBy("ns").count().collect()}  # a row for each namespace
         self.names = sorted(counts)
         self.pivots: list[np.ndarray] = []
+        self.samples: list[np.ndarray] = []
         for ns in self.names:
             m = min(pivots or pivot_count(counts[ns]), MAX_PIVOTS, counts[ns])
-            rows = vectors.where(F.col("ns") == ns).orderBy(F.xxhash64("id"), "id").limit(m).select("unit").collect()
-            self.pivots.append(np.array([np.frombuffer(r["unit"], np.float32) for r in rows]))
+            rows = lowest_hashed(vectors.where(F.col("ns") == ns).select("id", "unit"), "id", m + SAMPLE, counts[ns], "unit").select("unit").collect()
+            made = np.array([np.frombuffer(r["unit"], np.float32) for r in rows])
+            self.pivots.append(made[:m])
+            self.samples.append(made[m:])
         # a group's list has its own number, behind those of the pivots
         self.total = sum(map(len, self.pivots))
         base = np.cumsum([0, *map(len, self.pivots)])
@@ -124,6 +155,11 @@ class PermutationIndex:
         self.group = np.concatenate([np.where(g < 0, -1, g + b + self.total) for g, b in zip(made, base)] or [np.zeros(0, np.int64)])
         self.handle = vectors.sparkSession.sparkContext.broadcast((self.names, self.pivots))  # at most MAX_PIVOTS rows each
 
+    def _bounds(self, least: float) -> np.ndarray:
+        """For each list the least footrule similarity of pairs that are compared; 0 for the lists of groups."""
+        each = [np.full(len(p), least_common(p, x, least, self.lists, self.order)) for p, x in zip(self.pivots, self.samples)]
+        return np.concatenate([*each, np.zeros(self.total, np.int64)]) if each else np.zeros(0, np.int64)
+
     def _lists(self, depth: int):
         """A function that gives each row's lists, from its order of pivots; -1 is none."""
         group = self.group
@@ -172,7 +208,8 @@ class PermutationIndex:
     def search_all(self, k: int, rerank: int | None, least: float = -2.0) -> DataFrame:
         """``a, b, cosine``: for each vector its nearest found in each list; both directions, with repeats across lists."""
         blocks = {lst: -(-n // self.block) for lst, n in self._loads(self.vectors, self.lists).items()}
-        nearest, lists_of, order, total = self._ordered(self.vectors, self.lists), self._lists(self.lists), self.order, self.total
+        nearest, lists_of, order = self._ordered(self.vectors, self.lists), self._lists(self.lists), self.order
+        bounds = self._bounds(least)
 
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -192,7 +229,7 @@ class PermutationIndex:
         def search(t: pa.Table) -> pa.Table:
             ids, part, perm, x = _read(t)
             i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-            first = None if t.column("list")[0].as_py() >= total else rerank
+            first = Pick(int(bounds[t.column("list")[0].as_py()]), rerank)
             if i == j:
                 return _found(ids, perm, x, ids, perm, x, k, first, least)
             q, d = part == i, part == j  # either may be empty
@@ -207,7 +244,7 @@ class PermutationIndex:
         full, asked = self._loads(self.vectors, self.lists), self._loads(queries, probes)
         gd = {lst: -(-n // self.block) for lst, n in full.items()}
         gq = {lst: -(-n // self.block) for lst, n in asked.items()}
-        order, total = self.order, self.total
+        order, bounds = self.order, self._bounds(least)
 
         def poster(nearest, depth: int, query: bool):
             mine_of, other_of = (gq, gd) if query else (gd, gq)
@@ -233,7 +270,7 @@ class PermutationIndex:
         def search(t: pa.Table) -> pa.Table:
             ids, role, perm, x = _read(t)
             q, d = role == 1, role == 0
-            first = None if t.column("list")[0].as_py() >= total else rerank
+            first = Pick(int(bounds[t.column("list")[0].as_py()]), rerank)
             return _found(ids[q], perm[q], x[q], ids[d], perm[d], x[d], k, first, least)
 
         narrow = [f.select("id", "ns", "unit") for f in (self.vectors, queries)]
@@ -274,43 +311,84 @@ def footrule_similarity(q: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Twice this, taken from a constant, is the footrule distance of two orders.
 
     A pivot at place i of ``n`` weighs n - i, and 0 where it is missing; the distance is the sum of the
-    weights' differences, so what two orders have in common is the sum of the lesser weights.
+    weights' differences, so what two orders have in common is the sum of the lesser weights. Only rows that
+    share a pivot are touched, pivot by pivot.
     """
     n = q.shape[1]
-    out = np.zeros((len(q), len(d)), np.float32)
+    kind = np.uint8 if n * (n + 1) // 2 < 256 else np.uint16
+    out = np.zeros((len(q), len(d)), kind)
 
     def members(x: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         flat = x.ravel()
         at = np.argsort(flat, kind="stable")
         cut = np.nonzero(np.diff(flat[at], prepend=-1))[0]
-        return {int(flat[g[0]]): (g // x.shape[1], (n - g % x.shape[1]).astype(np.float32)) for g in np.split(at, cut[1:]) if len(g)}
+        return {int(flat[g[0]]): (g // x.shape[1], (n - g % x.shape[1]).astype(kind)) for g in np.split(at, cut[1:]) if len(g)}
 
     of_d = members(d)
     for pivot, (rows, w) in members(q).items():
         if pivot in of_d:
             columns, v = of_d[pivot]
-            out[np.ix_(rows, columns)] += np.minimum.outer(w, v)
+            common = np.minimum.outer(w, v)
+            if len(rows) == len(q) and len(columns) == len(d):
+                out += common  # every row has it: the list's own pivot
+            else:
+                out[rows[:, None], columns] += common
     return out
 
 
-def _found(qi, qp, qx, di, dp, dx, k: int, rerank: int | None, least: float) -> pa.Table:
+class Pick:
+    """Which pairs of a list are compared: by footrule ``least`` similar or more, or the ``first`` of each row with all that tie."""
+
+    def __init__(self, least: int, first: int | None):
+        self.least, self.first = least, first
+
+    def mask(self, q: np.ndarray, d: np.ndarray) -> np.ndarray | None:
+        """None where it is all of them."""
+        if self.least <= 0 or self.least == 1 and (self.first is None or self.first >= len(d)):
+            return None
+        close = footrule_similarity(q, d)
+        if self.least > 1 or self.first is None:
+            return close >= self.least
+        last = -np.partition(-close.astype(np.int16), self.first - 1, axis=1)[:, self.first - 1]
+        return close >= last[:, None]
+
+
+#: From this share of picked pairs on one matrix product is less work than as many products of rows.
+DENSE = 0.04
+
+
+def _found(qi, qp, qx, di, dp, dx, k: int, pick: Pick, least: float) -> pa.Table:
     a, b, c = [], [], []
+    least = max(least, -2.0)
     if len(qi) and len(di):
         for at in range(0, len(qi), 1024):
             rows = slice(at, at + 1024)
-            itself = qi[rows][:, None] == di[None, :]
-            cos = qx[rows] @ dx.T
-            if rerank is not None and rerank < len(di):
-                close = footrule_similarity(qp[rows], dp)
-                np.put_along_axis(cos, np.argpartition(-close, rerank - 1, axis=1)[:, rerank:], -3, 1)
-            cos[itself] = -3
-            m = min(k, len(di))
-            best = np.argpartition(-cos, m - 1, axis=1)[:, :m]
-            value = np.take_along_axis(cos, best, 1)
-            r, s = np.nonzero(value >= max(least, -2))
-            a.append(qi[rows][r])
-            b.append(di[best[r, s]])
-            c.append(value[r, s].astype(np.float64))
+            mask = pick.mask(qp[rows], dp)
+            if mask is not None and mask.mean() < DENSE:
+                r, s = np.nonzero(mask)
+                value = np.concatenate([np.einsum("ij,ij->i", qx[rows][r[i : i + 65536]], dx[s[i : i + 65536]]) for i in range(0, len(r), 65536)] or [np.zeros(0, np.float32)])
+            else:
+                cos = qx[rows] @ dx.T
+                if mask is not None:
+                    cos[~mask] = -3
+                if least <= -1:  # nearly all of them pass: the first k before they are listed
+                    cos[qi[rows][:, None] == di[None, :]] = -3
+                    m = min(k, len(di))
+                    s = np.argpartition(-cos, m - 1, axis=1)[:, :m]
+                    r = np.repeat(np.arange(len(s)), m)
+                    s = s.ravel()
+                else:
+                    r, s = np.nonzero(cos >= least)
+                value = cos[r, s]
+            good = (value >= least) & (qi[rows][r] != di[s])
+            r, s, value = r[good], s[good], value[good]
+            order = np.lexsort((di[s], -value, r))
+            r, s, value = r[order], s[order], value[order]
+            nth = np.arange(len(r)) - np.searchsorted(r, r)
+            best = nth < k
+            a.append(qi[rows][r[best]])
+            b.append(di[s[best]])
+            c.append(value[best].astype(np.float64))
     return _pairs(np.concatenate(a), np.concatenate(b), np.concatenate(c)) if a else _pairs([], [], [])
 
 
