@@ -218,9 +218,19 @@ def test_look_alikes(spark):
 
 
 def test_a_repair_needs_its_word(spark):
-    df = spark.createDataFrame([("t", 1, "wоrd alone"), ("t", 2, "other text"), ("t", 3, "zеbra"), ("t", 4, "zebrа")], "field string, id long, value string")
+    texts = ["wоrd alone", "other text", "zеbra", "zebrа", "zebra", "poc and more", "рос из шума", "о poc", "ﬁle Ⅳ"]
+    df = spark.createDataFrame([("t", i, t) for i, t in enumerate(texts, 1)], "field string, id long, value string")
     forms = {r["id"]: r["text"] for r in K.normalised(df).collect()}
-    assert forms[1] == "wоrd alone" and forms[3] == forms[4] == "zebra"  # two spellings lead to one word
+    assert forms[1] == "wоrd alone" and forms[3] == forms[4] == "zebra" and forms[9] == "file IV"
+    assert forms[7] == "рос из шума"  # a word of one script among others of it stays, though the corpus has its look-alike
+    df = df.where("id <> 5 AND id <> 3")
+    assert {r["id"]: r["text"] for r in K.normalised(df).collect()}[4] == "zebrа"
+
+
+def test_whole_words_of_look_alikes():
+    r = K.Repairer()
+    assert r.repairs("Ѕеm аvіѕо now") == {("Ѕеm", "Sem"), ("аvіѕо", "aviso")} and r.repairs("тот рос") == set()
+    assert r.repairs("plain о line") == {("о", "o")} and r.repairs("line о шум") == set()
 
 
 CHAINS = [("utf-8", "cp1252"), ("utf-8", "cp1251"), ("utf-8", "cp1255"), ("utf-8", "cp850"), ("utf-8", "latin_1"), ("cp1252", "mac_roman"), ("utf-8", "cp1252", "utf-8", "cp1252")]

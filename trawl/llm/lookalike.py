@@ -3,8 +3,9 @@
 Width, composition of accents, invisible characters and kinds of space are folded in every text. Letters of
 other scripts are put right with care: each word's dominant script is that of its letters that have no
 look-alike (those of its line if it has none), look-alikes of other scripts are replaced by that script's
-letters, and the result is taken only if the corpus has that word, or several spellings lead to it. What
-counts for dominance isn't changed by the replacement, so all spellings of a word are judged alike.
+letters, and the result is taken only if the corpus has that word. A word of a single foreign script, all of
+look-alikes, is no different from one that is meant so; it is put right only in a text that has a word of mixed
+scripts besides, or in a line without any letter that only its script has. What counts for dominance isn't changed by the replacement, so all spellings of a word are judged alike.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ AMBIGUOUS = frozenset(CYRILLIC) | frozenset(GREEK) | frozenset(LATIN_CYRILLIC) |
 
 def _width_and_spaces() -> dict[int, str | None]:
     table: dict[int, str | None] = {}
-    for o in range(0xFF00, 0xFFF0):
+    # full and half width forms, ligatures of Latin letters, Roman numerals of one code point
+    for o in (*range(0xFF00, 0xFFF0), *range(0xFB00, 0xFB07), *range(0x2160, 0x2180)):
         folded = unicodedata.normalize("NFKC", chr(o))
         if folded != chr(o):
             table[o] = folded
@@ -133,40 +135,41 @@ class Repairer:
             out.append(ch)
         return unicodedata.normalize("NFC", "".join(out))
 
-    def line_script(self, words: list[str]) -> str:
+    def sure_letters(self, words: list[str]) -> dict[str, int]:
+        """How many letters each script has that are no look-alikes."""
         total: dict[str, int] = {}
         for w in words:
             for s, n in self._fact(w)[2].items():
-                total[s] = total.get(s, 0) + n
-        total = {s: n for s, n in total.items() if s in "LCG"}
-        return max(sorted(total, reverse=True), key=total.get) if total else "L"
+                if s in "LCG":
+                    total[s] = total.get(s, 0) + n
+        return total
+
+    def mixed(self, word: str) -> bool:
+        """Whether a word has letters of several of the scripts."""
+        return sum(s in "LCG" for s in self._fact(word)[1]) > 1
+
+    def of_lines(self, text: str) -> list[dict[str, str]]:
+        """For each line the words that may be put right, and what they become."""
+        lines = [self.word.findall(line) if self.odd.search(line) else [] for line in text.split("\n")]
+        among = any(self.mixed(w) for words in lines for w in words)
+        out = []
+        for words in lines:
+            sure = self.sure_letters(words)
+            script = max(sorted(sure, reverse=True), key=sure.get) if sure else "L"
+            fixed = {w: self.repair(w, script) for w in set(words) if among or not any(s in sure for s in self._fact(w)[1])}
+            out.append({w: r for w, r in fixed.items() if r is not None and r != w})
+        return out
 
     def repairs(self, text: str) -> set[tuple[str, str]]:
         if text.isascii() or not self.odd.search(text):
             return set()
-        found = set()
-        for line in text.split("\n"):
-            if not self.odd.search(line):
-                continue
-            words = self.word.findall(line)
-            script = self.line_script(words)
-            for w in set(words):
-                r = self.repair(w, script)
-                if r is not None and r != w:
-                    found.add((w, r))
-        return found
+        return {x for found in self.of_lines(text) for x in found.items()}
 
     def apply(self, text: str, accepted: set[tuple[str, str]]) -> str:
-        lines = text.split("\n")
-        for i, line in enumerate(lines):
-            script = self.line_script(self.word.findall(line))
-
-            def put(m, script=script):
-                r = self.repair(m[0], script)
-                return r if r is not None and (m[0], r) in accepted else m[0]
+        def put(line: str, found: dict[str, str]) -> str:
+            return self.word.sub(lambda m: found[m[0]] if (m[0], found.get(m[0])) in accepted else m[0], line) if found else line
 
-            lines[i] = self.word.sub(put, line)
-        return unicodedata.normalize("NFC", "\n".join(lines))
+        return unicodedata.normalize("NFC", "\n".join(map(put, text.split("\n"), self.of_lines(text))))
 
 
 def folded(values: DataFrame) -> DataFrame:
@@ -201,14 +204,12 @@ def folded(values: DataFrame) -> DataFrame:
 
 
 def accepted_repairs(rows: DataFrame) -> DataFrame:
-    """``word``, ``fixed``: those whose result the corpus has as a word, or that several spellings lead to."""
+    """``word``, ``fixed``: those whose result the corpus has as a word."""
     wanted = rows.where("repairs IS NOT NULL").select(F.explode("repairs").alias("r")).select("r.word", "r.fixed").distinct()
     wanted = materialize(wanted, "repairs")
-    several = wanted.groupBy("fixed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fixed")
     # distinct within a text and on the map side before the words of the corpus are shuffled
     words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}]+)"), F.lit(1)))).alias("fixed")).distinct()
-    known = wanted.select("fixed").distinct().join(words, "fixed")
-    return wanted.join(known.unionByName(several).distinct(), "fixed").select("word", "fixed")
+    return wanted.join(words, "fixed").select("word", "fixed")
 
 
 def normalised(values: DataFrame) -> DataFrame:

@@ -160,21 +160,21 @@ SELECT c.id, coalesce(l.label, c.rep) AS class_id, c.copies FROM copies c LEFT J
 """
 
 
-def _p5() -> str:
-    """Every look-alike folded to one letter, whatever the word: more than the operator does, and the same pairs."""
-    quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    wide = range(0xFF01, 0xFF5F)
-    hidden = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in lookalike.INVISIBLE) + "]"
-    spaces = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in lookalike.SPACES) + "]"
-    value = f"regexp_replace(regexp_replace(value, '{hidden}', '', 'g'), '{spaces}', ' ', 'g')"
-    value = f"nfc_normalize(translate({value}, {quoted(''.join(map(chr, wide)))}, {quoted(''.join(chr(c - 0xFEE0) for c in wide))}))"
-    form = f"nfc_normalize(translate({value}, {quoted(lookalike.CYRILLIC + lookalike.GREEK + 'ёЁїЇ')}, {quoted(lookalike.LATIN_CYRILLIC + lookalike.LATIN_GREEK + 'ëËïÏ')}))"
-    return f"""
+#: Every look-alike folded to one letter, whatever the word and whether or not the corpus has it: less careful than the
+#: operator, with a table of its own (fixed values), and the same pairs.
+_P5_FROM = "АВСЕНІЈКМОРЅТХУасеһіјӏорԛѕԝхуԁΑΒΕΗΙΚΜΝΟΡΤΧΥΖονёЁїЇ"
+_P5_TO = "ABCEHIJKMOPSTXYacehijlopqswxydABEHIKMNOPTXYZovëËïÏ"
+_P5_WIDE = "！＂＃＄％＆＇（）＊＋，－．／０１２３４５６７８９：；＜＝＞？＠ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ［＼］＾＿｀ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ｛｜｝～"
+_P5_NARROW = "!\"#$%&''()*+,-./0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_`abcdefghijklmnopqrstuvwxyz{|}~"
+_P5_HIDDEN = r"[\x{AD}\x{34F}\x{61C}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FE00}-\x{FE0F}\x{FEFF}]"
+_P5_SPACES = r"[\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
+_P5 = f"""
 WITH texts AS (
   SELECT 'chunk_text' AS field, id, text AS value FROM chunks WHERE text IS NOT NULL
   UNION ALL SELECT 'file_name', id, name FROM files WHERE name IS NOT NULL
 ),
-forms AS (SELECT field, id, value, {form} AS form FROM texts)
+plain AS (SELECT *, regexp_replace(regexp_replace(value, '{_P5_HIDDEN}', '', 'g'), '{_P5_SPACES}', ' ', 'g') AS p FROM texts),
+forms AS (SELECT field, id, value, nfc_normalize(translate(nfc_normalize(translate(p, '{_P5_WIDE}', '{_P5_NARROW}')), '{_P5_FROM}', '{_P5_TO}')) AS form FROM plain)
 SELECT a.field, a.id AS id_a, b.id AS id_b FROM forms a JOIN forms b ON a.field = b.field AND a.form = b.form AND a.id < b.id
 WHERE a.value <> b.value AND regexp_matches(a.form, '[^\\s]')
 """
@@ -185,4 +185,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p2_found": _P2, "p4_found": _P4, "p4_groups": _P4_GROUPS, "p5_found": _p5(), "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+    return {"p1_found": _P1, "p2_found": _P2, "p4_found": _P4, "p4_groups": _P4_GROUPS, "p5_found": _P5, "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
