@@ -290,3 +290,21 @@ def test_words_of_few_accents_tell_together(spark):
     rows += [f"{rare} {w}" for w in ("אתמול",)] + ["אתמול"] * 4 + [M.garble(f"{rare} אתמול", ("cp1255", "cp1251")), "trčs"]
     # the last: one short word alone tells nothing
     assert found(spark, rows) == {10, 11, 17}
+
+
+def test_originals_that_are_nowhere_clean(spark):
+    garbled = M.garble("größere Übersichten", ("utf-8", "cp1252"))
+    assert found(spark, [garbled, "mеѕѕ", "NÃ\xadO", "plain", "été"]) == {0}
+    assert M.read_back(garbled.split()[0]) == "utf-8 cp1252" and M.read_back("Мѕ") is None and M.read_back("K\ufffdche") is None
+
+
+def test_garbled_twice_and_short_runs_of_spaceless_scripts(spark):
+    thai, chinese = "ตัวค้นหาเปิดร่างเอกสาร", "夜间扫描找到了旧发票"
+    rows = [thai, chinese, "文", "file 文 1"] + [M.garble(thai, ("utf-8", r, "utf-8", r)) for r in ("cp1252", "cp850")] + [M.garble(chinese, ("utf-8", "cp1252", "utf-8", "latin_1")), "a " + M.garble("文", ("utf-8", "cp1252"))]
+    assert found(spark, rows) == {4, 5, 6, 7}
+
+
+def test_one_strange_letter_in_a_long_word(spark):
+    rows = [f"l’estrattore ha letto {n}" for n in range(6)] + [M.garble("l’estrattore", ("cp1252", "mac_roman")) + " ha letto", "líquido", "Київ вкраїнська мова", "Ελληνικά κείμενα", "한국어 문서"]
+    rows += [M.garble(x, ("utf-8", "cp1252")) for x in rows[-3:]]
+    assert found(spark, rows) == {6, 11, 12, 13}

@@ -5,12 +5,15 @@ an encoding and read in another, once or twice. The words of the documents are j
 hash. A match is verified by garbling the original again. A word that looks odd marks its document; of words
 that look clean, as Hebrew read as Cyrillic does, the original must be in far more different texts, and the word be
 long or two match in one row under one chain. The original is put in the place of the match. Scripts without spaces have no words to look up; there the garbled forms of short sequences
-of characters are made, and all windows of an odd run are joined. In a document so found, odd words that match
-nothing are read back by the chain of their neighbours, if that gives a clean word that garbles to them.
+of characters are made, and all windows of an odd run are joined. Odd words that match nothing, as their originals are
+nowhere clean, tell by themselves where they hold a replacement character or where a chain written in UTF-8 reads
+them back to a clean word that garbles to them. In a document so found, other odd words are read back by the
+chain of their neighbours.
 """
 
 from __future__ import annotations
 
+import codecs
 import re
 import unicodedata
 from collections import Counter
@@ -20,25 +23,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import materialize, partitions
 from .lookalike import AMBIGUOUS
 
 #: Encodings a text may have been written in, by script, and those it may have been read in.
 WRITTEN = {
-    "LATIN": ("utf-8", "cp1252", "cp850", "mac_roman"),
+    "LATIN": ("utf-8", "cp1252", "cp850", "mac_roman", "cp1250", "cp1254"),
+    "GREEK": ("utf-8", "cp1253"),
     "CYRILLIC": ("utf-8", "cp1251", "koi8_r", "cp866", "iso8859_5"),
     "HEBREW": ("utf-8", "cp1255"),
     "ARABIC": ("utf-8", "cp1256"),
     "DEVANAGARI": ("utf-8",),
     "THAI": ("utf-8", "cp874"),
     "CJK": ("utf-8", "gbk", "euc_jp", "shift_jis", "big5"),
+    "HANGUL": ("utf-8", "cp949"),
 }
 READ = ("cp1252", "latin_1", "cp1251", "cp1255", "cp850", "cp437", "cp1250", "cp1253", "cp1254", "cp1256", "koi8_r", "cp866", "mac_roman", "utf-8")
-TWICE = ("cp1252", "latin_1", "cp1251", "cp1255")
+#: How UTF-8 may have been read twice.
+TWICE = (*((r, r) for r in READ if r != "utf-8"), ("cp1252", "latin_1"), ("latin_1", "cp1252"))
 #: Characters of a window's original in scripts without spaces.
 UNIT = {"CJK": 2, "THAI": 4}
-#: Code points of a window of garbled text; the last are those of text garbled twice.
-WINDOWS = (4, 6, 12, 13, 14, 15, 16)
+#: Code points of a window of garbled text: from what tells anything to four characters of three bytes garbled twice.
+WINDOWS = range(3, 37)
+#: Of windows of other encodings than UTF-8: a unit's characters have one or two bytes there.
+LEGACY = (3, 4)
 REPLACED = "�"
 #: A run of ASCII letters and other characters but spaces and invisible ones; one of them isn't ASCII.
 RUN = re.compile(r"[A-Za-z]*[\x80-῿‎‏‐-‧‰-⁞⁰-⿿、-﻾＀-\U0010ffff][A-Za-z\x80-῿‎‏‐-‧‰-⁞⁰-⿿、-﻾＀-\U0010ffff]*")
@@ -55,15 +63,14 @@ def _byte_map(encoding: str) -> list[str]:
     return out
 
 
-_MAPS = {e: _byte_map(e) for e in READ if e != "utf-8"}
+_MAPS = {e: "".join(_byte_map(e)) for e in READ if e != "utf-8"}
 _BACK = {e: {c: b for b, c in reversed(list(enumerate(m)))} for e, m in _MAPS.items()}
 
 
 def read_as(data: bytes, encoding: str) -> str:
     if encoding == "utf-8":
         return data.decode("utf-8", "replace")
-    m = _MAPS[encoding]
-    return "".join([m[b] for b in data])
+    return codecs.charmap_decode(data, "strict", _MAPS[encoding])[0]
 
 
 def bytes_of(text: str, encoding: str) -> bytes | None:
@@ -76,9 +83,9 @@ def bytes_of(text: str, encoding: str) -> bytes | None:
 
 
 def chains(script: str) -> list[tuple[str, ...]]:
-    """Written, read, written, read ... in pairs; a second pair is UTF-8 read as the first was."""
+    """Written, read, written, read ... in pairs; a second pair is UTF-8 read twice."""
     out = [(w, r) for w in WRITTEN.get(script, ("utf-8",)) for r in READ if w != r]
-    return out + [("utf-8", r, "utf-8", r) for r in TWICE]
+    return out + [("utf-8", r, "utf-8", again) for r, again in TWICE]
 
 
 def garble(text: str, chain: tuple[str, ...]) -> str | None:
@@ -91,6 +98,30 @@ def garble(text: str, chain: tuple[str, ...]) -> str | None:
     return text
 
 
+def garbled_under(word: str, chains_: list[tuple[str, ...]]) -> dict[str, tuple[str, ...]]:
+    """The garbled forms of a word, each with the first chain that makes it; what chains share is made once."""
+    written: dict[str, bytes | None] = {}
+    once: dict[tuple[str, ...], str | None] = {}
+    forms: dict[str, tuple[str, ...]] = {}
+    for chain in chains_:
+        w, r = chain[:2]
+        if w not in written:
+            try:
+                written[w] = word.encode(w)
+            except UnicodeEncodeError:
+                written[w] = None
+        if written[w] is None:
+            continue
+        g = once.get((w, r))
+        if g is None:
+            g = once[w, r] = read_as(written[w], r)
+        if len(chain) > 2:
+            g = garble(g, chain[2:])
+        if g is not None and g != word and not g.isascii():
+            forms.setdefault(g, chain)
+    return forms
+
+
 def ungarble(text: str, chain: tuple[str, ...]) -> str | None:
     """The text that garbles to ``text`` under the chain; None where there is none, or more than one could be."""
     whole = text
@@ -112,6 +143,7 @@ def script_of(ch: str) -> str:
     if o < 0x250 or 0x1E00 <= o <= 0x1EFF:
         return "LATIN" if ch.isalpha() else ""
     for name, first, last in (
+        ("GREEK", 0x370, 0x3FF),
         ("CYRILLIC", 0x400, 0x52F),
         ("HEBREW", 0x590, 0x5FF),
         ("ARABIC", 0x600, 0x6FF),
@@ -119,6 +151,7 @@ def script_of(ch: str) -> str:
         ("THAI", 0xE00, 0xE7F),
         ("CJK", 0x3040, 0x30FF),
         ("CJK", 0x3400, 0x9FFF),
+        ("HANGUL", 0xAC00, 0xD7A3),
     ):
         if first <= o <= last:
             return name
@@ -128,6 +161,8 @@ def script_of(ch: str) -> str:
 #: Characters besides letters that clean words have: quotation marks, apostrophes, dashes and stops (fixed values).
 CLEAN_MARKS = frozenset("’‘‚“”„‹›«»–—…¿¡•ºª׳״؟،؛।、。「」『』（），：；！？・ー‎‏")
 RUSSIAN = frozenset("абвгдеёжзийклмнопрстуфхцчшщъыьэюя")
+#: What Ukrainian, Belarusian and Serbian words have besides.
+CYRILLIC_TOO = frozenset("іїєґўјљњћђџ")
 
 
 def utf8_inside(run: str) -> bool:
@@ -140,6 +175,8 @@ def utf8_inside(run: str) -> bool:
     return False
 
 
+#: How the first two bytes of a character of UTF-8 read.
+_BEGINS = frozenset(m[a] + m[b] for m in _MAPS.values() for a in range(0xC2, 0xF5) for b in range(0x80, 0xC0))
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf](?![\x80-\xbf])|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 
 
@@ -155,7 +192,7 @@ def kind_of(run: str) -> str:
         return "odd"
     if plain and len(scripts) <= 1 or scripts == {"LATIN", "CJK"} or scripts == {"LATIN", "THAI"}:
         script = next(iter(scripts - {"LATIN"} or scripts), "")
-        if script in ("CJK", "THAI", "DEVANAGARI", "ARABIC"):
+        if script in ("CJK", "THAI", "DEVANAGARI", "ARABIC", "HANGUL"):
             return "clean" if plain else "odd"
         letters = [c for c in body if c.isalpha()]
         if script == "HEBREW":
@@ -163,7 +200,11 @@ def kind_of(run: str) -> str:
         regular = not any(a.islower() and b.isupper() for a, b in zip(body, body[1:]))
         if script == "CYRILLIC":
             shouted = len(letters) > 1 and all(c.isupper() for c in letters)
-            return "clean" if regular and not shouted and all(c.lower() in RUSSIAN for c in letters) else "odd"
+            others = [c for c in letters if c.lower() not in RUSSIAN]
+            known = all(c.lower() in CYRILLIC_TOO for c in others) and len(others) * 3 <= len(letters) and not (others and utf8_inside(run))
+            return "clean" if regular and not shouted and known else "odd"
+        if script == "GREEK":
+            return "clean" if regular and len(letters) > 2 else "odd"
         inside = any(a.isalpha() and b in CLEAN_MARKS and b not in "’‘·ºª" and c.isalpha() for a, b, c in zip(body, body[1:], body[2:]))
         accented = [c for c in letters if not c.isascii()]
         shouted = len(letters) > 2 and all(c.isupper() for c in letters) and len(accented) * 2 > len(letters)
@@ -249,12 +290,7 @@ def garbled_forms(words: DataFrame) -> DataFrame:
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for kind, word, n, in_rows in zip(*(c.to_pylist() for c in b.columns)):
                 script = next((s for s in map(script_of, word) if s and s != "LATIN"), "LATIN")
-                forms: dict[str, tuple[str, ...]] = {}
-                for chain in known.get(script, known["DEVANAGARI"]):
-                    g = garble(word, chain)
-                    if g is not None and g != word and not g.isascii():
-                        forms.setdefault(g, chain)
-                for g, chain in forms.items():
+                for g, chain in garbled_under(word, known.get(script, known["DEVANAGARI"])).items():
                     if kind == "unit" and (len(g) not in WINDOWS or REPLACED in g):
                         continue
                     for column, value in zip(out, (_hash(g), kind == "unit", word, n, in_rows, " ".join(chain))):
@@ -275,8 +311,10 @@ def probes(odd: DataFrame) -> DataFrame:
                 # a word garbled inside quotation marks that were garbled too
                 forms = {(_hash(run), False), (_hash(run.strip("\xa0\xad")), False)}
                 if len(run) >= WINDOWS[0] and sum(not c.isascii() for c in run) >= WINDOWS[0] - 1:
-                    for size in WINDOWS:
-                        forms.update((_hash(run[at : at + size]), True) for at in range(len(run) - size + 1))
+                    for at in range(len(run) - WINDOWS[0] + 1):
+                        # windows of UTF-8 begin as its characters do
+                        sizes = WINDOWS if run[at : at + 2] in _BEGINS else LEGACY
+                        forms.update((_hash(run[at : at + size]), True) for size in sizes if at + size <= len(run))
                 for form, unit in forms:
                     for column, value in zip(out, (run, form, unit)):
                         column.append(value)
@@ -291,6 +329,8 @@ def probes(odd: DataFrame) -> DataFrame:
 FAR_MORE = 4
 #: A word of so many letters is no other one's garbled form by chance; of shorter ones a row must have two.
 LONG = 6
+#: Nor of one so long that only one character is strange.
+LONGER = 8
 #: What a match tells: nothing, that it is garbled if another match of the same chain in the row says more, that the
 #: row is garbled if it has another match of the chain, that it is garbled.
 NOTHING, COMPANY, WITH_ANOTHER, ALONE = range(4)
@@ -310,7 +350,7 @@ def verified(run: str, word: str, chain: str, unit: bool, often: bool = True, fa
     g = garble(word, tuple(chain.split(" ")))
     if g is None or (g not in run if unit else g.strip("\xa0\xad") != run.strip("\xa0\xad")):
         return NOTHING
-    long = odd or len(run) >= LONG and sum(not c.isascii() and c.isalpha() for c in run) >= 3
+    long = odd or len(run) >= LONG and sum(not c.isascii() and c.isalpha() for c in run) >= 3 or len(run) >= LONGER and far
     if REPLACED in run:
         return ALONE
     strange = [c for c in g if not c.isascii()]
@@ -323,6 +363,8 @@ def verified(run: str, word: str, chain: str, unit: bool, often: bool = True, fa
     # text written in UTF-8 shows it; of others short runs may be what they seem
     if chain.startswith("utf-8"):
         return NOTHING if len(g) < 2 else ALONE
+    if len(run) >= LONGER and not odd:
+        return ALONE
     symbol = any(not c.isalpha() and c not in CLEAN_MARKS for c in strange)
     telling = len(strange) > 1 or len(g) > 3 or symbol
     if not (unit or len(g) > 2 and telling):
@@ -352,7 +394,8 @@ def matches(rows: DataFrame) -> DataFrame:
     clean = counted.where("kind = 'clean' AND n > 0").where(deceives("run"))
     clean = clean.select("run", F.col("n").alias("n_run"), F.col("rows").alias("rows_run"), F.lit(False).alias("sure"), hashed("run").alias("form"), F.lit(False).alias("unit"))
     asked = probes(odd).join(odd, "run").select(*clean.columns).unionByName(clean)
-    hit = asked.join(garbled_forms(words), ["form", "unit"])
+    # few rows, each of which makes many: as many tasks as there are cores
+    hit = asked.join(garbled_forms(words.repartition(partitions(rows.sparkSession), "run")), ["form", "unit"])
 
     @F.pandas_udf("int")
     def tells(run, word, chain, unit, often, far, sure):
@@ -369,17 +412,38 @@ def matches(rows: DataFrame) -> DataFrame:
     return best.select("run", "sure", "best.chain", F.when(F.col("best.whole"), F.col("best.word")).alias("word"), "chains")
 
 
+def read_back(run: str) -> str | None:
+    """The chain, written in UTF-8, that reads an odd run back to a clean word which garbles to it."""
+    strange = [c for c in run if not c.isascii() and c not in "\xa0\xad"]
+    if REPLACED in run or len(strange) < 2 or all(c in AMBIGUOUS for c in strange) or not utf8_inside(run):
+        return None
+    for chain in _UTF8_CHAINS:
+        back = ungarble(run.strip("\xa0"), chain)
+        if back is not None and back != run and not back.isascii() and _clean(back):
+            return " ".join(chain)
+    return None
+
+
+_UTF8_CHAINS = [("utf-8", r) for r in READ if r != "utf-8"] + [("utf-8", r, "utf-8", again) for r, again in TWICE]
+
+
 def found_runs(values: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Runs by row (``field``, ``id``, ``run``, ``sure``), and those that are garbled, as from :func:`matches`.
 
-    A run with a replacement character is garbled, matched or not.
+    Of the odd runs that match nothing those are garbled that hold a replacement character or that can be read back.
     """
     rows = materialize(runs(values), "runs")
     match = materialize(matches(rows), "matches")
     by_row = rows.where("kind IN ('odd', 'clean')").select("field", "id", "run", (F.col("kind") == "odd").alias("sure")).distinct()
-    lost = by_row.where(F.col("run").contains(REPLACED)).select("run", "sure").distinct().join(match.select("run"), "run", "left_anti")
+
+    @F.pandas_udf("string")
+    def chain_of(run):
+        return run.map(read_back)
+
+    rest = rows.where("kind = 'odd'").select("run").distinct().join(match.where("sure").select("run"), "run", "left_anti")
     none = F.lit(None).cast("string")
-    lost = lost.select("run", "sure", none.alias("chain"), none.alias("word"), F.array(F.struct(none.alias("chain"), F.lit(ALONE).alias("tells"))).alias("chains"))
+    lost = rest.withColumn("chain", chain_of("run")).where(F.col("chain").isNotNull() | F.col("run").contains(REPLACED))
+    lost = lost.select("run", F.lit(True).alias("sure"), "chain", none.alias("word"), F.array(F.struct("chain", F.lit(ALONE).alias("tells"))).alias("chains"))
     return by_row, match.unionByName(lost)
 
 
