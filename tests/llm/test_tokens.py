@@ -57,7 +57,7 @@ def test_a_small_cache_changes_nothing(codec, monkeypatch):
     assert [next(iter(fresh.encode([t]))) for t in TEXTS] == want
 
 
-@pytest.mark.parametrize("rate,cap", [(0.3, 4), (2.0, 4), (3.9, 4), (1.0, 1), (0.99, 1), (5, 40), (0, 3), (3, 0)])
+@pytest.mark.parametrize("rate,cap", [(0.3, 4), (2.0, 4), (3.9, 4), (1.0, 1), (0.99, 1), (5, 40), (0, 3), (3, 0), (499.5, 900), (700.0, 720), (1500.0, 1550)])
 def test_thresholds_keep_the_mean(rate, cap):
     t = mixing.thresholds(rate, cap)
     mean = sum(1 - x for x in t)
@@ -98,6 +98,18 @@ def test_mix(spark):
     assert order != sorted(order) and order == [r["doc_id"] for r in mixing.mix(d, targets)[0].collect()]
 
 
+def test_large_rates_stay_poisson():
+    t = mixing.thresholds(800.0, 2000)
+    variance = sum((2 * k + 1) * (1 - x) for k, x in enumerate(t)) - sum(1 - x for x in t) ** 2
+    assert variance == pytest.approx(800, rel=1e-6)
+
+
+def test_report_is_that_of_the_mix(spark):
+    d = documents(spark, 400)
+    targets = spark.createDataFrame([("big", 0.5, 3), ("mid", 0.5, 4)], "source string, target_share double, max_repeats int")
+    assert sorted(mixing.report(d, targets).collect()) == sorted(mixing.mix(d, targets)[1].collect())
+
+
 def test_short_sources_by_hand(spark):
     sized = mixing.sized(documents(spark))
     targets = spark.createDataFrame([("big", 0.1, 1), ("small", 0.5, 3), ("gone", 0.4, 5)], "source string, target_share double, max_repeats int")

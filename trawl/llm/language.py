@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import lowest_hashed, materialize, partitions
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "ru", "he", "ar", "hi", "zh", "ja", "th")
 #: First and last code point of a script, and the languages written in it.
@@ -243,7 +243,7 @@ def _posterior(counts: dict[str, np.ndarray], floor: float, least: float) -> dic
 def sample(labelled: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, str | None]]:
     """At most ``rows`` texts with a usable label, of lowest hash: the bounded sample for the driver."""
     good = labelled.select("id", "text", normal_label(F.col("lang")).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    return [(r["text"], r["lang"]) for r in good.orderBy(F.xxhash64("id"), "id", "text").limit(rows).select("text", "lang").collect()]
+    return [(r["text"], r["lang"]) for r in lowest_hashed(good, "id", rows, good.count(), "text").select("text", "lang").collect()]
 
 
 def segments(texts: DataFrame, model: Model, key: str = "id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -277,7 +277,10 @@ def segments(texts: DataFrame, model: Model, key: str = "id", text: str = "text"
 def labelled_texts(chunks: DataFrame, labels: DataFrame) -> DataFrame:
     """``id``, ``text``, ``lang`` of the chunks that have a row among the labels; a row given twice counts once."""
     wanted = labels.select(F.col("chunk_id").alias("id"), "lang").where("id IS NOT NULL").distinct()
-    return wanted.join(chunks.select("id", "text").where("text IS NOT NULL"), "id").select("id", "text", "lang")
+    texts = chunks.select("id", "text").where("text IS NOT NULL")
+    # labelling is heavy for its bytes: at least a task for each core, however small the tables are
+    n = partitions(chunks.sparkSession)
+    return wanted.repartition(n, "id").join(texts.repartition(n, "id"), "id").select("id", "text", "lang")
 
 
 def relabel(chunks: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:

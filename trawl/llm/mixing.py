@@ -29,14 +29,17 @@ def sized(documents: DataFrame, text: str = "text", path: str | None = None) ->
     return documents.withColumn("n_tokens", token_counts(documents.sparkSession, F.col(text), path))
 
 
+def _below(lam: float, cap: int) -> Iterator[float]:
+    """P(X <= k) for k = 0 to cap - 1 and X Poisson with mean ``lam``; terms are made as logarithms, so none vanishes early."""
+    total, log_lam = 0.0, math.log(lam)
+    for k in range(cap):
+        total += math.exp(k * log_lam - lam - math.lgamma(k + 1))
+        yield min(total, 1.0)
+
+
 def mean_of_cut(lam: float, cap: int) -> float:
     """Mean of min(X, cap) for X Poisson with mean ``lam``: the sum of P(X > k) for k below cap."""
-    p, below, total = math.exp(-lam), 0.0, 0.0
-    for k in range(cap):
-        below += p
-        total += max(0.0, 1.0 - below)
-        p *= lam / (k + 1)
-    return total
+    return sum(1.0 - p for p in _below(lam, cap))
 
 
 def thresholds(rate: float, cap: int) -> list[float]:
@@ -49,21 +52,16 @@ def thresholds(rate: float, cap: int) -> list[float]:
     if rate >= cap * (1 - 1e-9):
         return [0.0] * cap
     lo, hi = rate, rate + 1.0
-    if rate > 500:  # exp() would vanish; the counts are then as good as even
-        whole, part = divmod(rate, 1.0)
-        return [0.0] * int(whole) + ([1.0 - part] if part else [])
-    while mean_of_cut(hi, cap) < rate and hi < 700:
+    while mean_of_cut(hi, cap) < rate and hi < 1e9:
         hi *= 2
-    for _ in range(80):
+    for _ in range(60):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if mean_of_cut(mid, cap) < rate else (lo, mid)
-    p, below, out = math.exp(-hi), 0.0, []
-    for k in range(cap):
-        below += p
-        if below >= 1 - 1e-16:
+    out = []
+    for p in _below(hi, cap):
+        if p >= 1 - 1e-16:
             break
-        out.append(below)
-        p *= hi / (k + 1)
+        out.append(p)
     return out
 
 
@@ -142,6 +140,13 @@ def mix(documents: DataFrame, targets: DataFrame, text: str = "text", key: str =
     return shuffled, shares(replicate(documents.select(key, "source", "n_tokens"), plan, key, seed), plan)
 
 
+def report(documents: DataFrame, targets: DataFrame, text: str = "text", key: str = "doc_id", seed: int = 7, path: str | None = None) -> DataFrame:
+    """The shares of the same mix without writing its texts: only their sizes are kept."""
+    narrow = materialize(sized(documents.select(key, "source", text), text, path).drop(text), "sizes")
+    plan = mix_plan(narrow, targets)
+    return shares(replicate(narrow, plan, key, seed), plan)
+
+
 def shares(copies: DataFrame, plan: DataFrame) -> DataFrame:
     """Target and actual share of each source; null actual shares where the mix is empty."""
     used = copies.groupBy("source").agg(F.sum("n_tokens").alias("used_tokens"), F.count(F.lit(1)).alias("used_documents"))

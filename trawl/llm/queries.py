@@ -88,9 +88,10 @@ def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = mixing.sized(table(spark, sf_dir, "documents").select("source", "text"))
-    plan = mixing.mix_plan(documents, table(spark, sf_dir, "mix_targets"))
-    return plan.where(~F.col("reaches")).select("source")
+    """Of the mix that was made: sources used as often as they may be, whose tokens are still too few."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    report = mixing.report(documents, table(spark, sf_dir, "mix_targets"))
+    return report.where(~F.col("reaches") & (F.col("used_tokens") == F.col("max_repeats") * F.col("tokens"))).select("source")
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +101,7 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(documents, table(spark, sf_dir, "mix_targets"))[1]
+    return mixing.report(documents, table(spark, sf_dir, "mix_targets"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
