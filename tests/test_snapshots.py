@@ -49,18 +49,59 @@ def test_hot_key(spark):
 
 
 def test_index_needs_a_first_snapshot(spark):
+    df = spark.createDataFrame([("a", 1)], "path string, size long")
+    index = SnapshotIndex(spark, ["path"], ["size"])
+    for call in (index.probe, index.swap):
+        with pytest.raises(ValueError):
+            call()
+    index.stage(df)
     with pytest.raises(ValueError):
-        SnapshotIndex(spark, ["path"], ["size"]).changes(spark.createDataFrame([("a", 1)], "path string, size long"))
+        index.probe()
+    index.close()
+
 
+def test_no_side_is_shuffled(spark, monkeypatch):
+    from trawl.operators import snapshots
 
-def test_index_side_is_not_shuffled(spark):
     df = spark.createDataFrame([(f"p{i}", i) for i in range(50)], "path string, size long")
     index = SnapshotIndex(spark, ["path"], ["size"], buckets=4)
-    index.swap(df)
+    index.stage(df)
+    index.swap()
+    index.stage(df.withColumn("size", df["size"] + (df["size"] % 10 == 0).cast("int")))
+    plans = []
+    monkeypatch.setattr(snapshots, "materialize", lambda d, name: plans.append(d) or d)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        plan = index.changes(df)._jdf.queryExecution().toString()
+        assert index.probe().count() == 5
+        plan = plans[0]._jdf.queryExecution().toString().split("Physical Plan")[1]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert plan.split("Physical Plan")[1].count("Exchange hashpartitioning") == 1
+    assert "Exchange hashpartitioning" not in plan and "size" not in plan.split("ReadSchema")[1].split("\n")[0]
     index.close()
+
+
+def test_buckets_follow_the_rows(spark, monkeypatch):
+    from trawl.operators import snapshots
+
+    monkeypatch.setattr(snapshots, "BUCKET_ROWS", 100)
+    monkeypatch.setattr(snapshots, "partitions", lambda s: 2)
+    index = SnapshotIndex(spark, ["path"], ["size"])
+    assert index._buckets(50) == 2 and index._buckets(5000) == 50
+    index.current = {"buckets": 8}
+    assert index._buckets(3000) == 8 and index._buckets(5000) == 50 and index._buckets(50) == 8 and index._buckets(100_000) == 1000
+
+
+def test_an_index_is_kept_across_runs(spark, tmp_path):
+    import os
+
+    folder = f"file://{tmp_path}/index"
+    first = [(1, "a", 1, 1, T[0]), (1, "b", 1, 1, T[0]), (2, "a", 2, 1, T[1]), (2, "b", 1, 1, T[1])]
+    assert changes(spark, first, folder=folder) == [(2, "a", "changed")]
+    # the second delivery's own rows are gone; the index has them
+    assert changes(spark, [(3, "b", 1, 1, T[2]), (3, "c", 1, 1, T[2])], folder=folder, fetch_old=True) == [(3, "a", "removed", 2, 1, None, None), (3, "c", "added", None, None, 1, 1)]
+    assert changes(spark, first, folder=folder) == []
+    again = SnapshotIndex(spark, ["path"], ["size", "modified"], folder)
+    assert again.snapshot == 3 and again._table(again.current).count() == 2
+    assert sum(x.startswith("rows-") for x in os.listdir(f"{tmp_path}/index")) == 1
+    with pytest.raises(ValueError):
+        SnapshotIndex(spark, ["path"], ["size"], folder)
