@@ -6,8 +6,9 @@ they can be: a text's prefix is shortened, value by value, while the node it lea
 ``crowd`` texts, so how long it is depends on how full the trie is there. Where crowded nodes leave a text
 below the target recall, its prefixes are shortened further, at 16 times the crowd, 256 times, and at last
 whatever the crowd, until a text at the threshold meets it in some trie with that probability. Below
-:func:`prefix_length` no prefix has to go: there every text reaches the target. Texts that meet are compared
-by their exact shingle sets.
+:func:`prefix_length` no prefix has to go: there every text reaches the target. Where a text's prefixes make it
+as likely that another at the threshold meets it in two tries, one meeting is no reason to compare them. Texts
+that have met often enough are compared by their exact shingle sets.
 
 Scale: copies are one text here, so a text copied a million times costs as much as one. Labels travel as a
 64-bit key of the shortest prefix beside the other values; a key that only one text has is dropped by a count
@@ -171,7 +172,8 @@ class Forest:
         met = materialize(posted.join(shared, "key"), "met")
         placed = met.join(self._levels(met, crowd), ["key", "tail"])
         self.placed = materialize(placed.withColumn("node", self._node(F.col("level0"))), "placed")
-        self.asks = materialize(self._asks(trees, shortest, recall), "asks")
+        self.texts = materialize(self._texts(trees, shortest, recall), "texts")
+        self.asks = materialize(self._asks(), "asks")
         discard(met)
 
     def _prefix(self, level: Column) -> Column:
@@ -203,17 +205,29 @@ class Forest:
             in_node = F.when(F.col("level0") == j, F.col(f"n{j}")).otherwise(in_node)
         return held.select("key", "tail", *steps, in_node.alias("crowd"))
 
-    def _asks(self, trees: int, shortest: int, recall: float) -> DataFrame:
+    def _texts(self, trees: int, shortest: int, recall: float) -> DataFrame:
+        """``rep``, ``step`` of RAISED at which the text reaches the recall, ``single``: whether one meeting must do for it.
+
+        At level j a text at the threshold is missed in a tree with probability 1 - t ** (shortest + j); a tree
+        without a row here is one where even the shortest prefix leads to nobody else.
+        """
+        met = [self.threshold ** (shortest + j) for j in range(self.extra + 1)]
+        missed, odds = [math.log1p(-p) for p in met], [p / (1 - p) for p in met]
+        at = lambda values, i: F.sum(F.get(F.array(*map(F.lit, values)), F.col(f"level{i}")) - values[0]) + trees * values[0]
+        least = math.log(1 - recall)
+        step, one = F.lit(len(RAISED) - 1), F.lit(True)
+        for i in range(len(RAISED) - 1, -1, -1):
+            reached = at(missed, i) <= least
+            step = F.when(reached, i).otherwise(step)
+            # missed in all trees, or in all but one
+            twice = at(missed, i) + F.log1p(at(odds, i)) <= least
+            one = F.when(reached, ~twice).otherwise(one)
+        return self.placed.groupBy("rep").agg(step.alias("step"), one.alias("single"))
+
+    def _asks(self) -> DataFrame:
         """``rep``, ``size``, ``node``: prefixes shortened beyond the crowd, of texts whose recall would fall short."""
-        miss = [math.log1p(-(self.threshold ** (shortest + j))) for j in range(self.extra + 1)]  # of one tree, by level
-        # a tree without a row here is one where even the shortest prefix leads to nobody else
-        total = [F.lit(trees * miss[0]) + F.sum(F.get(F.array(*map(F.lit, miss)), F.col(f"level{i}")) - miss[0]) for i in range(len(RAISED))]
-        step = F.lit(len(RAISED) - 1)
-        for i in range(len(RAISED) - 2, -1, -1):
-            step = F.when(total[i] <= math.log(1 - recall), i).otherwise(step)
-        short = self.placed.groupBy("rep").agg(step.alias("step")).where("step > 0")
         asked = F.get(F.array(*[F.col(f"level{i}") for i in range(len(RAISED))]), F.col("step"))
-        rows = self.placed.join(short, "rep").withColumn("at", asked).where(F.col("at") < F.col("level0"))
+        rows = self.placed.join(self.texts.where("step > 0"), "rep").withColumn("at", asked).where(F.col("at") < F.col("level0"))
         return rows.select("rep", "size", self._node(F.col("at")).alias("node"))
 
     def near(self, x: str, y: str) -> Column:
@@ -239,8 +253,21 @@ class Forest:
         a = self.nodes().withColumnsRenamed({"rep": "a", "size": "sa"})
         b = self.nodes().withColumnsRenamed({"rep": "b", "size": "sb"})
         pairs = a.join(b, "node").where("a < b").where(self.near("sa", "sb")).select("a", "b")
+        return self.enough(pairs)
+
+    def enough(self, pairs: DataFrame) -> DataFrame:
+        """``a`` < ``b``: of these pairs, a row for each meeting, and of those asked for the ones that met often enough.
+
+        A tree may count twice where a text asks in it too, which only adds to what is compared.
+        """
         asked = self.asked_pairs()
-        return (pairs.unionByName(asked) if asked is not None else pairs).distinct()
+        counted = (pairs.unionByName(asked) if asked is not None else pairs).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+        single = self.texts.where("single").select("rep")
+        often = counted.where("n > 1")
+        once = counted.where("n = 1")
+        for side in ("a", "b"):
+            once = once.join(single.select(F.col("rep").alias(side), F.lit(True).alias(f"s{side}")), side, "left")
+        return often.select("a", "b").unionByName(once.where("sa OR sb").select("a", "b"))
 
 
 def verified(pairs: DataFrame, signatures: DataFrame, threshold: float) -> DataFrame:
@@ -308,9 +335,7 @@ def near_duplicate_groups(
     loose = loose.select("node", F.col("rep").alias("x"), F.col("size").alias("sx"))
     rest = spokes.select("node", F.col("rep").alias("y"), F.col("size").alias("sy"))
     pairs = loose.join(rest, "node").where("x <> y").where(forest.near("sx", "sy")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    asked = forest.asked_pairs()
-    pairs = (pairs.unionByName(asked) if asked is not None else pairs).distinct()
-    return grouped(members, first.unionByName(verified(pairs, signatures, threshold)))
+    return grouped(members, first.unionByName(verified(forest.enough(pairs), signatures, threshold)))
 
 
 def linked_rows(members: DataFrame, links: DataFrame) -> DataFrame:
