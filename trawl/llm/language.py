@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import lowest_hashed, materialize, partitions
+from ..runtime import lowest_hashed, partitions
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "ru", "he", "ar", "hi", "zh", "ja", "th")
 #: First and last code point of a script, and the languages written in it.
@@ -240,10 +240,14 @@ def _posterior(counts: dict[str, np.ndarray], floor: float, least: float) -> dic
     return out
 
 
-def sample(labelled: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, str | None]]:
-    """At most ``rows`` texts with a usable label, of lowest hash: the bounded sample for the driver."""
+#: Rows that a task labels; labelling is heavy for its bytes.
+TASK_ROWS = 4000
+
+
+def sample(labelled: DataFrame, total: int, rows: int = TRAIN_ROWS) -> list[tuple[str, str | None]]:
+    """At most ``rows`` texts with a usable label, of lowest hash among about ``total``: the bounded sample for the driver."""
     good = labelled.select("id", "text", normal_label(F.col("lang")).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    return [(r["text"], r["lang"]) for r in lowest_hashed(good, "id", rows, good.count(), "text").select("text", "lang").collect()]
+    return [(r["text"], r["lang"]) for r in lowest_hashed(good, "id", rows, total, "text").select("text", "lang").collect()]
 
 
 def segments(texts: DataFrame, model: Model, key: str = "id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -274,21 +278,21 @@ def segments(texts: DataFrame, model: Model, key: str = "id", text: str = "text"
     return made.select(key, *carry, F.size("__s").alias("segments"), F.inline("__s"))
 
 
-def labelled_texts(chunks: DataFrame, labels: DataFrame) -> DataFrame:
-    """``id``, ``text``, ``lang`` of the chunks that have a row among the labels; a row given twice counts once."""
+def labelled_texts(chunks: DataFrame, labels: DataFrame, tasks: int) -> DataFrame:
+    """``id``, ``text``, ``lang`` of the chunks that have a row among the labels, in so many partitions; a row given twice counts once."""
     wanted = labels.select(F.col("chunk_id").alias("id"), "lang").where("id IS NOT NULL").distinct()
     texts = chunks.select("id", "text").where("text IS NOT NULL")
-    # labelling is heavy for its bytes: at least a task for each core, however small the tables are
-    n = partitions(chunks.sparkSession)
-    return wanted.repartition(n, "id").join(texts.repartition(n, "id"), "id").select("id", "text", "lang")
+    return wanted.repartition(tasks, "id").join(texts.repartition(tasks, "id"), "id").select("id", "text", "lang")
 
 
 def relabel(chunks: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The segments of every labelled chunk, with its ``label`` and whether that ``agrees``: it is the language of the only segment."""
-    rows = materialize(labelled_texts(chunks, labels), "labelled")
-    model = fit(sample(rows, train_rows))
-    made = segments(rows, model, carry=("lang",)).select("*")
-    return rename(made)
+    """The segments of every labelled chunk, with its ``label`` and whether that ``agrees``: it is the language of the only segment.
+
+    Texts are shuffled once, to where they are labelled; the sample's threshold is set below that join.
+    """
+    total, usable = labels.agg(F.count("chunk_id"), F.count_if(normal_label(F.col("lang")).isNotNull())).first()
+    rows = labelled_texts(chunks, labels, max(partitions(chunks.sparkSession), -(-total // TASK_ROWS)))
+    return rename(segments(rows, fit(sample(rows, usable, train_rows)), carry=("lang",)))
 
 
 def rename(made: DataFrame) -> DataFrame:
