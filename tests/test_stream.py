@@ -39,7 +39,8 @@ def test_stream_closes_the_same_bursts(spark, tmp_path):
 def test_running_costs(spark, tmp_path):
     rows = [(i, "ab"[i % 2], float(i % 7)) for i in range(40)]
     df = spark.createDataFrame(rows, "id long, kind string, seconds double")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    df = df.unionByName(spark.createDataFrame([(100 + i * 7919 % 12000, "c", float(i % 11)) for i in range(12000)], df.schema))  # out of order, in several frames
+    df.repartition(5).write.parquet(str(tmp_path / "in"))
     stream = changes.running_costs(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
     got = {r["kind"]: (r["samples"], round(r["cost"], 9)) for r in changes.run_to_table(spark, stream, "c", "update").collect()}
     want = {r["kind"]: (r["samples"], round(r["cost"], 9)) for r in status.costs(df).collect()}

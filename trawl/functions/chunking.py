@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import ast
+import io
 import re
+import tokenize
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,7 +41,7 @@ def text_chunks(text: str | None) -> list[tuple[str, str, int, int]]:
             n_words, n_chars, end = n_words + counts[end][0], n_chars + counts[end][1], end + 1
         body = "\n".join(lines[start:end])
         if body.strip():
-            head = lines[start].lstrip("#").strip()[:100]
+            head = lines[start].lstrip("#")[:100]
             out += [(body[i : i + MAX_CHARS], head, start + 1, end) for i in range(0, len(body), MAX_CHARS)]
         if end >= len(lines):
             break
@@ -60,18 +63,43 @@ DEFINITIONS |= {"jsx": DEFINITIONS["js"], "tsx": DEFINITIONS["ts"]}
 _LEADING = re.compile(r"\s*(?://|/\*|\*|#\[|@|\"\"\")")
 
 
-def _definitions(text: str, extension: str) -> list[tuple[int, int]]:
-    """0-based first line and the line behind the last of each top-level part; comments go with what follows."""
-    lines = _lines(text)
+def _python_parts(text: str) -> list[tuple[int, str]]:
+    """0-based first line and text of each top-level statement and each comment between them, in order."""
+    try:
+        nodes = ast.parse(text).body
+        comments = [t for t in tokenize.generate_tokens(io.StringIO(text).readline) if t.type == tokenize.COMMENT]
+    except (SyntaxError, ValueError, RecursionError, tokenize.TokenError):
+        return []
+    lines = text.splitlines(keepends=True)
+    wide = [x.encode() for x in lines]  # the tree's columns are bytes
+    spans = []
+    for n in nodes:
+        first = min([n, *getattr(n, "decorator_list", [])], key=lambda x: x.lineno)
+        column = first.col_offset - (first is not n)  # a decorator's place is behind its mark
+        spans.append(((first.lineno - 1, len(wide[first.lineno - 1][:column].decode())), (n.end_lineno - 1, len(wide[n.end_lineno - 1][: n.end_col_offset].decode()))))
+    begins = [x[0] for x in spans]
+    for t in comments:
+        at, to = (t.start[0] - 1, t.start[1]), (t.end[0] - 1, t.end[1])
+        k = bisect_right(begins, at) - 1
+        inside = k >= 0 and at < spans[k][1]
+        # what is set in under a definition belongs to it, also behind its last statement
+        under = k >= 0 and k < len(nodes) and at[1] > 0 and not lines[at[0]][: at[1]].strip()
+        if not inside and not under:
+            spans.append((at, to))
+    out = []
+    for (r, c), (q, d) in sorted(spans):
+        body = lines[r][c:d] if r == q else "".join([lines[r][c:], *lines[r + 1 : q], lines[q][:d]])
+        out.append((r, body))
+    return out
+
+
+def _definitions(text: str, extension: str) -> list[tuple[int, str]]:
+    """0-based first line and text of each top-level part; in languages cut by their definitions comments go with what follows."""
     if extension == "py":
-        try:
-            nodes = ast.parse(text).body
-        except (SyntaxError, ValueError, RecursionError):
-            return []
-        firsts = [min([n.lineno, *(d.lineno for d in getattr(n, "decorator_list", []))]) - 1 for n in nodes]
-        return [(a, n.end_lineno) for a, n in zip(firsts, nodes)]
+        return _python_parts(text)
     if extension not in DEFINITIONS:
         return []
+    lines = _lines(text)
     begins = [i for i, x in enumerate(lines) if re.match(DEFINITIONS[extension], x)]
     cuts = []
     for i in begins:
@@ -80,19 +108,19 @@ def _definitions(text: str, extension: str) -> list[tuple[int, int]]:
         cuts.append(i)
     if cuts and cuts[0] > 0:
         cuts.insert(0, 0)
-    return list(zip(cuts, [*cuts[1:], len(lines)]))
+    return [(a, "\n".join(lines[a:b])) for a, b in zip(cuts, [*cuts[1:], len(lines)])]
 
 
 def code_chunks(text: str | None, extension: str) -> list[tuple[str, str, int, int]]:
-    """Chunks of each top-level definition, line numbers of the file; :func:`text_chunks` for other languages."""
-    parts = _definitions(text or "", extension)
-    if not parts:
-        return text_chunks(text)
-    lines, out = _lines(text), []
-    for a, b in parts:
-        for body, _, first, last in text_chunks("\n".join(lines[a:b])):
-            out.append((body, lines[a + first - 1].strip()[:120] if a + first - 1 < len(lines) else "", a + first, a + last))
-    return out
+    """Chunks of each top-level part, line numbers of the file; :func:`text_chunks` for other languages.
+
+    All chunks of a part have its first line as their heading.
+    """
+    out = []
+    for first_line, part in _definitions(text or "", extension):
+        head = next(iter(_lines(part)), "")[:120]
+        out += [(body, head, first_line + first, first_line + last) for body, _, first, last in text_chunks(part)]
+    return out or text_chunks(text)
 
 
 def chunked(rows: DataFrame, text: str = "text", modality: Column | None = None, extension: Column | None = None) -> DataFrame:

@@ -83,7 +83,7 @@ def state(partial: Column, semantic: Column, chunks: Column) -> Column:
 
 def heading(line: Column, code: bool = False) -> Column:
     """A chunk's heading from its first line."""
-    return F.substring(line, 1, 120) if code else F.substring(F.trim(F.regexp_replace(line, r"^#+", "")), 1, 100)
+    return F.substring(line, 1, 120) if code else F.substring(F.regexp_replace(line, r"^#+", ""), 1, 100)
 
 
 def content_hash(*parts: Column) -> Column:

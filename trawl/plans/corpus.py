@@ -181,7 +181,7 @@ def text_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("id", F.length("text").cast("long").alias("chars"), words.alias("words"), F.size(F.split("text", "\n", -1)).cast("long").alias("lines"))
 
 
-@query("SCL-15", sql="SELECT id, substr(trim(regexp_replace(string_split(replace(text, chr(13), ''), chr(10))[1], '^#+', '')), 1, 100) AS heading FROM chunks WHERE text IS NOT NULL")
+@query("SCL-15", sql="SELECT id, substr(regexp_replace(string_split(replace(text, chr(13), ''), chr(10))[1], '^#+', ''), 1, 100) AS heading FROM chunks WHERE text IS NOT NULL")
 def heading_of_first_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.split_part(F.replace(F.col("text"), F.lit("\r"), F.lit("")), F.lit("\n"), F.lit(1))
     return table(spark, sf_dir, "chunks").where("text IS NOT NULL").select("id", scalar.heading(first).alias("heading"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators.fusion import lexical_list, name_list, search, semantic_list
 from ..operators.lexical import LexicalIndex, bm25, term_statistics
-from ..operators.vector import file_queries, nearest
+from ..operators.vector import file_queries, nearest, nearest_of
 from ..request import Filters, Request
 from ..runtime import table
 from .registry import query
@@ -189,8 +189,8 @@ SELECT qseq, vec_id, cosine, row_number() OVER (PARTITION BY qseq ORDER BY cosin
 def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose id is divisible by 100 asks, against all."""
     e = table(spark, sf_dir, "embeddings")
-    asked = [(r["vec_id"], None, r["embedding"]) for r in e.where("vec_id % 100 = 0").collect()]
-    return nearest(e, asked, 20, key="vec_id", vector="embedding", namespace=None).withColumn("rank", F.col("rank").cast("long"))
+    asked = e.where("vec_id % 100 = 0")
+    return nearest_of(e, asked, 20, key="vec_id", vector="embedding", namespace=None, asked_by="vec_id").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("VEC-2", "VEC-6", "JON-14", sql=f"WITH {_SEM.format(50)} SELECT qseq, id, cosine, rank FROM nearest")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import extension, kind
 from ..operators.filters import Exclusions, sensitive
+from ..runtime import materialize, partitions
 
 METADATA = "path string, name string, extension string, kind string, size long, modified long, created long, mtime_ns long, error string"
 
@@ -40,19 +44,22 @@ def _kept(found: DataFrame, folder: str, exclusions: Exclusions | None) -> DataF
     return found.where(~exclusions.matches(F.col("path"), F.lit(folder.removeprefix("file:")))) if exclusions else found
 
 
-def scan_local(spark: SparkSession, folder: str, exclusions: Exclusions | None = None, recursive: bool = True) -> DataFrame:
-    """Metadata with creation time, hidden names too, of a folder that every executor mounts.
+#: Entries that a task lists before it hands the folders it hasn't entered to others.
+LISTED = 20_000
 
-    Each first-level folder is walked by its own task. Links aren't followed; what can't be read is a row with
-    ``error``, not a failure. Excluded folders are not entered.
-    """
-    import os
 
-    tops = sorted(e.path for e in os.scandir(folder) if e.is_dir(follow_symlinks=False)) if recursive else []
-    plan = [(folder, False), *[(t, True) for t in tops]]
+def scan_local(spark: SparkSession, folder: str, exclusions: Exclusions | None = None, recursive: bool = True, sensitive_files: bool = False) -> DataFrame:
+    """Metadata with creation time, hidden names and ``stable_id``, of a folder that every executor mounts.
+
+    Tasks walk folders and leave what they don't get to for the next round, in which it is spread over all tasks
+    again: rounds grow with the logarithm of the number of folders, whatever their shape. Links aren't followed;
+    what can't be read is a row with ``error``, not a failure. Excluded folders are not entered. ``stable_id`` is the
+    device and number of a file, which it keeps when it is renamed.
+    """
     compiled = (exclusions.relative, exclusions.absolute) if exclusions else ("", "")
 
     def walk(batches):
+        import os
         import re
 
         relative, absolute = (re.compile(x) if x else None for x in compiled)
@@ -63,36 +70,46 @@ def scan_local(spark: SparkSession, folder: str, exclusions: Exclusions | None =
             return bool(relative and relative.search(below) or absolute and absolute.search(full))
 
         for b in batches:
-            rows = []
-            for start, deep in zip(b["start"], b["deep"]):
-                todo = [start]
-                while todo:
-                    here = todo.pop()
-                    if here != folder and out_of(here):
-                        continue
+            rows, todo = [], list(b["start"])
+            while todo:
+                here = todo.pop()
+                if here != folder and out_of(here):
+                    continue
+                if len(rows) > LISTED:
+                    rows.append((here, None, None, None, None, None, None, None, True))
+                    continue
+                try:
+                    entries = list(os.scandir(here))
+                except OSError as e:
+                    rows.append((here, os.path.basename(here), None, None, None, None, None, str(e), False))
+                    continue
+                for e in entries:
                     try:
-                        entries = list(os.scandir(here))
-                    except OSError as e:
-                        rows.append((here, os.path.basename(here), None, None, None, None, str(e)))
-                        continue
-                    for e in entries:
-                        try:
-                            if e.is_symlink():
-                                continue
-                            if e.is_dir(follow_symlinks=False):
-                                if deep:
-                                    todo.append(e.path)
-                            elif not out_of(e.path):
-                                s = e.stat(follow_symlinks=False)
-                                rows.append((e.path, e.name, s.st_size, int(s.st_mtime), int(s.st_ctime), s.st_mtime_ns, None))
-                        except OSError as err:
-                            rows.append((e.path, e.name, None, None, None, None, str(err)))
-            yield pd.DataFrame(rows, columns=["path", "name", "size", "modified", "created", "mtime_ns", "error"])
-
-    starts = spark.createDataFrame(plan, "start string, deep boolean").repartition(max(1, len(plan)))
-    raw = starts.mapInPandas(walk, "path string, name string, size long, modified long, created long, mtime_ns long, error string")
-    return raw.where(~sensitive(F.col("name"))).select(
-        "path", "name", extension(F.col("name")).alias("extension"), kind(extension(F.col("name"))).alias("kind"), "size", "modified", "created", "mtime_ns", "error"
+                        if e.is_symlink():
+                            continue
+                        if e.is_dir(follow_symlinks=False):
+                            if recursive:
+                                todo.append(e.path)
+                        elif not out_of(e.path):
+                            s = e.stat(follow_symlinks=False)
+                            rows.append((e.path, e.name, s.st_size, int(s.st_mtime), int(s.st_ctime), s.st_mtime_ns, f"{s.st_dev}:{s.st_ino}", None, False))
+                    except OSError as err:
+                        rows.append((e.path, e.name, None, None, None, None, None, str(err), False))
+            yield pd.DataFrame(rows, columns=["path", "name", "size", "modified", "created", "mtime_ns", "stable_id", "error", "todo"])
+
+    schema = "path string, name string, size long, modified long, created long, mtime_ns long, stable_id string, error string, todo boolean"
+    found, todo = None, spark.createDataFrame([(folder,)], "start string")
+    while True:
+        made = materialize(todo.mapInPandas(walk, schema), "listed")
+        found = made if found is None else found.unionByName(made)
+        left = made.where("todo").count()
+        if not left:
+            break
+        todo = made.where("todo").select(F.col("path").alias("start")).repartition(min(left, 4 * partitions(spark)))
+    raw = found.where("NOT todo")
+    raw = raw if sensitive_files else raw.where(~sensitive(F.col("name")))
+    return raw.select(
+        "path", "name", extension(F.col("name")).alias("extension"), kind(extension(F.col("name"))).alias("kind"), "size", "modified", "created", "mtime_ns", "stable_id", "error"
     )
 
 
@@ -105,26 +122,43 @@ def read_contents(spark: SparkSession, folder: str, max_bytes: int = 32 << 20) -
     return small.unionByName(large)
 
 
+#: Bytes of contents in a batch on its way from Python.
+BATCH_BYTES = 32 << 20
+
+
 def with_contents(files: DataFrame, max_bytes: int = 32 << 20, path: str = "path") -> DataFrame:
     """``files`` with ``content`` and ``read_error``, read where the rows are from folders that every executor mounts.
 
     Only the files asked for are opened; one that is too large, gone or locked is an error of its own row.
+    Contents leave Python in batches of BATCH_BYTES, not of rows, so a task holds that much and one file.
     """
+    at = files.columns.index(path)
 
-    @F.pandas_udf("content binary, read_error string")
-    def read(paths: pd.Series) -> pd.DataFrame:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
-        out: list[tuple[bytes | None, str | None]] = []
-        for p in paths:
-            try:
-                if os.path.getsize(p) > max_bytes:
-                    out.append((None, "File is larger than the limit"))
-                    continue
-                with open(p, "rb") as f:
-                    out.append((f.read(), None))
-            except (OSError, TypeError) as e:
-                out.append((None, str(e)))
-        return pd.DataFrame(out, columns=["content", "read_error"])
+        def out(b: pa.RecordBatch, first: int, made: list) -> pa.RecordBatch:
+            part = b.slice(first, len(made))
+            columns = [pa.array([c for c, _ in made], pa.binary()), pa.array([e for _, e in made], pa.string())]
+            return pa.RecordBatch.from_arrays([*part.columns, *columns], [*b.schema.names, "content", "read_error"])
 
-    return files.withColumn("__r", read(F.col(path))).select("*", "__r.content", "__r.read_error").drop("__r")
+        for b in batches:
+            first, made, size = 0, [], 0
+            for p in b.column(at).to_pylist():
+                try:
+                    if os.path.getsize(p) > max_bytes:
+                        made.append((None, "File is larger than the limit"))
+                    else:
+                        with open(p, "rb") as f:
+                            made.append((f.read(), None))
+                        size += len(made[-1][0])
+                except (OSError, TypeError) as e:
+                    made.append((None, str(e)))
+                if size >= BATCH_BYTES:
+                    yield out(b, first, made)
+                    first, made, size = first + len(made), [], 0
+            if made:
+                yield out(b, first, made)
+
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in files.dtypes), "content binary", "read_error string"])
+    return files.mapInArrow(read, schema)

@@ -71,17 +71,41 @@ def overflowed(pending: int, limit: int = 8192) -> bool:
     return pending > limit
 
 
+#: Samples before the last of a batch that still count: 0.8 to this power is below 1e-38.
+RECENT = 400
+
+
 def running_costs(samples: DataFrame, kind: str = "kind", seconds: str = "seconds", order: str = "id") -> DataFrame:
-    """``kind``, ``samples``, ``cost`` after each batch of a stream: first sample, then 0.8 old and 0.2 new."""
+    """``kind``, ``samples``, ``cost`` after each batch of a stream: first sample, then 0.8 old and 0.2 new.
+
+    A batch's samples come in any order and in several frames; they count in order of ``order``. Only the
+    RECENT last of them are held, so a kind with a third of all samples is bounded memory. Null seconds are passed over.
+    """
 
     def update(key, frames: Iterator, state) -> Iterator:
+        import numpy as np
         import pandas as pd
 
         n, cost = state.get if state.exists else (0, 0.0)
+        here, first, places, values = 0, None, np.empty(0, np.int64), np.empty(0)
         for f in frames:
-            for x in f.sort_values(order)[seconds]:
-                cost = float(x) if n == 0 else 0.8 * cost + 0.2 * float(x)
-                n += 1
+            f = f.dropna(subset=[seconds])
+            if f.empty:
+                continue
+            here += len(f)
+            least = f.nsmallest(1, order)
+            if first is None or least[order].iloc[0] < first[0]:
+                first = least[order].iloc[0], float(least[seconds].iloc[0])
+            places, values = np.concatenate([places, f[order].to_numpy()]), np.concatenate([values, f[seconds].to_numpy(float)])
+            last = np.argsort(places, kind="stable")[-RECENT:]
+            places, values = places[last], values[last]
+        if here:
+            if n == 0:  # the very first sample is the average it begins with
+                n, cost, here = 1, first[1], here - 1
+                values = values[-here:] if here else values[:0]
+            back = np.arange(len(values))[::-1]
+            cost = cost * 0.8**here + float((0.2 * 0.8**back * values).sum())
+            n += here
         state.update((n, cost))
         yield pd.DataFrame({"kind": [key[0]], "samples": [n], "cost": [cost]})
 
