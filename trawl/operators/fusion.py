@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import rrf
 from ..request import Filters, Request, parse, phrase, terms
 from ..runtime import materialize
-from .lexical import bm25
+from .lexical import LexicalIndex, bm25
 from .vector import nearest
 
 CANDIDATES = 5000
@@ -46,10 +46,10 @@ def name_list(files: DataFrame, text: str, filters: Filters, show_offline: bool
 
 
 def lexical_list(
-    files: DataFrame, chunks: DataFrame, text: str, filters: Filters, show_offline: bool = False, filter_first: bool = False, fold: bool = True
+    files: DataFrame, chunks: DataFrame, text: str, filters: Filters, show_offline: bool = False, filter_first: bool = False, fold: bool = True, index: LexicalIndex | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """``file_id``, ``part`` of each file's best chunk, and the hits ``file_id``, ``chunk_id``, ``rank``."""
-    scored = bm25(chunks, terms(text), fold).select(F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"))
+    """``file_id``, ``part`` of each file's best chunk, and the hits ``file_id``, ``chunk_id``, ``rank``; from an index if there is one."""
+    scored = (index.search(terms(text)) if index else bm25(chunks, terms(text), fold)).select(F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"))
     narrow = chunks.select(F.col("id").alias("chunk_id"), "file_id")
     of_file = files.where(_kept(filters, show_offline)).select(F.col("id").alias("file_id"))
     if filter_first:
@@ -88,11 +88,13 @@ def search(
     queries: list[tuple[int, str, list[float]]] | None = None,
     filter_first: bool = False,
     fold: bool = True,
+    index: LexicalIndex | None = None,
 ) -> DataFrame:
     """Ranked files: ``file_id``, ``name``, ``path``, ``score``, its parts, ``cosine`` and up to three ``matches``.
 
     Modes: ``exact`` leaves out the semantic list, ``semantic`` the other two. ``queries`` are embedded queries
-    or another file's vectors; without them there is no semantic list. Ties come by time of change, then id.
+    or another file's vectors; without them there is no semantic list. With an ``index`` texts aren't read for their
+    words. Ties come by time of change, then id.
     """
     text, filters = parse(request.query, request.filters)
     none = files.select(F.col("id").alias("file_id"), F.lit(0.0).alias("part")).where(F.lit(False))
@@ -101,7 +103,7 @@ def search(
     by_name = name_list(files, text, filters, request.show_offline, filter_first) if lists else none
     parts.append(by_name.select("file_id", F.lit("filename").alias("of"), "part", F.lit(None).cast("double").alias("cosine")))
     if lists and terms(text):
-        best, hits = lexical_list(files, chunks, text, filters, request.show_offline, filter_first, fold)
+        best, hits = lexical_list(files, chunks, text, filters, request.show_offline, filter_first, fold, index)
         parts.append(best.select("file_id", F.lit("lexical").alias("of"), "part", F.lit(None).cast("double").alias("cosine")))
         matches.append(hits.select("file_id", "chunk_id", F.lit(0).alias("o"), F.lit(0).cast("long").alias("q"), F.col("rank").cast("long").alias("r")))
     if queries and request.mode != "exact":

@@ -44,7 +44,8 @@ def instances(tokens: Column, term: list[str]) -> Column:
 def bm25(chunks: DataFrame, terms: list[str], fold: bool = True, key: str = "id", columns: tuple[str, ...] = ("text", "heading")) -> DataFrame:
     """``key``, ``score`` of the chunks in which every term occurs; lower is better.
 
-    One pass counts rows, tokens and matches, the second scores: nothing but one row of counts is shuffled.
+    One pass over the texts counts tokens and matches, written as a few numbers for each row; totals and scores
+    are made from those. For many searches of one corpus there is :class:`LexicalIndex`.
     A term without any letter or digit matches nothing, and so does the whole query. Null columns are empty.
     """
     split = split_terms(terms, fold)
@@ -60,7 +61,7 @@ def bm25(chunks: DataFrame, terms: list[str], fold: bool = True, key: str = "id"
 
     hits = [reduce(lambda a, b: a + b, [occurrences(c, term) for c in columns]).cast("double").alias(f"f{i}") for i, term in enumerate(split)]
     length = reduce(lambda a, b: a + b, [word_count(F.col(c), fold) for c in columns]).cast("double").alias("d")
-    counted = chunks.select(key, length, *hits)
+    counted = materialize(chunks.select(key, length, *hits), "counted")
     return _score(counted, counted.agg(*_totals(len(split))), len(split), key)
 
 
@@ -79,36 +80,55 @@ def _score(counted: DataFrame, totals: DataFrame, n: int, key: str) -> DataFrame
     return kept.crossJoin(F.broadcast(totals)).select(key, score.alias("score"))  # one row of totals
 
 
+def posted(chunks: DataFrame, fold: bool = True, key: str = "id", columns: tuple[str, ...] = ("text", "heading"), carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Postings ``term``, ``id``, ``tf`` and lengths ``id``, ``d`` of chunks, with the columns to carry."""
+    tokens = F.concat(*[words(F.col(c), fold) for c in columns])
+    rows = chunks.select(F.col(key).alias("id"), *carry, tokens.alias("tokens"))
+    postings = rows.select("id", *carry, F.explode("tokens").alias("term")).groupBy("term", "id", *carry).agg(F.count(F.lit(1)).alias("tf"))
+    return postings, rows.select("id", *carry, F.size("tokens").cast("double").alias("d"))
+
+
 class LexicalIndex:
     """Postings ``(term, id, tf)`` sorted by term, and a length for each chunk, written once and searched often.
 
-    A prefix is a range of terms, which Parquet's statistics turn into a few row groups of a few files.
+    A prefix is a range of terms, which Parquet's statistics turn into a few row groups of a few files. Phrases are
+    looked up word by word, and only texts that hold all of them are read.
     """
 
-    def __init__(self, postings: DataFrame, lengths: DataFrame, fold: bool):
-        self.postings, self.lengths, self.fold = postings, lengths, fold
+    def __init__(self, postings: DataFrame, lengths: DataFrame, fold: bool, texts: DataFrame | None = None, columns: tuple[str, ...] = ("text", "heading")):
+        self.postings, self.lengths, self.fold, self.texts, self.columns = postings, lengths, fold, texts, columns
 
     @classmethod
     def build(cls, chunks: DataFrame, key: str = "id", columns: tuple[str, ...] = ("text", "heading"), fold: bool = True) -> LexicalIndex:
-        tokens = F.concat(*[words(F.col(c), fold) for c in columns])
-        rows = chunks.select(F.col(key).alias("id"), tokens.alias("tokens"))
-        lengths = rows.select("id", F.size("tokens").cast("double").alias("d"))
-        postings = rows.select("id", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
-        return cls(materialize(postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "postings"), materialize(lengths, "lengths"), fold)
+        postings, lengths = posted(chunks, fold, key, columns)
+        postings = materialize(postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "postings")
+        return cls(postings, materialize(lengths, "lengths"), fold, chunks.select(F.col(key).alias("id"), *columns), columns)
+
+    def _holding(self, word: str, prefix: bool) -> DataFrame:
+        some = (F.col("term") >= word) & (F.col("term") < word + "\U0010ffff") if prefix else F.col("term") == word
+        return self.postings.where(some)
+
+    def _phrase(self, term: list[str], name: str) -> DataFrame:
+        if self.texts is None:
+            raise ValueError("this index has no texts to look for phrases in")
+        ids = None
+        for i, word in enumerate(term):
+            some = self._holding(word, i == len(term) - 1).select("id").distinct()
+            ids = some if ids is None else ids.join(some, "id")
+        found = reduce(lambda a, b: a + b, [instances(words(F.col(c), self.fold), term) for c in self.columns]).cast("double")
+        return self.texts.join(ids, "id", "left_semi").select("id", found.alias(name)).where(F.col(name) > 0)
 
     def search(self, terms: list[str]) -> DataFrame:
-        """``id``, ``score`` as :func:`bm25`; terms that are phrases need the texts and are refused."""
+        """``id``, ``score`` as :func:`bm25`."""
         split = split_terms(terms, self.fold)
-        if any(len(t) > 1 for t in split):
-            raise ValueError("phrases aren't indexed; use bm25()")
         if not split or not all(split):
             return self.lengths.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
         counts = None
-        for i, (prefix,) in enumerate(split):
-            some = self.postings.where((F.col("term") >= prefix) & (F.col("term") < prefix + "\U0010ffff"))
-            some = some.groupBy("id").agg(F.sum("tf").cast("double").alias(f"f{i}"))
+        for i, term in enumerate(split):
+            name = f"f{i}"
+            some = self._phrase(term, name) if len(term) > 1 else self._holding(term[0], True).groupBy("id").agg(F.sum("tf").cast("double").alias(name))
             counts = some if counts is None else counts.join(some, "id", "full_outer")
-        counts = counts.na.fill(0.0)
+        counts = materialize(counts.na.fill(0.0), "counts")  # of the chunks with any of the terms
         all_rows = self.lengths.agg(F.count(F.lit(1)).alias("rows"), F.avg("d").alias("mean"))
         frequency = counts.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(split))])
         kept = counts.where(reduce(lambda a, b: a & b, [F.col(f"f{i}") > 0 for i in range(len(split))]))

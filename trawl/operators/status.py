@@ -87,6 +87,50 @@ def index_eta(cost: DataFrame, pending: DataFrame) -> DataFrame:
     )
 
 
+def discovery(scans: DataFrame, done: str = "done", total: str = "total", seconds: str = "seconds") -> DataFrame:
+    """The columns with ``eta``, seconds left (null before 128 files), and ``per_second``."""
+    known = (F.col(done) >= 128) & (F.col(seconds) > 0)
+    eta = F.when(known, F.greatest(F.col(total) - F.col(done), F.lit(0)) * F.col(seconds) / F.col(done))
+    return scans.withColumn("eta", eta).withColumn("per_second", F.when(F.col(seconds) > 0, F.col(done) / F.col(seconds)))
+
+
+def percentiles(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """``group`` and for each name the least value that its share of the group's values doesn't exceed; exact.
+
+    Values are counted, and counts summed over ranges of values, so no task holds a group. Nulls don't count.
+    """
+    from .upkeep import running_total
+
+    counted = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("__c"))
+    upto = running_total(counted, [group, value], "__c", "__upto")
+    of = upto.groupBy(group).agg(F.max("__upto").alias("__end"), F.sum("__c").alias("__n"))
+    placed = upto.join(of, group).withColumn("__at", F.col("__upto") - F.col("__end") + F.col("__n"))
+    return placed.groupBy(group).agg(*[F.min(F.when(F.col("__at") >= F.col("__n") * share, F.col(value))).alias(name) for name, share in shares.items()])
+
+
+#: Who is answered first.
+PRIORITY = {"search": 3, "benchmark": 2}
+
+
+def request_queue(requests: DataFrame, kind: str, key: str, n: int, priority: dict[str, int] = PRIORITY) -> DataFrame:
+    """``key``, ``priority`` of the next ``n`` requests: by priority, then in the order they came."""
+    p = F.lit(0)
+    for name, value in priority.items():
+        p = F.when(F.col(kind) == name, value).otherwise(p)
+    return requests.select(key, p.cast("long").alias("priority")).orderBy(F.desc("priority"), key).limit(n)
+
+
+def latest(requests: DataFrame, by: str, key: str) -> DataFrame:
+    """``key`` of the last request of each asker: older ones are stale and aren't answered."""
+    return requests.groupBy(by).agg(F.max(key).alias(key)).select(key)
+
+
+def throttled(events: DataFrame, time: str, key: str, seconds: float) -> DataFrame:
+    """``slot``, ``events``, ``last_id``: of the progress made in each slot of time one row, with the last of it."""
+    slot = F.floor(F.unix_timestamp(F.col(time).cast("timestamp")) / seconds)
+    return events.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("events"), F.max(key).alias("last_id"))
+
+
 def discovery_eta(done: int, total: int, seconds: float) -> float | None:
     """Seconds left of a scan; unknown before 128 files."""
     return max(total - done, 0) * seconds / done if done >= 128 and seconds > 0 else None

@@ -33,6 +33,57 @@ def renames(gone: DataFrame, new: DataFrame, identity: Sequence[str]) -> DataFra
     return alone(gone, "old_path").join(alone(new, "new_path"), list(identity)).select("old_path", "new_path", *identity)
 
 
+def renamed(files: DataFrame, scan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``files`` with the new paths and names of those that a scan found elsewhere under one ``stable_id``, and the pairs.
+
+    They keep their ids, chunks and vectors. If the new name makes it a file of another kind, it is read anew. Files
+    whose old path is still there, and identities that several files share, keep their rows.
+    """
+    gone, new = files.join(scan.select("path"), "path", "left_anti"), scan.join(files.select("path"), "path", "left_anti")
+    pairs = materialize(renames(gone, new, ["root_id", "stable_id"]).select("old_path", "new_path"), "renames")
+    facts = scan.select(F.col("path").alias("new_path"), *[F.col(c).alias(f"n_{c}") for c in ("name", "extension", "kind")])
+    moved = files.join(pairs.join(facts, "new_path"), F.col("path") == F.col("old_path"), "left")
+    hit, other = F.col("new_path").isNotNull(), F.col("new_path").isNotNull() & ~F.col("kind").eqNullSafe(F.col("n_kind"))
+    value = {
+        "path": F.coalesce("new_path", "path"), "content_hash": F.when(~other, F.col("content_hash")), "semantic": F.col("semantic") & ~other, "mtime_ns": F.when(other, 0).otherwise(F.col("mtime_ns")),
+        **{c: F.when(hit, F.col(f"n_{c}")).otherwise(F.col(c)) for c in ("name", "extension", "kind")},
+    }
+    return moved.select(*[value.get(c, F.col(c)).alias(c) for c in files.columns]), pairs
+
+
+def edited(before: DataFrame, after: DataFrame, compare: Sequence[str] = ("size", "mtime_ns")) -> DataFrame:
+    """``path`` of what changed between two readings: results of the first are dropped, and the file is queued again."""
+    a, b = (d.select("path", F.struct(*compare).alias(n)) for d, n in ((before, "a"), (after, "b")))
+    return a.join(b, "path").where(~F.col("a").eqNullSafe(F.col("b"))).select("path")
+
+
+def restarted(jobs: DataFrame) -> DataFrame:
+    """Jobs after a restart: what was under way is queued."""
+    return jobs.withColumn("state", F.when(F.col("state") == "active", "queued").otherwise(F.col("state")))
+
+
+def failed_with_job(files: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Files with an error that are queued to be tried again."""
+    return files.where("error IS NOT NULL").join(jobs.select(F.col("file_id").alias("id")), "id", "left_semi")
+
+
+#: How the error of a file begins whose texts are searchable and whose vectors wait for a model (fixed value).
+NO_MODEL = "Semantic model unavailable"
+
+
+def waiting_for_model(files: DataFrame) -> DataFrame:
+    """Files that are queued again when a model is there."""
+    return files.where((F.col("state") == "partial") & F.startswith(F.col("error"), F.lit(NO_MODEL)))
+
+
+def to_reconcile(roots: DataFrame, files: DataFrame, activity: DataFrame) -> DataFrame:
+    """``id`` of the locations looked at again when idle: those that were away, and those with errors."""
+    failed = activity.where("kind = 'error'").select(F.col("file_id").alias("id")).distinct()
+    with_errors = files.join(failed, "id", "left_semi").select(F.col("root_id").alias("id")).distinct()
+    known = roots.select("id", "online")
+    return known.where("NOT online").select("id").unionByName(known.join(with_errors, "id", "left_semi").select("id")).distinct()
+
+
 def with_ids(rows: DataFrame, order: Sequence[str], table: DataFrame) -> DataFrame:
     """``rows`` with ``__id``: consecutive numbers in the given order, behind the greatest id of ``table``.
 
@@ -85,7 +136,7 @@ def upsert(files: DataFrame, scan: DataFrame, run: int) -> DataFrame:
             return F.when(hit, F.lit(True)).otherwise(F.col("f.online")).alias(c)
         if c == "state":
             return F.when(changed, "queued").otherwise(F.col("f.state")).alias(c)
-        if c in ("size", "mtime_ns", "modified") and c in s.columns:
+        if c in ("size", "mtime_ns", "modified", "stable_id") and c in s.columns:
             return F.when(hit, F.col(f"s.{c}")).otherwise(F.col(f"f.{c}")).alias(c)
         return F.col(f"f.{c}")
 

@@ -113,6 +113,38 @@ def scan_local(spark: SparkSession, folder: str, exclusions: Exclusions | None =
     )
 
 
+def stat_of(files: DataFrame, path: str = "path") -> DataFrame:
+    """The columns of ``files`` (but for those made here) with what the file system tells now: metadata, ``stable_id`` and ``folder``.
+
+    A path that is not there has null ``size`` and is no folder.
+    """
+    made = "size long, modified long, created long, mtime_ns long, stable_id string, folder boolean"
+    kept = [c for c in files.columns if c not in [x.split(" ")[0] for x in made.split(", ")] and c not in ("name", "extension", "kind")]
+
+    @F.pandas_udf(made)
+    def stat(paths: pd.Series) -> pd.DataFrame:
+        import os
+        import stat as mode
+
+        rows = []
+        for p in paths:
+            try:
+                s = os.lstat(p)
+                if mode.S_ISDIR(s.st_mode):
+                    rows.append((None, None, None, None, None, True))
+                elif mode.S_ISREG(s.st_mode):
+                    rows.append((s.st_size, int(s.st_mtime), int(s.st_ctime), s.st_mtime_ns, f"{s.st_dev}:{s.st_ino}", False))
+                else:
+                    rows.append((None,) * 5 + (False,))
+            except (OSError, TypeError):
+                rows.append((None,) * 5 + (False,))
+        return pd.DataFrame(rows, columns=[x.split(" ")[0] for x in made.split(", ")])
+
+    name = F.regexp_extract(path, r"([^\\/]+)$", 1)
+    out = files.select(*kept, stat(F.col(path)).alias("__s")).select(*kept, "__s.*")
+    return out.withColumns({"name": name, "extension": extension(name), "kind": kind(extension(name))})
+
+
 def read_contents(spark: SparkSession, folder: str, max_bytes: int = 32 << 20) -> DataFrame:
     """``path``, ``content``, ``error``: bytes up to ``max_bytes``; larger files are error rows and aren't read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
