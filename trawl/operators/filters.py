@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import normal_path
+from ..functions.scalar import ancestors, normal_path
 
 #: Folders left out by default (fixed values).
 DEFAULT_EXCLUSIONS = (
@@ -109,20 +109,31 @@ def relative_path(full: Column, root: Column) -> Column:
 def excluded_by_root(files: DataFrame, roots: DataFrame) -> DataFrame:
     """``files`` with ``excluded``, by the rules of each file's own root (a JSON array of its row).
 
-    The rules are settings, a few for each root, and are compiled on the driver. Broken JSON has no rules.
+    The rules are compiled where the roots are and joined to the files by root, so any number of roots will do.
+    Broken JSON has no rules.
     """
-    import json
 
-    out = F.lit(False)
-    for r in roots.select("id", "path", "exclusions").collect():
-        try:
-            rules = json.loads(r["exclusions"] or "[]")
-        except ValueError:
-            rules = []
-        compiled = Exclusions(x for x in rules if isinstance(x, str))
-        if compiled.relative or compiled.absolute:
-            out = F.when(F.col("root_id") == r["id"], compiled.matches(F.col("path"), F.lit(r["path"]))).otherwise(out)
-    return files.withColumn("excluded", out)
+    @F.pandas_udf("relative string, absolute string")
+    def compiled(rules):
+        import json
+
+        import pandas as pd
+
+        out = []
+        for r in rules:
+            try:
+                made = json.loads(r or "[]")
+            except ValueError:
+                made = []
+            e = Exclusions(x for x in made if isinstance(x, str)) if isinstance(made, list) else Exclusions([])
+            out.append((e.relative or None, e.absolute or None))
+        return pd.DataFrame(out, columns=["relative", "absolute"])
+
+    made = roots.select(F.col("id").alias("root_id"), F.col("path").alias("__root"), compiled("exclusions").alias("__r"))
+    joined = files.join(made.select("root_id", "__root", "__r.*"), "root_id", "left")
+    full = normal_path(F.col("path"))
+    hit = F.coalesce(F.rlike(relative_path(full, normal_path(F.col("__root"))), F.col("relative")), F.lit(False)) | F.coalesce(F.rlike(full, F.col("absolute")), F.lit(False))
+    return joined.select(*[joined[c] for c in files.columns], hit.alias("excluded"))
 
 
 def in_scope(path: Column, folder: str, recursive: bool = True) -> Column:
@@ -133,6 +144,13 @@ def in_scope(path: Column, folder: str, recursive: bool = True) -> Column:
     return inside if recursive else inside & ~F.contains(F.substring(path, len(base) + 1, 1 << 20), F.lit(sep))
 
 
+def overlaps(roots: DataFrame, places: DataFrame) -> DataFrame:
+    """``id_a``, ``id_b``, ``path``: places (``id``, ``path``) that are a root or lie in one of another id, by an equi-join on ancestors."""
+    tops = roots.select(F.col("id").alias("id_a"), normal_path(F.col("path")).alias("__above"))
+    above = places.select(F.col("id").alias("id_b"), "path", F.explode(ancestors(normal_path(F.col("path")))).alias("__above"))
+    return tops.join(above, "__above").where("id_a <> id_b").select("id_a", "id_b", "path")
+
+
 def owning_root(paths: DataFrame, roots: DataFrame, path: str = "path") -> DataFrame:
     """``paths`` with ``owner``, the id of the root of longest path that it lies below; null if there is none.
 

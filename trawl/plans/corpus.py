@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators.filters import DEFAULT_EXCLUSIONS, Exclusions, excluded_by_root, in_scope, owning_root, sensitive
+from ..operators.filters import overlaps, DEFAULT_EXCLUSIONS, Exclusions, excluded_by_root, in_scope, owning_root, sensitive
 from ..request import parse
 from ..runtime import table
 from .registry import query
@@ -108,9 +108,12 @@ def exclusions_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "files").where(rules.matches(F.col("path"))).select("id")
 
 
-@query("FLT-7", sql="SELECT id FROM files WHERE lower(name) IN ('.env','id_rsa','id_ed25519','credentials','login data') OR starts_with(lower(name), '.env.') OR regexp_matches(lower(name), '[^.]\\.(pem|key|pfx|p12)$')")
+@query("FLT-7", sql="WITH named AS (SELECT id, unnest([name, '.ENV.' || name, name || '.Pem', '.env', 'a.' || extension]) AS name FROM files) SELECT id, name FROM named WHERE lower(name) IN ('.env','id_rsa','id_ed25519','credentials','login data') OR starts_with(lower(name), '.env.') OR regexp_matches(lower(name), '[^.]\\.(pem|key|pfx|p12)$')")
 def sensitive_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "files").where(sensitive(F.col("name"))).select("id")
+    """Names of the tables are none of these, so each is looked at with beginnings and endings that are, too."""
+    name = F.col("name")
+    made = F.array(name, F.concat(F.lit(".ENV."), name), F.concat(name, F.lit(".Pem")), F.lit(".env"), F.concat(F.lit("a."), F.col("extension")))
+    return table(spark, sf_dir, "files").select("id", F.explode(made).alias("name")).where(sensitive(F.col("name")))
 
 
 @query("FLT-8", sql="SELECT id FROM files WHERE path >= 'D:' || chr(92) || 'office' || chr(92) AND path < 'D:' || chr(92) || 'office' || chr(93)")
@@ -139,14 +142,15 @@ def partial_index_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "FLT-15",
-    sql=f"""SELECT a.id AS id_a, b.id AS id_b FROM roots a JOIN roots b ON a.id <> b.id
-WHERE {_NORMAL.format('a.path')} = {_NORMAL.format('b.path')} OR starts_with({_NORMAL.format('b.path')}, {_NORMAL.format('a.path')} || '/')""",
+    sql=f"""WITH places AS (SELECT id, path FROM roots UNION ALL SELECT DISTINCT -root_id, regexp_replace(path, '[\\\\/][^\\\\/]*$', '') FROM files)
+SELECT a.id AS id_a, b.id AS id_b, b.path FROM places a JOIN places b ON a.id <> b.id
+WHERE a.id > 0 AND ( {_NORMAL.format('a.path')} = {_NORMAL.format('b.path')} OR starts_with({_NORMAL.format('b.path')}, {_NORMAL.format('a.path')} || '/'))""",
 )
 def overlapping_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roots of which one lies in the other, by an equi-join on ancestors."""
-    roots = table(spark, sf_dir, "roots").select("id", scalar.normal_path(F.col("path")).alias("p"))
-    above = roots.select(F.col("id").alias("id_b"), F.explode(scalar.ancestors(F.col("p"))).alias("p"))
-    return roots.withColumnRenamed("id", "id_a").join(above, "p").where("id_a <> id_b").select("id_a", "id_b")
+    """Folders that can't become locations, as they lie in one: the roots and all folders with files (numbered -root_id)."""
+    roots = table(spark, sf_dir, "roots").select("id", "path")
+    folders = table(spark, sf_dir, "files").select((-F.col("root_id")).alias("id"), scalar.parent(F.col("path")).alias("path")).distinct()
+    return overlaps(roots, roots.unionByName(folders))
 
 
 @query(

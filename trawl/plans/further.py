@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators.filters import Exclusions
+from ..operators import status, upkeep
 from ..operators.snapshots import last_rows
 from ..runtime import table
 from ..streaming import changes
+from .maintenance import _COST
 from .registry import query
 
 
@@ -67,17 +69,16 @@ def generated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SRT-9", sql="SELECT event_id, CASE event_type WHEN 'search' THEN 3 WHEN 'view' THEN 2 ELSE 0 END::BIGINT AS priority FROM events ORDER BY priority DESC, event_id LIMIT 64")
 def request_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.when(F.col("event_type") == "search", 3).when(F.col("event_type") == "view", 2).otherwise(0).cast("long")
-    return table(spark, sf_dir, "events").select("event_id", p.alias("priority")).orderBy(F.desc("priority"), "event_id").limit(64)
+    return status.request_queue(table(spark, sf_dir, "events"), "event_type", "event_id", 64, {"search": 3, "view": 2})
 
 
 @query(
-    "SCL-34", "STR-14", "VEC-7",
+    "SCL-34", "STR-14",
     sql="SELECT event_id FROM events e WHERE event_id = (SELECT max(event_id) FROM events u WHERE u.user_id = e.user_id)",
 )
 def latest_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each user's requests only the last is answered; older ones are stale."""
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("event_id")).select("event_id")
+    return status.latest(table(spark, sf_dir, "events"), "user_id", "event_id")
 
 
 _LAST = "last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_no, path ORDER BY received_at DESC NULLS LAST) AS rn FROM file_snapshots) WHERE rn = 1)"
@@ -93,24 +94,18 @@ def _delivery(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
 )
 def edited_meanwhile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that changed between two readings: their results are dropped and they are queued again."""
-    a, b = (_delivery(spark, sf_dir, n).select("path", F.struct("size", "mtime_ns").alias(f"s{n}")) for n in (2, 3))
-    return a.join(b, "path").where(~F.col("s2").eqNullSafe(F.col("s3"))).select("path")
+    return upkeep.edited(_delivery(spark, sf_dir, 2), _delivery(spark, sf_dir, 3))
 
 
 @query("STR-11", sql="SELECT r.id FROM roots r WHERE NOT r.online OR EXISTS (SELECT 1 FROM activity a JOIN files f ON f.id = a.file_id WHERE a.kind = 'error' AND f.root_id = r.id)")
 def roots_to_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Locations looked at again when idle: those that were away, and those with errors."""
-    failed = table(spark, sf_dir, "activity").where("kind = 'error'").select(F.col("file_id").alias("id")).distinct()
-    with_errors = table(spark, sf_dir, "files").join(failed, "id", "left_semi").select(F.col("root_id").alias("id")).distinct()
-    roots = table(spark, sf_dir, "roots").select("id", "online")
-    return roots.where("NOT online").select("id").unionByName(roots.join(with_errors, "id", "left_semi").select("id")).distinct()
+    return upkeep.to_reconcile(*(table(spark, sf_dir, t) for t in ("roots", "files", "activity")))
 
 
 @query("STR-16", sql="SELECT floor(epoch(ts) / 3600)::BIGINT AS slot, count(*) AS events, max(event_id) AS last_id FROM events GROUP BY 1")
 def throttled_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One progress row for each slot of time, the last of it."""
-    slot = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600)
-    return table(spark, sf_dir, "events").groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("events"), F.max("event_id").alias("last_id"))
+    return status.throttled(table(spark, sf_dir, "events"), "ts", "event_id", 3600)
 
 
 @query(
@@ -129,13 +124,11 @@ def applied_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("AGG-21", sql="SELECT id, used::BIGINT AS used FROM (SELECT id, sum(coalesce(size, 0)) OVER (ORDER BY modified DESC NULLS LAST, id) AS used FROM files) WHERE used <= 500000000")
 def kept_in_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest entries that fit a budget."""
-    from ..operators.upkeep import running_total
-
     f = table(spark, sf_dir, "files").select("id", "size", "modified")
-    return running_total(f, [F.col("modified").desc_nulls_last(), F.col("id")], "size", "used").where("used <= 500000000").select("id", "used")
+    return upkeep.running_total(f, [F.col("modified").desc_nulls_last(), F.col("id")], "size", "used").where("used <= 500000000").select("id", "used")
 
 
-@query("STR-6")
+@query("STR-6", sql=f"WITH {_COST} SELECT kind, samples, round(cost, 6) AS cost FROM cost")
 def stream_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The running averages of :func:`ewma_cost`, kept as the state of a stream."""
     from ..runtime import ship
@@ -143,7 +136,7 @@ def stream_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parq*")
     samples = stream.select(F.col("event_type").alias("kind"), F.col("event_id").alias("id"), F.col("value").alias("seconds"))
-    return changes.run_to_table(spark, changes.running_costs(samples), "costs", "update")
+    return changes.run_to_table(spark, changes.running_costs(samples), "costs", "update").withColumn("cost", F.round("cost", 6))
 
 
 @query("SCL-24")
@@ -153,10 +146,44 @@ def settings_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(Settings().fingerprint(), Settings(dimensions=128).fingerprint())], "standard string, smaller string")
 
 
-@query("UDF-4", "SRC-5", "SRC-6")
+_LINES = "lines AS (SELECT doc_id, lang, unnest(string_split(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g'), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g'), chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL)"
+_EDGE = "'^[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+|[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+$'"
+
+
+def _written(spark: SparkSession, sf_dir: str, extension: str) -> DataFrame:
+    from ..sources.extract import extract, written
+
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", written(F.col("text"), extension).alias("content"))
+    return extract(d.withColumns({"extension": F.lit(extension), "kind": F.lit("document")}))
+
+
+@query("UDF-4", "SRC-5", sql=f"WITH {_LINES}, made AS (SELECT doc_id, n, regexp_replace(line, {_EDGE}, '', 'g') AS text FROM lines) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS part, text FROM made WHERE text <> ''")
 def office_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as .docx, a paragraph a line, and read again."""
-    from ..sources.extract import as_docx, extract
+    return _written(spark, sf_dir, "docx").select("doc_id", F.col("part").cast("long").alias("part"), "text")
+
+
+@query("UDF-4", "SRC-6", sql=f"WITH {_LINES}, made AS (SELECT doc_id, n, regexp_replace(line, {_EDGE}, '', 'g') AS text FROM lines), kept AS (SELECT *, (n - 1) // 12 + 1 AS page FROM made WHERE text <> '') SELECT doc_id, page, 'Slide ' || page AS heading, string_agg(text, chr(10) ORDER BY n) AS text FROM kept GROUP BY 1, 2")
+def slide_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as .pptx, twelve lines a slide, and read again."""
+    return _written(spark, sf_dir, "pptx").select("doc_id", F.col("page").cast("long").alias("page"), "heading", "text")
+
+
+_SHEET = f"WITH {_LINES}, kept AS (SELECT doc_id, n, line, BLOCK AS block FROM lines WHERE regexp_replace(line, {_EDGE}, '', 'g') <> '') SELECT doc_id, string_agg(line, chr(10) ORDER BY n) AS text, min(n) AS line_start, max(n) AS line_end, 'Sheet' AS heading FROM kept GROUP BY doc_id, block"
+
+
+def _sheets(spark: SparkSession, sf_dir: str, extension: str) -> DataFrame:
+    made = _written(spark, sf_dir, extension)
+    return made.select("doc_id", "text", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"), "heading")
+
+
+@query("UDF-4", "SRC-7", sql=_SHEET.replace("BLOCK", "(n - 1) // 32"))
+def sheet_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as .xlsx, a row a line, and read again in blocks of 32 row numbers."""
+    return _sheets(spark, sf_dir, "xlsx")
+
 
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", as_docx(F.col("text")).alias("content"))
-    return extract(d.withColumns({"extension": F.lit("docx"), "kind": F.lit("document")})).select("doc_id", "part", "text", "heading", "error")
+@query("UDF-4", "SRC-8", sql=_SHEET.replace("BLOCK", "(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1) // 32"))
+def open_sheet_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as .ods, and read again in blocks of 32 rows that aren't blank."""
+    return _sheets(spark, sf_dir, "ods")

@@ -47,6 +47,18 @@ def rename_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upkeep.renames(gone, fresh, ["root_id", "size", "mtime_ns"]).select("old_path", "new_path")
 
 
+@query(
+    "SNK-2", "JON-9",
+    sql="""WITH shared AS (SELECT root_id, stable_id FROM files WHERE kind IN ('text', 'code') AND stable_id <> '' GROUP BY 1, 2 HAVING count(*) = 1)
+SELECT f.id, CASE WHEN s.root_id IS NULL THEN f.path ELSE f.path || '.moved' END AS path FROM files f LEFT JOIN shared s ON f.kind IN ('text', 'code') AND s.root_id = f.root_id AND s.stable_id = f.stable_id""",
+)
+def renamed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan finds all texts and code under other paths; those of an identity of their own keep their ids."""
+    files = table(spark, sf_dir, "files")
+    elsewhere = F.when(F.col("kind").isin("text", "code"), F.concat("path", F.lit(".moved"))).otherwise(F.col("path"))
+    return upkeep.renamed(files, files.withColumn("path", elsewhere))[0].select("id", "path")
+
+
 @query("JON-8", "SET-2", "SNK-4", "STR-8", sql=f"WITH {_SNAP} SELECT id FROM files WHERE path NOT IN (SELECT path FROM scan)")
 def tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upkeep.tombstones(table(spark, sf_dir, "files"), _delivery(spark, sf_dir, 2)).select("id")
@@ -74,7 +86,7 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "JON-10", "FLT-11", "SCL-9",
+    "JON-10", "SCL-9",
     sql="""WITH old AS (SELECT file_id, hash, min(id) AS id FROM chunks WHERE vector IS NOT NULL AND hash IS NOT NULL GROUP BY 1, 2)
 SELECT c.id, o.id IS NOT NULL AS reused FROM chunks c LEFT JOIN old o ON o.file_id = c.file_id AND o.hash = c.hash""",
 )
@@ -120,20 +132,19 @@ def root_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upkeep.root_offline(table(spark, sf_dir, "files"), table(spark, sf_dir, "roots")).select("id", "online")
 
 
-@query("SNK-9", "STR-17", "JON-15", sql="SELECT f.id FROM files f WHERE f.error IS NOT NULL AND EXISTS (SELECT 1 FROM jobs j WHERE j.file_id = f.id)")
+@query("SNK-9", "JON-15", sql="SELECT f.id FROM files f WHERE f.error IS NOT NULL AND EXISTS (SELECT 1 FROM jobs j WHERE j.file_id = f.id)")
 def failed_with_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = table(spark, sf_dir, "jobs").select(F.col("file_id").alias("id"))
-    return table(spark, sf_dir, "files").where("error IS NOT NULL").join(jobs, "id", "left_semi").select("id")
+    return upkeep.failed_with_job(table(spark, sf_dir, "files"), table(spark, sf_dir, "jobs")).select("id")
 
 
 @query("STR-18", sql="SELECT id FROM files WHERE state = 'partial' AND starts_with(error, 'Semantic model unavailable')")
 def waiting_for_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "files").where((F.col("state") == "partial") & F.startswith(F.col("error"), F.lit("Semantic model unavailable"))).select("id")
+    return upkeep.waiting_for_model(table(spark, sf_dir, "files")).select("id")
 
 
 @query("STR-9", sql="SELECT file_id, CASE WHEN state = 'active' THEN 'queued' ELSE state END AS state FROM jobs")
 def restarted_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "jobs").select("file_id", F.when(F.col("state") == "active", "queued").otherwise(F.col("state")).alias("state"))
+    return upkeep.restarted(table(spark, sf_dir, "jobs")).select("file_id", "state")
 
 
 @query("SNK-9", sql="SELECT count(*) AS files, count(*) FILTER (WHERE false) AS semantic, 0::BIGINT AS vectors FROM files")
@@ -161,7 +172,7 @@ def root_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.root_counts(table(spark, sf_dir, "roots"), table(spark, sf_dir, "files"))
 
 
-@query("AGG-5", "AGG-7", "SRC-13", "SNK-8", sql="SELECT count(*) || ':' || coalesce(max(id), 0) AS signature FROM chunks WHERE vector IS NOT NULL")
+@query("AGG-5", "AGG-7", sql="SELECT count(*) || ':' || coalesce(max(id), 0) AS signature FROM chunks WHERE vector IS NOT NULL")
 def checkpoint_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.signature(table(spark, sf_dir, "chunks"))
 
@@ -232,16 +243,24 @@ def index_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.index_eta(_cost(spark, sf_dir), pending).withColumn("seconds", F.round("seconds", 4))
 
 
-@query("AGG-15", "AGG-16", sql="SELECT round((count(*) * 2 - count(*)) * 12.5 / count(*), 6) AS eta, round(count(*) / 12.5, 6) AS per_second FROM files")
+@query(
+    "AGG-15", "AGG-16",
+    sql="""SELECT user_id, count(*) AS done, max(max(event_id)) OVER () AS total, sum(value) AS seconds,
+CASE WHEN count(*) >= 128 AND sum(value) > 0 THEN round(greatest(max(max(event_id)) OVER () - count(*), 0) * sum(value) / count(*), 3) END AS eta,
+CASE WHEN sum(value) > 0 THEN round(count(*) / sum(value), 6) END AS per_second FROM events WHERE value IS NOT NULL GROUP BY user_id""".replace("sum(value) AS seconds,", "round(sum(value), 4) AS seconds,"),
+)
 def discovery_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "files").agg(F.count(F.lit(1)).alias("done"))
-    return n.select(F.round((F.col("done") * 2 - F.col("done")) * 12.5 / F.col("done"), 6).alias("eta"), F.round(F.col("done") / 12.5, 6).alias("per_second"))
+    """Each user's events as a scan of its own: some have seen 128 files, others haven't."""
+    e = table(spark, sf_dir, "events").where("value IS NOT NULL")
+    total = e.agg(F.max("event_id").alias("total"))  # one row
+    scans = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("done"), F.sum("value").alias("seconds")).crossJoin(F.broadcast(total))
+    made = status.discovery(scans)
+    return made.select("user_id", "done", "total", F.round("seconds", 4).alias("seconds"), F.round("eta", 3).alias("eta"), F.round("per_second", 6).alias("per_second"))
 
 
 @query("AGG-19", sql="SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"))
+    return status.percentiles(table(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
 
 
 _EVENTS = "ev AS (SELECT *, 'u' || user_id AS path, event_type IN ('create', 'rename', 'any', 'other', 'click') AS recursive FROM events WHERE event_type <> 'access')"
@@ -302,9 +321,9 @@ def media_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("file_id", F.col("seq").cast("long").alias("seq"), "start_sec", "end_sec")
 
 
-@query("SRC-7", "SRC-8", sql="SELECT l_orderkey // 32 AS block, count(*) AS rows_in, string_agg(l_orderkey || chr(9) || l_linenumber, chr(10) ORDER BY l_orderkey, l_linenumber) AS text FROM lineitem GROUP BY 1")
+@query("SRC-7", sql="SELECT l_orderkey // 32 AS block, count(*) AS rows_in, string_agg(l_orderkey || chr(9) || l_linenumber, chr(10) ORDER BY l_orderkey, l_linenumber) AS text FROM lineitem GROUP BY 1")
 def sheet_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of 32 keys as tab-separated lines; a block is bounded by its key range."""
+    """The same blocks of 32 rows made of a table: tab-separated lines, a block bounded by its key range."""
     row = F.concat_ws("\t", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", row.alias("r")))), lambda x: x["r"])
     li = table(spark, sf_dir, "lineitem")
@@ -333,7 +352,14 @@ def synthetic_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("content_hash", content_hash(F.col("name")))
 
 
-@query("STR-2", "STR-10")
+@query(
+    "STR-2",
+    sql="""WITH ev AS (SELECT *, 'u' || user_id AS path FROM events WHERE event_type <> 'access'),
+gaps AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 10 MINUTE THEN 1 ELSE 0 END AS fresh FROM ev WINDOW w AS (PARTITION BY path ORDER BY ts, event_id)),
+bursts AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts, event_id) AS s FROM gaps)
+SELECT path, min(ts)::TIMESTAMP AS started, max(ts)::TIMESTAMP AS last, count(*) AS events, bool_or(event_type IN ('create', 'rename', 'any', 'other')) AS recursive
+FROM bursts GROUP BY path, s HAVING max(ts) + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR""",
+)
 def stream_debounced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bursts of :func:`debounce_sessions` that a stream over the events has closed."""
     from ..runtime import ship
@@ -342,4 +368,5 @@ def stream_debounced(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parq*")
     e = stream.withColumn("path", F.concat(F.lit("u"), F.col("user_id").cast("string"))).withColumn("ts", F.col("ts").cast("timestamp"))
-    return changes.run_to_table(spark, changes.debounced(changes.intake(e, "event_type"), quiet="10 minutes", late="1 hour"), "debounced")
+    made = changes.run_to_table(spark, changes.debounced(changes.intake(e, "event_type"), quiet="10 minutes", late="1 hour"), "debounced")
+    return made.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "last")})

@@ -117,19 +117,29 @@ def _shown(found: DataFrame) -> DataFrame:
     return found.withColumn("matches", F.array_join(F.col("matches").cast("array<string>"), ","))
 
 
-@query(
-    "FLT-1", "FLT-2", "AGG-10", "AGG-11", "SET-1", "SRT-4", "WIN-3", "JON-11",
-    sql=f"""WITH {_bm25(['report'])}, {_NAMES.format('report', " AND lower(extension) IN ('txt')")},
+EXACT = (
+    f"""WITH {_bm25(['report'])}, {_NAMES.format('report', " AND lower(extension) IN ('txt')")},
 {_LEX.replace('WHERE f.online', "WHERE f.online AND lower(f.extension) = 'txt'")},
 {_DEFAULT}, parts AS (SELECT file_id, part AS n, 0e0 AS l, 0e0 AS s, NULL::DOUBLE AS cosine FROM names UNION ALL SELECT file_id, 0e0, 1.0 / (60 + rank), 0e0, NULL FROM best),
 """
-    + _fused("dummy AS (SELECT 1)", "allhits AS (SELECT file_id, chunk_id, 0 AS o, 0 AS q, rank AS r FROM hits)", 100),
-)
+    + _fused("dummy AS (SELECT 1)", "allhits AS (SELECT file_id, chunk_id, 0 AS o, 0 AS q, rank AS r FROM hits)", 100)
+)
+
+
+@query("FLT-1", "FLT-2", "AGG-10", "AGG-11", "SET-1", "SRT-4", "WIN-3", "JON-11", sql=EXACT)
 def search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names and texts, in exact mode with a filter."""
     return _shown(search(table(spark, sf_dir, "files"), table(spark, sf_dir, "chunks"), Request("report ext:txt", "exact"), fold=False))
 
 
+@query("FLT-5", "AGG-9", "JON-3", sql=EXACT)
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search, its words looked up in postings."""
+    chunks = table(spark, sf_dir, "chunks")
+    index = LexicalIndex.build(chunks, fold=False)
+    return _shown(search(table(spark, sf_dir, "files"), chunks, Request("report ext:txt", "exact"), fold=False, index=index))
+
+
 _Q = f"(SELECT file_id FROM chunks WHERE {_USABLE} AND namespace = 'general' ORDER BY id LIMIT 1)"
 _SEM = f"""asked AS (SELECT row_number() OVER (ORDER BY seq, id) - 1 AS qseq, namespace AS qns, vector::DOUBLE[] AS q FROM chunks WHERE vector IS NOT NULL AND file_id = {_Q} ORDER BY seq, id LIMIT 64),
 near AS (SELECT qseq, c.id, c.file_id, round(list_cosine_similarity(c.vector::DOUBLE[], q), 6) AS cosine FROM (SELECT * FROM chunks WHERE {_USABLE}) c JOIN (SELECT * FROM asked WHERE len(q) = 128 AND len(list_filter(q, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(q, lambda x: x <> 0)) > 0) ON namespace = qns),
@@ -161,7 +171,7 @@ def search_smart(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SRC-14", "JON-2", "VEC-4", "SRT-11", "SRC-18",
+    "SRC-14", "JON-2", "VEC-4", "SRT-11",
     sql=f"""WITH {_SEM.format(256)}, {_DEFAULT}, parts AS (SELECT file_id, 0e0 AS n, 0e0 AS l, 1.2 / (60 + rank) AS s, cosine FROM sbest),
 """
     + _fused("dummy AS (SELECT 1)", "allhits AS (SELECT file_id, chunk_id, 1 AS o, qseq AS q, rank AS r FROM shits)", 20),

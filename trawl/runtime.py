@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 _SHIPPED: set[str] = set()
+_SWEPT: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -68,8 +69,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/trawl/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses; gone when the session's Python ends."""
+    sc = spark.sparkContext
+    folder = f"{shared_dir(spark)}/trawl/{sc.applicationId}"
+    if folder not in _SWEPT:
+        _SWEPT.add(folder)
+        atexit.register(_sweep, sc._jvm, sc._jsc.hadoopConfiguration(), folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def _sweep(jvm, conf, folder: str) -> None:
+    """Delete what a session wrote, if its JVM is still there."""
+    try:
+        p = jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(conf).delete(p, True)
+    except Exception:  # the JVM went first, and what it served is nobody's any more
+        pass
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

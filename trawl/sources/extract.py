@@ -171,23 +171,60 @@ def markup_text(html: str | None) -> str:
 _ILLEGAL = re.compile("[^\t\n\r -\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
 
 
-def write_docx(text: str) -> bytes:
-    """A document with a paragraph for each line; characters that XML can't hold are left out."""
-    from xml.sax.saxutils import escape
-
-    lines = (escape(_ILLEGAL.sub("", x)) for x in text.splitlines())
-    body = "".join(f"<w:p><w:r><w:t xml:space='preserve'>{x}</w:t></w:r></w:p>" for x in lines)
+def _zipped(**parts: str) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
-        z.writestr("word/document.xml", f"<?xml version='1.0' encoding='UTF-8'?><w:document xmlns:w='{space}'><w:body>{body}</w:body></w:document>")
+        for name, body in parts.items():
+            z.writestr(name, f"<?xml version='1.0' encoding='UTF-8'?>{body}")
     return out.getvalue()
 
 
-def as_docx(text):
+def _xml_lines(text: str) -> list[str]:
+    """Lines of a text for XML; characters that it can't hold are left out."""
+    from xml.sax.saxutils import escape
+
+    return [escape(_ILLEGAL.sub("", x)) for x in re.split("\r\n|\r|\n", text)]
+
+
+def write_docx(text: str) -> bytes:
+    """A document with a paragraph for each line."""
+    body = "".join(f"<w:p><w:r><w:t xml:space='preserve'>{x}</w:t></w:r></w:p>" for x in _xml_lines(text))
+    space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    return _zipped(**{"word/document.xml": f"<w:document xmlns:w='{space}'><w:body>{body}</w:body></w:document>"})
+
+
+def write_pptx(text: str, lines: int = 12) -> bytes:
+    """A slide for so many lines."""
+    made, space = _xml_lines(text), "http://schemas.openxmlformats.org/drawingml/2006/main"
+    slides = {}
+    for i in range(0, len(made), lines):
+        body = "".join(f"<a:p><a:r><a:t>{x}</a:t></a:r></a:p>" for x in made[i : i + lines])
+        slides[f"ppt/slides/slide{i // lines + 1}.xml"] = f"<p:sld xmlns:p='p' xmlns:a='{space}'>{body}</p:sld>"
+    return _zipped(**slides)
+
+
+def write_xlsx(text: str) -> bytes:
+    """A sheet with a row for each line."""
+    rows = "".join(f"<row r='{n}'><c t='inlineStr'><is><t xml:space='preserve'>{x}</t></is></c></row>" for n, x in enumerate(_xml_lines(text), 1))
+    return _zipped(**{"xl/workbook.xml": "<workbook><sheets><sheet name='Sheet' sheetId='1'/></sheets></workbook>", "xl/worksheets/sheet1.xml": f"<worksheet><sheetData>{rows}</sheetData></worksheet>"})
+
+
+def write_ods(text: str) -> bytes:
+    """A sheet with a row for each line."""
+    rows = "".join(f"<t:table-row><t:table-cell><x:p>{x}</x:p></t:table-cell></t:table-row>" for x in _xml_lines(text))
+    return _zipped(**{"content.xml": f"<d xmlns:t='t' xmlns:x='x'><t:table t:name='Sheet'>{rows}</t:table></d>"})
+
+
+WRITERS = {"docx": write_docx, "pptx": write_pptx, "xlsx": write_xlsx, "ods": write_ods}
+
+
+def written(text, extension: str):
+    """A text as a file of a format; null stays null."""
+    write_one = WRITERS[extension]
+
     @F.pandas_udf("binary")
     def write(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else write_docx(t))
+        return texts.map(lambda t: None if t is None else write_one(t))
 
     return write(text)
 
