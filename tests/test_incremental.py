@@ -97,6 +97,17 @@ def test_edits_while_reading_pauses_and_models(spark, tmp_path, monkeypatch):
     assert again.storage_info()["chunks"] > 0 and set(again.benchmark(batches=(1, 4))) == {"status", "embed_1", "embed_4"}
     with pytest.raises(ValueError):
         again.control("halt")
+    # the vector index: made once, kept by commits, read by cells
+    assert again.index_vectors() and not again.index_vectors()
+    (root / "c.txt").write_text("another one")
+    os.remove(root / "b.txt")
+    again.start_index()
+    assert again.store.read("cells").count() == again.status().first()["vectors"] == 2 and not again.index_vectors()
+    exact = [tuple(r) for r in again.search(Request("another")).collect()]
+    again.update_settings(probes=50)
+    assert [tuple(r) for r in again.search(Request("another")).collect()] == exact
+    again.update_settings(dimensions=3)
+    assert again.store.read("cells").count() == 0
 
 
 def test_events_are_taken_in(spark, tmp_path, monkeypatch):

@@ -47,3 +47,25 @@ def test_any_number_of_queries(spark, tables, monkeypatch):
     queries = spark.createDataFrame([(n, ns, v.tolist()) for n, ns, v in asked], "qseq long, namespace string, vector array<double>")
     assert rows(vector.nearest_of(df, queries, 5)) == brute(x, names, asked, 5) and len(asked) > vector.MAX_BATCH
     assert vector.nearest_of(df, queries.where("false"), 5).count() == 0 and vector.nearest_of(df.where("false"), queries, 5).count() == 0
+
+
+def test_cells(spark, tables):
+    x, names, df = tables
+    cells = vector.Cells.of(df)
+    placed = cells.placed(df).cache()
+    assert placed.where("cell IS NULL").count() == 3 and placed.where("id = 5002 AND cell IS NOT NULL").count() == 1
+    x = x.astype(np.float32).astype(np.float64)
+    asked = [(i, names[i], x[i]) for i in range(0, 900, 30)]
+    want = brute(x, names, asked, 10)
+    share = []
+    for probes in (1, 12, 1000):
+        some = placed.where(placed["cell"].isin(cells.near(asked[:1], probes)))
+        got = rows(vector.nearest(some, asked[:1], 10))
+        share.append(len({p[:2] for p in got} & {p[:2] for p in want if p[0] == 0}) / 10)
+    assert share[0] <= share[1] <= share[2] == 1.0
+    hits = 0
+    for q in asked:  # the recall at a fifth of the cells
+        some = placed.where(placed["cell"].isin(cells.near([q], 12)))
+        hits += len({p[:2] for p in rows(vector.nearest(some, [q], 10))} & {p[:2] for p in want if p[0] == q[0]})
+    assert hits / (10 * len(asked)) >= 0.9
+    assert vector.Cells.of(df.where("false")).near(asked, 3) == []

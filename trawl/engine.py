@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.chunking import chunked
-from .functions.scalar import ancestors, namespace
+from .functions.scalar import ancestors, namespace, usable_vector
 from .operators import status, upkeep
 from .operators.filters import DEFAULT_EXCLUSIONS, Exclusions, sensitive
 from .operators.fusion import search
 from .operators.lexical import LexicalIndex, posted
-from .operators.vector import file_queries
+from .operators.vector import Cells, file_queries
 from .request import Request
 from .runtime import discard, materialize
 from .sources.extract import extract
@@ -44,6 +44,8 @@ class Settings:
     pause_media: bool = False
     sensitive_files: bool = False
     embed_batch: int = 4
+    #: Cells of the vector index that a search reads; 0 reads all vectors.
+    probes: int = 0
     enabled_kinds: tuple[str, ...] = ("text", "code", "document", "pdf", "image", "audio", "video")
     exclusions: tuple[str, ...] = DEFAULT_EXCLUSIONS
 
@@ -78,7 +80,8 @@ class Engine:
         rows = rows.unionByName(self.store.read("settings").where("key = 'index_stopped'"))
         if new.fingerprint() != old.fingerprint():
             f, c = upkeep.reset_semantics(self.store.read("files"), self.store.read("chunks"))
-            self.store.commit(settings=rows, files=f, chunks=c, jobs=self._jobs(f))
+            none = {t: self.store.read(t).where("false") for t in ("pivots", "cells")}
+            self.store.commit(settings=rows, files=f, chunks=c, jobs=self._jobs(f), **none)
         else:
             self.store.commit(settings=rows)
         return new
@@ -159,7 +162,24 @@ class Engine:
         if chunks is None:
             chunks = self.spark.createDataFrame([], SCHEMAS["chunks"])
         postings, lengths = posted(chunks, carry=("file_id",))
-        return {t: Replace(gone, rows) for t, rows in (("chunks", chunks), ("postings", postings), ("lengths", lengths))}
+        made = {t: Replace(gone, rows) for t, rows in (("chunks", chunks), ("postings", postings), ("lengths", lengths))}
+        pivots = self.store.read("pivots")
+        if not pivots.isEmpty():
+            made["cells"] = Replace(gone, Cells(pivots).placed(chunks).where("cell IS NOT NULL"))
+        return made
+
+    def index_vectors(self) -> bool:
+        """Make the vector index where it is missing, or where its signature isn't that of the chunks' vectors; whether it was made.
+
+        Commits keep it current afterwards. Its pivots are chosen anew only here.
+        """
+        chunks = self.store.read("chunks")
+        usable = chunks.where(usable_vector(F.col("vector"), F.size("vector")))
+        if status.signature(usable).first() == status.signature(self.store.read("cells")).first():
+            return False
+        cells = Cells.of(usable)
+        self.store.commit(pivots=cells.frame, cells=cells.placed(usable).where("cell IS NOT NULL"))
+        return True
 
     def control(self, action: str) -> None:
         """``pause`` until ``resume``; ``stop`` until ``resume`` too, also for engines opened later on this index."""
@@ -364,7 +384,7 @@ class Engine:
 
     def clear(self) -> None:
         """Forget what was indexed; locations and settings stay."""
-        empty = {t: self.spark.createDataFrame([], self.store.read(t).schema) for t in ("files", "chunks", "jobs", "postings", "lengths")}
+        empty = {t: self.spark.createDataFrame([], self.store.read(t).schema) for t in ("files", "chunks", "jobs", "postings", "lengths", "pivots", "cells")}
         self.store.commit(**empty)
 
     def compact(self) -> int:
@@ -388,8 +408,11 @@ class Engine:
             v = list(self.embedder([request.query])[0])[: self.settings().dimensions]
             queries = [(0, "general", v), (1, "code", v)]
         self.spark.sparkContext.addJobTag("trawl-search") if hasattr(self.spark.sparkContext, "addJobTag") else None
-        index = LexicalIndex(postings, lengths, True, chunks.select("id", "text", "heading"))
-        return search(files, chunks, request, queries, index=index)
+        index, vectors, probes = LexicalIndex(postings, lengths, True, chunks.select("id", "text", "heading")), None, self.settings().probes
+        if probes and queries and "cells" in manifest:
+            near = Cells(self.store.read("pivots", manifest=manifest)).near(queries, probes)
+            vectors = self.store.read("cells", manifest=manifest).where(F.col("cell").isin(near))
+        return search(files, chunks, request, queries, index=index, vectors=vectors)
 
     def search_in_phases(self, request: Request, **options) -> Iterator[DataFrame]:
         """First what names and words find, then, where vectors are asked for, everything."""

@@ -71,11 +71,15 @@ def lexical_list(
 
 
 def semantic_list(
-    files: DataFrame, chunks: DataFrame, queries: list[tuple[int, str, list[float]]], filters: Filters, show_offline: bool, k: int
+    files: DataFrame, chunks: DataFrame, queries: list[tuple[int, str, list[float]]], filters: Filters, show_offline: bool, k: int, vectors: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """``file_id``, ``part``, ``cosine`` of each file's first hit, and the hits; earlier queries come first."""
+    """``file_id``, ``part``, ``cosine`` of each file's first hit, and the hits; earlier queries come first.
+
+    ``vectors``: those of the chunks that are searched (``id``, ``file_id``, ``namespace``, ``vector``), all if not given.
+    """
+    vectors = chunks if vectors is None else vectors
     of_file = files.where(_kept(filters, show_offline)).select(F.col("id").alias("file_id"))
-    hits = nearest(chunks, queries, k).join(chunks.select("id", "file_id"), "id").join(of_file, "file_id", "left_semi")
+    hits = nearest(vectors, queries, k).join(vectors.select("id", "file_id"), "id").join(of_file, "file_id", "left_semi")
     hits = materialize(hits.select("file_id", F.col("id").alias("chunk_id"), "qseq", "rank", "cosine"), "near")  # k rows a query
     first = hits.groupBy("file_id").agg(F.min(F.struct("qseq", "rank", "cosine")).alias("h"))
     return first.select("file_id", rrf(F.col("h.rank"), SEMANTIC_WEIGHT).alias("part"), F.col("h.cosine").alias("cosine")), hits
@@ -89,12 +93,13 @@ def search(
     filter_first: bool = False,
     fold: bool = True,
     index: LexicalIndex | None = None,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Ranked files: ``file_id``, ``name``, ``path``, ``score``, its parts, ``cosine`` and up to three ``matches``.
 
     Modes: ``exact`` leaves out the semantic list, ``semantic`` the other two. ``queries`` are embedded queries
     or another file's vectors; without them there is no semantic list. With an ``index`` texts aren't read for their
-    words. Ties come by time of change, then id.
+    words, with ``vectors`` only those are searched. Ties come by time of change, then id.
     """
     text, filters = parse(request.query, request.filters)
     none = files.select(F.col("id").alias("file_id"), F.lit(0.0).alias("part")).where(F.lit(False))
@@ -108,7 +113,7 @@ def search(
         matches.append(hits.select("file_id", "chunk_id", F.lit(0).alias("o"), F.lit(0).cast("long").alias("q"), F.col("rank").cast("long").alias("r")))
     if queries and request.mode != "exact":
         k = max(8 * request.results_count, 256)
-        best, hits = semantic_list(files, chunks, queries, filters, request.show_offline, k)
+        best, hits = semantic_list(files, chunks, queries, filters, request.show_offline, k, vectors)
         parts.append(best.select("file_id", F.lit("semantic").alias("of"), "part", "cosine"))
         matches.append(hits.select("file_id", "chunk_id", F.lit(1).alias("o"), F.col("qseq").alias("q"), F.col("rank").cast("long").alias("r")))
     rows = parts[0]

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import usable_vector
+from ..runtime import lowest_hashed
 
 #: A file asks with at most so many of its vectors.
 MAX_QUERIES = 64
@@ -150,6 +151,74 @@ def nearest_of(
     return _ranked(found, k, key)
 
 
+#: Cells of a namespace at most; their pivots are on the driver and in every worker (16 MB for 1,024 components).
+MAX_CELLS = 4096
+
+
+class Cells:
+    """Vectors by their nearest pivot, so that a search reads the cells nearest to its queries and not all vectors.
+
+    Pivots are vectors of lowest hash, 2 * sqrt(n) of each namespace and length, at most MAX_CELLS. Every vector has a
+    cell; how many cells a query reads is a matter of the recall wanted, all of them being the exact search.
+    """
+
+    SCHEMA = "namespace string, cell int, vector array<float>"
+
+    def __init__(self, pivots: DataFrame):
+        self.frame = pivots
+        kinds: dict[tuple[str | None, int], tuple[list[int], list[np.ndarray]]] = {}
+        for r in pivots.collect():  # at most MAX_CELLS for each namespace and length
+            numbers, units = kinds.setdefault((r["namespace"], len(r["vector"])), ([], []))
+            v = np.asarray(r["vector"], np.float64)
+            numbers.append(r["cell"])
+            units.append(v / np.linalg.norm(v))
+        self.kinds = {k: (np.array(n, np.int32), np.array(u, np.float32)) for k, (n, u) in kinds.items()}
+
+    @classmethod
+    def of(cls, vectors: DataFrame, key: str = "id", vector: str = "vector", namespace: str = "namespace") -> Cells:
+        good = _good(vectors, key, vector, namespace, "id").withColumn("length", F.size("v"))
+        rows, first = [], 0
+        for r in good.groupBy("ns", "length").count().orderBy("ns", "length").collect():  # a row for each kind
+            n = min(MAX_CELLS, max(1, int(2 * r["count"] ** 0.5)))
+            same = good.where(F.col("ns").eqNullSafe(F.lit(r["ns"])) & (F.col("length") == r["length"]))
+            made = lowest_hashed(same.select("id", "v"), "id", n, r["count"], "v").collect()
+            rows += [(r["ns"], first + i, [float(x) for x in m["v"]]) for i, m in enumerate(made)]
+            first += len(made)
+        return cls(vectors.sparkSession.createDataFrame(rows, cls.SCHEMA))
+
+    def placed(self, rows: DataFrame, vector: str = "vector", namespace: str = "namespace") -> DataFrame:
+        """``rows`` with ``cell``; null where a vector isn't usable or has no pivots of its kind."""
+        kinds = rows.sparkSession.sparkContext.broadcast(self.kinds)
+
+        @F.arrow_udf("int")
+        def cell(names: pa.Array, vectors: pa.Array) -> pa.Array:
+            out = np.full(len(names), -1, np.int32)
+            there = np.nonzero(vectors.is_valid().to_numpy(zero_copy_only=False))[0]
+            if len(there):
+                some = vectors.take(pa.array(there))
+                with np.errstate(all="ignore"):
+                    for ns, length, at, x in _kinds(names.take(pa.array(there)).to_pylist(), some):
+                        if (ns, length) in kinds.value:
+                            numbers, pivots = kinds.value[ns, length]
+                            good = np.isfinite(x).all(axis=1)
+                            for a in range(0, len(at), 4096):
+                                best = (x[a : a + 4096].astype(np.float32) @ pivots.T).argmax(axis=1)
+                                out[there[at[a : a + 4096]]] = np.where(good[a : a + 4096], numbers[best], -1)
+            return pa.array(out, pa.int32(), mask=out < 0)
+
+        return rows.withColumn("cell", cell(F.col(namespace), F.col(vector).cast("array<double>")))
+
+    def near(self, queries: list[tuple[int, str, list[float]]], probes: int) -> list[int]:
+        """The ``probes`` cells nearest to each query, all together."""
+        found: set[int] = set()
+        for _, ns, v in queries:
+            v = np.asarray(v, np.float64)
+            if (ns, len(v)) in self.kinds and np.isfinite(v).all() and v.any():
+                numbers, pivots = self.kinds[ns, len(v)]
+                found.update(numbers[np.argsort(-(pivots @ v), kind="stable")[:probes]].tolist())
+        return sorted(found)
+
+
 def file_queries(chunks: DataFrame, file_id: int) -> list[tuple[int, str, list[float]]]:
     """The first MAX_QUERIES vectors of a file in order of ``seq``: what a file asks with."""
     rows = chunks.where((F.col("file_id") == file_id) & F.col("vector").isNotNull()).select("seq", "id", "namespace", "vector")

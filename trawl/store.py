@@ -22,9 +22,11 @@ SCHEMAS = {
     "settings": "key string, value string",
     "postings": "term string, id long, file_id long, tf long",
     "lengths": "id long, file_id long, d double",
+    "pivots": "namespace string, cell int, vector array<float>",
+    "cells": "cell int, id long, file_id long, namespace string, vector array<float>",
 }
 #: Tables kept in buckets of files: what a bucket's rows are sorted by.
-BUCKETED = {"chunks": ("file_id", "seq"), "postings": ("term", "id"), "lengths": ("id",)}
+BUCKETED = {"chunks": ("file_id", "seq"), "postings": ("term", "id"), "lengths": ("id",), "cells": ("cell", "id")}
 BUCKETS = 16
 #: Bytes that a bucket is meant to hold after :meth:`Store.compact`.
 BUCKET_BYTES = 256 << 20
