@@ -274,6 +274,7 @@ def segments(texts: DataFrame, model: Model, key: str = "id", text: str = "text"
                     )
             yield pa.array(out, kind)
 
+    label = label.asNondeterministic()  # else a filter made of it is pushed down, and it runs twice
     made = texts.select(key, *carry, label(F.col(text)).alias("__s"))
     return made.select(key, *carry, F.size("__s").alias("segments"), F.inline("__s"))
 

@@ -403,6 +403,7 @@ def matches(rows: DataFrame) -> DataFrame:
 
         return pd.Series([verified(*x) for x in zip(run, word, chain, unit, often, far, sure)], dtype="int32")
 
+    tells = tells.asNondeterministic()  # else a filter made of it is pushed down, and it runs twice
     often = F.col("n") >= F.col("n_run")
     far = (F.col("n") >= FAR_MORE * F.col("n_run")) | often & (F.col("rows") >= FAR_MORE * F.col("rows_run"))
     best = hit.withColumn("tells", tells("run", "word", "chain", "unit", often, far, "sure")).where(F.col("tells") > NOTHING).groupBy("run", "sure").agg(
@@ -440,6 +441,7 @@ def found_runs(values: DataFrame) -> tuple[DataFrame, DataFrame]:
     def chain_of(run):
         return run.map(read_back)
 
+    chain_of = chain_of.asNondeterministic()  # else a filter made of it is pushed down, and it runs twice
     rest = rows.where("kind = 'odd'").select("run").distinct().join(match.where("sure").select("run"), "run", "left_anti")
     none = F.lit(None).cast("string")
     lost = rest.withColumn("chain", chain_of("run")).where(F.col("chain").isNotNull() | F.col("run").contains(REPLACED))

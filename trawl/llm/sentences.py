@@ -439,6 +439,7 @@ def sentence_spans(documents: DataFrame, key: str = "doc_id", text: str = "text"
         for batch in batches:
             yield pa.array([[{"start_char": s, "end_char": e} for s, e in sentences(t, words)] for t in batch.to_pylist()], kind)
 
+    cut = cut.asNondeterministic()  # else a filter made of it is pushed down, and it runs twice
     if not with_text:
         return documents.select(key, cut(F.col(text)).alias("__s")).select(key, F.inline("__s"))
     made = documents.select(key, F.col(text).alias("__t"), cut(F.col(text)).alias("__s")).select(key, "__t", F.posexplode("__s").alias("sent_no", "s"))
