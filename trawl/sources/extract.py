@@ -266,6 +266,7 @@ def extract(files: DataFrame, content: str = "content", extension: str = "extens
                 out.append([dict(zip(names, r)) for r in rows])
             yield pd.Series(out)
 
+    parts = parts.asNondeterministic()  # else a filter made of it is pushed down, and it runs twice
     kept = [c for c in files.columns if c != content]
     made = files.select(*kept, parts(F.col(content), F.col(extension), F.col(kind)).alias("__p"))
     return made.select(*kept, F.posexplode("__p").alias("part", "p")).select(*kept, "part", "p.*")
