@@ -37,14 +37,15 @@ def scan_diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "JON-9", "SNK-2",
-    sql=f"""WITH {_SNAP}, gone AS (SELECT root_id, size, mtime_ns, min(path) AS old_path FROM earlier WHERE path NOT IN (SELECT path FROM scan) GROUP BY 1, 2, 3 HAVING count(*) = 1),
-fresh AS (SELECT root_id, size, mtime_ns, min(path) AS new_path FROM scan WHERE path NOT IN (SELECT path FROM earlier) GROUP BY 1, 2, 3 HAVING count(*) = 1)
-SELECT old_path, new_path FROM gone JOIN fresh ON gone.root_id = fresh.root_id AND gone.size = fresh.size AND gone.mtime_ns = fresh.mtime_ns""",
+    sql=f"""WITH {_SNAP}, gone AS (SELECT root_id, size, kind, min(path) AS old_path FROM files WHERE path NOT IN (SELECT path FROM scan) AND size IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) = 1),
+fresh AS (SELECT root_id, size, kind, min('E:' || path) AS new_path FROM files WHERE size IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) = 1)
+SELECT old_path, new_path FROM gone JOIN fresh ON gone.root_id = fresh.root_id AND gone.size = fresh.size AND gone.kind = fresh.kind""",
 )
 def rename_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new = _delivery(spark, sf_dir, 1), _delivery(spark, sf_dir, 2)
-    gone, fresh = old.join(new.select("path"), "path", "left_anti"), new.join(old.select("path"), "path", "left_anti")
-    return upkeep.renames(gone, fresh, ["root_id", "size", "mtime_ns"]).select("old_path", "new_path")
+    """Indexed files that a delivery lacks, found again on another drive: root, size and kind are their identity here."""
+    files, there = table(spark, sf_dir, "files"), _delivery(spark, sf_dir, 2)
+    gone = files.join(there.select("path"), "path", "left_anti")
+    return upkeep.renames(gone, files.withColumn("path", F.concat(F.lit("E:"), "path")), ["root_id", "size", "kind"]).select("old_path", "new_path")
 
 
 @query(
