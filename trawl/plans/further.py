@@ -139,13 +139,47 @@ def stream_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.run_to_table(spark, changes.running_costs(samples), "costs", "update").withColumn("cost", F.round("cost", 6))
 
 
-@query("SCL-24")
+@query("SCL-24", sql="SELECT sha256('[256, 60, 30, 1.0]') AS standard, sha256('[128, 60, 30, 1.0]') AS smaller")
 def settings_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..engine import Settings
 
     return spark.createDataFrame([(Settings().fingerprint(), Settings(dimensions=128).fingerprint())], "standard string, smaller string")
 
 
+@query(
+    "SNK-3", "SNK-11", "SNK-12", "SNK-13",
+    sql="""SELECT 'files' AS name, count(*) AS stored, count(*) AS moved, 0::BIGINT AS cleared, sum(id)::BIGINT AS ids FROM files
+UNION ALL SELECT 'chunks', count(*), count(*), 0, sum(id)::BIGINT FROM chunks UNION ALL SELECT 'roots', count(*), count(*), count(*), sum(id)::BIGINT FROM roots""",
+)
+def stored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables committed to an index, compacted, moved to another folder, and the index cleared."""
+    from ..engine import Engine
+    from ..runtime import new_path
+
+    names = ("files", "chunks", "roots")
+    e = Engine(spark, new_path(spark, "index"))
+    e.store.commit(**{t: table(spark, sf_dir, t) for t in names})
+    count = lambda: {t: e.store.read(t).agg(F.count(F.lit(1)), F.sum("id")).first() for t in names}
+    first = count()
+    e.compact()
+    e.move_index(new_path(spark, "moved"))
+    second = count()
+    e.clear()
+    third = count()
+    return spark.createDataFrame([(t, first[t][0], second[t][0], third[t][0], second[t][1]) for t in names], "name string, stored long, moved long, cleared long, ids long")
+
+
+@query("UDF-5", "WIN-7", sql="SELECT id, CASE WHEN regexp_replace(text, '\\s', '', 'g') <> '' THEN [length(text)::FLOAT, (length(text) - length(replace(text, 'e', '')))::FLOAT] END AS vector FROM chunks")
+def embedded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts embedded in small batches, by a stand-in that counts characters; blank ones have no vector."""
+    from ..engine import Engine
+    from ..runtime import new_path
+
+    e = Engine(spark, new_path(spark, "index"), lambda texts: [[float(len(t)), float(t.count("e")), 0.5] for t in texts])
+    e.update_settings(dimensions=2)
+    return e._embedded(table(spark, sf_dir, "chunks").select("id", "text", F.lit(None).cast("array<float>").alias("vector"))).select("id", "vector")
+
+
 _LINES = "lines AS (SELECT doc_id, lang, unnest(string_split(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g'), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g'), chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL)"
 _EDGE = "'^[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+|[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+$'"
 

@@ -331,10 +331,29 @@ def sheet_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.groupBy(F.floor(F.col("l_orderkey") / 32).alias("block")).agg(F.count(F.lit(1)).alias("rows_in"), F.array_join(ordered, "\n").alias("text"))
 
 
-@query("UDF-1", "WIN-4", "WIN-5", "SCL-15")
+#: White space as Python's split() sees it (fixed values).
+_SPACE = "[\\s\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+#: The greedy rule line by line: each chunk begins where the one before it says.
+_CHUNKS = f"""WITH RECURSIVE texts AS (SELECT doc_id, list_transform(CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END, lambda x: CASE WHEN ends_with(x, chr(13)) THEN x[:-2] ELSE x END) AS lines
+ FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+counted AS (SELECT doc_id, lines, list_transform(lines, lambda x: len(list_filter(string_split_regex(x, '{_SPACE}+'), lambda y: y <> ''))) AS w, list_transform(lines, lambda x: length(x)) AS c FROM texts WHERE len(lines) > 0),
+sums AS (SELECT doc_id, lines, list_transform(range(0, len(w) + 1), lambda i: coalesce(list_sum(w[1:i]), 0)) AS cw, list_transform(range(0, len(c) + 1), lambda i: coalesce(list_sum(c[1:i]), 0)) AS cc FROM counted),
+steps(doc_id, a, b) AS (
+ SELECT doc_id, 1::BIGINT, coalesce(list_max(list_filter(range(1, len(lines) + 1), lambda e: cw[e + 1] - cw[1] <= 400 AND cc[e + 1] - cc[1] <= 1800)), 1) FROM sums
+ UNION ALL
+ SELECT doc_id, s, greatest(s, coalesce(list_max(list_filter(range(s, len(lines) + 1), lambda e: cw[e + 1] - cw[s] <= 400 AND cc[e + 1] - cc[s] <= 1800)), s)) FROM (
+  SELECT t.doc_id, lines, cw, cc, greatest(a + 1, coalesce(list_max(list_filter(range(a + 1, b + 1), lambda x: cw[b + 1] - cw[x] >= 60)), a + 1)) AS s
+  FROM steps t JOIN sums u ON u.doc_id = t.doc_id WHERE b < len(lines))),
+bodies AS (SELECT s.doc_id, a, b, array_to_string(lines[a:b], chr(10)) AS body, substr(regexp_replace(lines[a], '^#+', ''), 1, 100) AS heading FROM steps s JOIN sums u ON u.doc_id = s.doc_id),
+pieces AS (SELECT doc_id, a, b, heading, body, unnest(range(0, length(body), 1800)) AS off FROM bodies WHERE regexp_replace(body, '{_SPACE}', '', 'g') <> '')
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a, off) - 1 AS seq, substr(body, off + 1, 1800) AS text, heading, a AS line_start, b AS line_end, sha256(substr(body, off + 1, 1800)) AS hash FROM pieces"""
+
+
+@query("UDF-1", "WIN-4", "WIN-5", "SCL-15", sql=_CHUNKS)
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return chunking.chunked(d).select("doc_id", "seq", "text", "heading", "line_start", "line_end", "hash")
+    long = [F.col(c).cast("long").alias(c) for c in ("seq", "line_start", "line_end")]
+    return chunking.chunked(d).select("doc_id", long[0], "text", "heading", *long[1:], "hash")
 
 
 @query("UDF-2", "UDF-3")
