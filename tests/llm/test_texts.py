@@ -166,6 +166,18 @@ def test_languages_of_lines(model):
     assert all(0 < c <= 1 for *_, c in spans)
 
 
+def test_confidences_follow_the_labels():
+    import random
+
+    rng = random.Random(2)
+    texts = [(" ".join(rng.choices(TRAIN[g].split(), k=12)), g) for g in ("en", "de", "fr") for _ in range(150)]
+    rng.shuffle(texts)
+    wrong = [(t, rng.choice("en de fr".split()) if rng.random() < 0.3 else g) for t, g in texts]
+    assert L.fit(texts).spread > L.fit(wrong).spread and L.fit(texts[:50]).spread == 8.0
+    sure, unsure = (sum(s[0][3] for s in L.fit(x).spans([t for t, _ in texts])) / len(texts) for x in (texts, wrong))
+    assert 0.5 < unsure < sure - 0.05  # a fifth of the labels are wrong
+
+
 def test_a_foreign_word_switches_nothing(model):
     (spans,) = model.spans([TRAIN["en"] + " gefunden " + TRAIN["en"]])
     assert [s[2] for s in spans] == ["en"]

@@ -65,12 +65,12 @@ def normal_label(label: Column) -> Column:
 class Model:
     """Scores of words by language: logarithms of the posterior under equal priors, floored."""
 
-    def __init__(self, words: dict[str, np.ndarray], trigrams: dict[str, np.ndarray]):
-        self.words, self.trigrams = words, trigrams
+    def __init__(self, words: dict[str, np.ndarray], trigrams: dict[str, np.ndarray], spread: float = 8.0):
+        self.words, self.trigrams, self.spread = words, trigrams, spread
         self._start()
 
     def __getstate__(self):
-        return self.words, self.trigrams
+        return self.words, self.trigrams, self.spread
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -185,14 +185,49 @@ class Model:
         out = []
         for k, lang in enumerate(names):
             part = slice(cuts[k], cuts[k + 1])
-            total = scores[part].sum(0) / max(1.0, count[part].sum() / 8)
-            p = np.exp(total - total.max())
-            out.append((cuts[k], cuts[k + 1], LANGUAGES[lang], float(p[lang] / p.sum())))
+            p = confidences(scores[part].sum(0), count[part].sum(), self.spread)
+            out.append((cuts[k], cuts[k + 1], LANGUAGES[lang], float(p[lang])))
         return out
 
 
-def fit(labelled: list[tuple[str, str | None]], rounds: int = 2) -> Model:
-    """A model from texts and their languages; languages without any text keep what their script tells."""
+def confidences(scores: np.ndarray, words: float, spread: float) -> np.ndarray:
+    """The probability of each language. Words of a text aren't independent evidence: however many, they count as ``spread``."""
+    total = scores / max(1.0, words / spread)
+    p = np.exp(total - total.max())
+    return p / p.sum()
+
+
+#: From so many labelled texts on confidences are fitted to labels, to one of these numbers of words.
+ENOUGH, SPREADS = 200, (0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
+
+
+def calibrated(labelled: list[tuple[str, str | None]]) -> float:
+    """The spread under which the labels of one half of the texts are likeliest, by a model fitted to the other half.
+
+    Only texts that are one segment count. As labels may be wrong, confidences come to how often they agree.
+    """
+    model = fit(labelled[::2], spread=SPREADS[-1])
+    loss = np.zeros(len(SPREADS))
+    held = [(t, lang) for t, lang in labelled[1::2] if lang in LANGUAGES]
+    for at in range(0, len(held), 512):
+        some = held[at : at + 512]
+        for (text, lang), spans in zip(some, model.spans([t for t, _ in some])):
+            if len(spans) == 1:
+                seq = model.indices(model.tokens(text))
+                telling = (seq != 0) & (model.table[seq].min(1) < 0)
+                scores = model.table[seq[telling]].sum(0)
+                for i, spread in enumerate(SPREADS):
+                    loss[i] -= math.log(max(1e-6, confidences(scores, telling.sum(), spread)[LANGUAGES.index(lang)]))
+    return SPREADS[int(loss.argmin())]
+
+
+def fit(labelled: list[tuple[str, str | None]], rounds: int = 2, spread: float | None = None) -> Model:
+    """A model from texts and their languages; languages without any text keep what their script tells.
+
+    ``spread`` is :func:`calibrated` unless it is given or the texts are too few.
+    """
+    if spread is None:
+        spread = calibrated(labelled) if len(labelled) >= ENOUGH else 8.0
     model = Model({}, {})
     lines = [(line, lang) for text, lang in labelled for line in text.split("\n")]
     tokens = [[w.strip("'’").lower() for w in model.tokens(line)] for line, _ in lines]
@@ -210,7 +245,7 @@ def fit(labelled: list[tuple[str, str | None]], rounds: int = 2) -> Model:
                 padded = f" {w} "
                 for i in range(len(padded) - 2):
                     letters[padded[i : i + 3]] += np.minimum(c, 3)
-        model = Model(_posterior(counts, KNOWN, 2.0), _posterior(letters, -8.0, 0.0))
+        model = Model(_posterior(counts, KNOWN, 2.0), _posterior(letters, -8.0, 0.0), spread)
         if turn + 1 < rounds:
             languages = []
             for start in range(0, len(labelled), 512):
