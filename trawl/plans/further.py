@@ -146,6 +146,32 @@ def settings_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(Settings().fingerprint(), Settings(dimensions=128).fingerprint())], "standard string, smaller string")
 
 
+@query("SRC-1", "SRC-2", "SCL-1", sql="SELECT doc_id || '.md' AS name, strlen(text)::BIGINT AS size, 'text' AS kind, sha256(text) AS content_hash, doc_id % 7 AS folder FROM documents WHERE text IS NOT NULL")
+def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as files of nested folders, scanned and read. The shared folder must be one that every executor mounts."""
+    from ..runtime import materialize, new_path
+    from ..sources.scan import scan_local, with_contents
+
+    at = new_path(spark, "files").removeprefix("file://")
+    if "://" in at:
+        raise ValueError("files are scanned in a mounted folder")
+
+    def write(batches):
+        import os
+
+        for b in batches:
+            for i, text in zip(b["doc_id"], b["text"]):
+                os.makedirs(f"{at}/{i % 7}/deep", exist_ok=True)
+                with open(f"{at}/{i % 7}/deep/{i}.md", "wb") as f:
+                    f.write(text.encode())
+            yield b[["doc_id"]]
+
+    materialize(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text").mapInPandas(write, "doc_id long"), "written")
+    read = with_contents(scan_local(spark, at).where("error IS NULL").select("path", "name", "size", "kind"))
+    folder = F.regexp_extract("path", r"/(\d)/deep/", 1).cast("long")
+    return read.select("name", "size", "kind", F.sha2("content", 256).alias("content_hash"), folder.alias("folder"))
+
+
 @query(
     "SNK-3", "SNK-11", "SNK-12", "SNK-13",
     sql="""SELECT 'files' AS name, count(*) AS stored, count(*) AS moved, 0::BIGINT AS cleared, sum(id)::BIGINT AS ids FROM files

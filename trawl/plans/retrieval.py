@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators.fusion import lexical_list, name_list, search, semantic_list
 from ..operators.lexical import LexicalIndex, bm25, term_statistics
-from ..operators.vector import file_queries, nearest, nearest_of
+from ..operators.vector import Cells, file_queries, nearest, nearest_of
 from ..request import Filters, Request
-from ..runtime import table
+from ..runtime import materialize, table
 from .registry import query
 
 _TOKENS = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}]+')"
@@ -208,6 +208,17 @@ def knn_namespaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "chunks"), _asking(spark, sf_dir), 50).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("VEC-1", "SNK-7", "VEC-2", sql=f"WITH {_SEM.format(50)} SELECT qseq, id, cosine, rank FROM nearest")
+def knn_by_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the index by cells, written once; as many cells are read as there are, so nothing is missed."""
+    chunks = table(spark, sf_dir, "chunks").select("id", "namespace", "vector")
+    cells = Cells.of(chunks)
+    placed = materialize(cells.placed(chunks).where("cell IS NOT NULL").repartitionByRange("cell").sortWithinPartitions("cell", "id"), "cells")
+    asked = _asking(spark, sf_dir)
+    some = placed.where(F.col("cell").isin(cells.near(asked, 1 << 20)))
+    return nearest(some, asked, 50).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query("VEC-3", "VEC-4", "WIN-2", sql=f"WITH {_SEM.format(256)} SELECT file_id, round(1.2 / (60 + rank), 6) AS part, cosine FROM sbest")
 def knn_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     best, _ = semantic_list(table(spark, sf_dir, "files"), table(spark, sf_dir, "chunks"), _asking(spark, sf_dir), Filters(), False, 256)
