@@ -131,3 +131,15 @@ def test_many_near_copies(spark):
     assert len(want & got) >= 0.999 * len(want)
     asked = {(r["id"], r["neighbour"]) for r in N.neighbours(df, names, least=0.9, every=60, lists=4, rerank=128).collect()}
     assert len({p for p in want if p[0] % 60 == 0} & asked) >= 0.999 * 10 * 100
+
+
+def test_recall_of_all_vectors_of_any_cosine(spark):
+    """Every vector asks for its 10 nearest, by the defaults, where vectors have structure: 150 clusters in 24 dimensions."""
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(150, 24))[rng.integers(0, 150, 3000)] + rng.normal(size=(3000, 24)) * 0.5).astype(np.float32)
+    names = spark.createDataFrame([("g", 24)], "namespace string, dimensions int")
+    df = spark.createDataFrame([(i, "g", v.tolist()) for i, v in enumerate(x)], "id long, namespace string, vector array<float>").repartition(4)
+    c = brute(x, 10)
+    want = {(i, int(j)) for i in range(3000) for j in np.argsort(-c[i])[:10]}
+    got = {(r["id"], r["neighbour"]) for r in N.neighbours(df, names).collect()}
+    assert len(got) == 30_000 and len(want & got) >= 0.9 * len(want)
