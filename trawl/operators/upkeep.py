@@ -36,11 +36,12 @@ def renames(gone: DataFrame, new: DataFrame, identity: Sequence[str]) -> DataFra
 def renamed(files: DataFrame, scan: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``files`` with the new paths and names of those that a scan found elsewhere under one ``stable_id``, and the pairs.
 
-    They keep their ids, chunks and vectors. If the new name makes it a file of another kind, it is read anew. Files
+    They keep their ids, chunks and vectors. As file systems give the numbers of deleted files to new ones, the time of
+    change must be the same too. If the new name makes it a file of another kind, it is read anew. Files
     whose old path is still there, and identities that several files share, keep their rows.
     """
     gone, new = files.join(scan.select("path"), "path", "left_anti"), scan.join(files.select("path"), "path", "left_anti")
-    pairs = materialize(renames(gone, new, ["root_id", "stable_id"]).select("old_path", "new_path"), "renames")
+    pairs = materialize(renames(gone, new, ["root_id", "stable_id", "mtime_ns"]).select("old_path", "new_path"), "renames")
     facts = scan.select(F.col("path").alias("new_path"), *[F.col(c).alias(f"n_{c}") for c in ("name", "extension", "kind")])
     moved = files.join(pairs.join(facts, "new_path"), F.col("path") == F.col("old_path"), "left")
     hit, other = F.col("new_path").isNotNull(), F.col("new_path").isNotNull() & ~F.col("kind").eqNullSafe(F.col("n_kind"))

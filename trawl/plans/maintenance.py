@@ -50,8 +50,8 @@ def rename_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "SNK-2", "JON-9",
-    sql="""WITH shared AS (SELECT root_id, stable_id FROM files WHERE kind IN ('text', 'code') AND stable_id <> '' GROUP BY 1, 2 HAVING count(*) = 1)
-SELECT f.id, CASE WHEN s.root_id IS NULL THEN f.path ELSE f.path || '.moved' END AS path FROM files f LEFT JOIN shared s ON f.kind IN ('text', 'code') AND s.root_id = f.root_id AND s.stable_id = f.stable_id""",
+    sql="""WITH shared AS (SELECT root_id, stable_id, mtime_ns FROM files WHERE kind IN ('text', 'code') AND stable_id <> '' AND mtime_ns IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) = 1)
+SELECT f.id, CASE WHEN s.root_id IS NULL THEN f.path ELSE f.path || '.moved' END AS path FROM files f LEFT JOIN shared s ON f.kind IN ('text', 'code') AND s.root_id = f.root_id AND s.stable_id = f.stable_id AND s.mtime_ns = f.mtime_ns""",
 )
 def renamed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scan finds all texts and code under other paths; those of an identity of their own keep their ids."""
