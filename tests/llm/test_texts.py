@@ -320,3 +320,15 @@ def test_one_strange_letter_in_a_long_word(spark):
     rows = [f"l’estrattore ha letto {n}" for n in range(6)] + [M.garble("l’estrattore", ("cp1252", "mac_roman")) + " ha letto", "líquido", "Київ вкраїнська мова", "Ελληνικά κείμενα", "한국어 문서"]
     rows += [M.garble(x, ("utf-8", "cp1252")) for x in rows[-3:]]
     assert found(spark, rows) == {6, 11, 12, 13}
+
+
+def test_what_python_makes_of_words_is_not_broadcast(spark):
+    clean = ["Die Übersicht für größere Küchen", "Какой беспорядок на диске"]
+    made = [M.garble(clean[0], ("utf-8", "cp1252")), M.garble(clean[1], ("koi8_r", "cp1251")), "Fam�lia"]
+    df = spark.createDataFrame([("t", i, v) for i, v in enumerate(clean * 3 + made)], "field string, id long, value string")
+    rows = M.runs(df).localCheckpoint()
+    plan = M.matches(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+    by_row, match = M.found_runs(df)
+    assert "Broadcast" not in match._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"] for r in M._marked(by_row, match).collect()} == {6, 7, 8}

@@ -302,12 +302,12 @@ def garbled_forms(words: DataFrame) -> DataFrame:
 
 
 def probes(odd: DataFrame) -> DataFrame:
-    """``run``, ``form``, ``unit``: the hash of each odd run, and of its windows."""
+    """``run``, ``n_run``, ``rows_run``, ``form``, ``unit``: the hash of each odd run, and of its windows, with the run's counts."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for run in b.column(0).to_pylist():
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for run, n, in_rows in zip(*(c.to_pylist() for c in b.columns)):
                 # a word garbled inside quotation marks that were garbled too
                 forms = {(_hash(run), False), (_hash(run.strip("\xa0\xad")), False)}
                 if len(run) >= WINDOWS[0] and sum(not c.isascii() for c in run) >= WINDOWS[0] - 1:
@@ -316,13 +316,12 @@ def probes(odd: DataFrame) -> DataFrame:
                         sizes = WINDOWS if run[at : at + 2] in _BEGINS else LEGACY
                         forms.update((_hash(run[at : at + size]), True) for size in sizes if at + size <= len(run))
                 for form, unit in forms:
-                    for column, value in zip(out, (run, form, unit)):
+                    for column, value in zip(out, (run, n, in_rows, form, unit)):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], ["run", "form", "unit"]
-            )
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["run", "n_run", "rows_run", "form", "unit"])
 
-    return odd.select("run").mapInArrow(probe, "run string, form long, unit boolean")
+    return odd.select("run", "n_run", "rows_run").mapInArrow(probe, "run string, n_run long, rows_run long, form long, unit boolean")
 
 
 #: How many times more frequent than a clean word the word must be of which it is taken for a garbled form.
@@ -381,7 +380,7 @@ def matches(rows: DataFrame) -> DataFrame:
     counted = texts.unionByName(others).groupBy("kind", "run").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))  # n: different texts
     counted = materialize(counted, "words")
     words = counted.where("kind <> 'odd'")
-    odd = counted.where("kind = 'odd'").select("run", F.col("n").alias("n_run"), F.col("rows").alias("rows_run"), F.lit(True).alias("sure"))
+    odd = counted.where("kind = 'odd'").select("run", F.col("n").alias("n_run"), F.col("rows").alias("rows_run"))
 
     @F.pandas_udf("boolean")
     def deceives(run):
@@ -393,9 +392,11 @@ def matches(rows: DataFrame) -> DataFrame:
 
     clean = counted.where("kind = 'clean' AND n > 0").where(deceives("run"))
     clean = clean.select("run", F.col("n").alias("n_run"), F.col("rows").alias("rows_run"), F.lit(False).alias("sure"), hashed("run").alias("form"), F.lit(False).alias("unit"))
-    asked = probes(odd).join(odd, "run").select(*clean.columns).unionByName(clean)
+    asked = probes(odd).withColumn("sure", F.lit(True)).unionByName(clean)
     # few rows, each of which makes many: as many tasks as there are cores
-    hit = asked.join(garbled_forms(words.repartition(partitions(rows.sparkSession), "run")), ["form", "unit"])
+    forms = garbled_forms(words.repartition(partitions(rows.sparkSession), "run"))
+    # merged: by the size of the words' file, from which Python makes far more, the planner would broadcast a side
+    hit = asked.join(forms.hint("merge"), ["form", "unit"])
 
     @F.pandas_udf("int")
     def tells(run, word, chain, unit, often, far, sure):
@@ -442,7 +443,7 @@ def found_runs(values: DataFrame) -> tuple[DataFrame, DataFrame]:
         return run.map(read_back)
 
     chain_of = chain_of.asNondeterministic()  # else a filter made of it is pushed down, and it runs twice
-    rest = rows.where("kind = 'odd'").select("run").distinct().join(match.where("sure").select("run"), "run", "left_anti")
+    rest = rows.where("kind = 'odd'").select("run").distinct().join(match.where("sure").select("run").hint("merge"), "run", "left_anti")
     none = F.lit(None).cast("string")
     lost = rest.withColumn("chain", chain_of("run")).where(F.col("chain").isNotNull() | F.col("run").contains(REPLACED))
     lost = lost.select("run", F.lit(True).alias("sure"), "chain", none.alias("word"), F.array(F.struct("chain", F.lit(ALONE).alias("tells"))).alias("chains"))
